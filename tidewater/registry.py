@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.functions.semantics import plain_numbers
+from tidewater.oracles import retail_star as retail_star_sql
 from tidewater.oracles import tpch as tpch_sql
-from tidewater.plans import tpch
-from tidewater.sources import tpch_views
+from tidewater.plans import retail_star, tpch
+from tidewater.sources import tpcds_views, tpch_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +23,14 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for name, plan in tpch.QUERIES.items():
         out[name] = _bind(plan, tpch_views.tables)
+    retail = {**retail_star.QUERIES}
+    for name in sorted(retail):
+        out[name] = _bind(retail[name], tpcds_views.tables)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(tpch_sql.sqls())
+    out.update(retail_star_sql.sqls())
     return out

@@ -7,7 +7,7 @@ years later than the queries' own literals, hence ``YEAR_SHIFT``.
 
 from __future__ import annotations
 
-from tidewater.sources.views import DUCK, SPARK, Dialect, Tables, View, idiv, pick
+from tidewater.sources.views import Tables, View, idiv, pick
 
 YEAR_SHIFT = 3
 
@@ -26,7 +26,7 @@ def _key_text(prefix: str, key: str) -> str:
     return f"'{prefix}' || CAST({key} AS STRING)"
 
 
-def build(d: Dialect) -> dict[str, View]:
+def build() -> dict[str, View]:
     ship = "CAST(l_shipdate AS DATE)"
     return {
         "region": View("region", ("r_regionkey", "r_name")),
@@ -117,8 +117,8 @@ def build(d: Dialect) -> dict[str, View]:
     }
 
 
-SPARK_VIEWS = build(SPARK)
-CHECK_VIEWS = {f"h_{name}": view for name, view in build(DUCK).items()}
+SPARK_VIEWS = build()
+CHECK_VIEWS = {f"h_{name}": view for name, view in SPARK_VIEWS.items()}
 
 
 def tables(spark, folder: str) -> Tables:

@@ -23,19 +23,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-@dataclass(frozen=True)
-class Dialect:
-    name: str
-
-    def daynum(self, x: str) -> str:
-        """Days since 1970-01-01 of a date."""
-        return f"unix_date({x})" if self.name == "spark" else f"CAST(({x}) - DATE '1970-01-01' AS INT)"
-
-
-SPARK = Dialect("spark")
-DUCK = Dialect("duckdb")
-
-
 def idiv(a: str, b: int) -> str:
     """Floor division of non-negative integers, valid in both dialects."""
     return f"CAST(floor(({a}) / {b}) AS BIGINT)"
