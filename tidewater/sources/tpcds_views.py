@@ -136,6 +136,9 @@ CATALOG_DAYS = "20 + l_orderkey % 60"
 WEB_DAYS = "l_orderkey % 40"
 
 
+CDEMO = f"(ok * 3 + {idiv('ok', 10)}) % 280"
+
+
 def build() -> dict[str, View]:
     date = f"DATE '1998-01-01' + CAST(i AS INT)"
     v: dict[str, View] = {}
@@ -144,14 +147,14 @@ def build() -> dict[str, View]:
     web = _line(WEB_DAYS, WEB_CUSTOMER)
     clock = "CAST(28800 + (ok * 37 + ln * 1009) % 50400 AS INT)"
     v["store_sales"] = View("lineitem", _sales("ss", (
-        "dn AS ss_sold_date_sk", f"{clock} AS ss_sold_time_sk", "cust AS ss_customer_sk", "ok % 280 AS ss_cdemo_sk",
+        "dn AS ss_sold_date_sk", f"{clock} AS ss_sold_time_sk", "cust AS ss_customer_sk", f"{CDEMO} AS ss_cdemo_sk",
         "(ok * 7) % 7200 AS ss_hdemo_sk", f"CASE WHEN ok % 40 = 3 THEN NULL ELSE {idiv('ok', 10)} + ok % 3 END AS ss_addr_sk",
         f"{idiv('ok', 150)} AS ss_store_sk", "ok AS ss_ticket_number"), False), store)
     v["store_returns"] = View("lineitem", _returns("sr", "return_amt", (
-        "cust AS sr_customer_sk", "ok % 280 AS sr_cdemo_sk", "(ok * 7) % 7200 AS sr_hdemo_sk", f"{idiv('ok', 10)} AS sr_addr_sk",
+        "cust AS sr_customer_sk", f"{CDEMO} AS sr_cdemo_sk", "(ok * 7) % 7200 AS sr_hdemo_sk", f"{idiv('ok', 10)} AS sr_addr_sk",
         f"{idiv('ok', 150)} AS sr_store_sk", "ok AS sr_ticket_number")), store, "l_returnflag = 'R'")
     v["catalog_sales"] = View("lineitem", _sales("cs", (
-        "dn AS cs_sold_date_sk", f"{clock} AS cs_sold_time_sk", "cust AS cs_bill_customer_sk", "ok % 280 AS cs_bill_cdemo_sk",
+        "dn AS cs_sold_date_sk", f"{clock} AS cs_sold_time_sk", "cust AS cs_bill_customer_sk", f"{CDEMO} AS cs_bill_cdemo_sk",
         "(ok * 7) % 7200 AS cs_bill_hdemo_sk", "cust AS cs_bill_addr_sk", "cust AS cs_ship_customer_sk",
         f"{idiv('ok', 10)} + 1 AS cs_ship_addr_sk", "ok % 6 AS cs_call_center_sk", "pk % 120 AS cs_catalog_page_sk",
         "ok AS cs_order_number"), True), catalog)
@@ -163,14 +166,14 @@ def build() -> dict[str, View]:
         "(ok * 11) % 7200 AS ws_ship_hdemo_sk", f"{idiv('ok', 10)} + 2 AS ws_ship_addr_sk", "pk % 60 AS ws_web_page_sk",
         "ok % 30 AS ws_web_site_sk", "ok AS ws_order_number"), True), web)
     v["web_returns"] = View("lineitem", _returns("wr", "return_amt", (
-        "cust AS wr_refunded_customer_sk", "ok % 280 AS wr_refunded_cdemo_sk", f"{idiv('ok', 10)} AS wr_refunded_addr_sk",
-        "cust AS wr_returning_customer_sk", "(ok + 140 * (ln % 2)) % 280 AS wr_returning_cdemo_sk", "cust AS wr_returning_addr_sk",
+        "cust AS wr_refunded_customer_sk", f"{CDEMO} AS wr_refunded_cdemo_sk", f"{idiv('ok', 10)} AS wr_refunded_addr_sk",
+        "cust AS wr_returning_customer_sk", f"({CDEMO} + 10 * (ln % 2)) % 280 AS wr_returning_cdemo_sk", "cust AS wr_returning_addr_sk",
         "pk % 60 AS wr_web_page_sk", "ok AS wr_order_number"), "account_credit"), web, "l_returnflag = 'N'")
     v["inventory"] = View("lineitem", (
         "dn AS inv_date_sk", "CASE WHEN ln <= 3 THEN pk % 16 ELSE pk END AS inv_item_sk", "sk % 5 AS inv_warehouse_sk",
         "CAST(CASE WHEN (ok + ln) % 4 = 0 THEN 100 + (ok * 7 + ln * 13) % 900 ELSE (ok * 7 + ln * 13) % 60 END AS INT) AS inv_quantity_on_hand",
     ), store)
-    variant = f"{idiv('p_partkey', 7)} % 14"
+    variant = f"({idiv('p_partkey', 7)} + 10) % 14"
     styled = f"{variant} < 10"
     v["item"] = View("part", (
         "p_partkey AS i_item_sk", _text("ITEM", "p_partkey") + " AS i_item_id", "p_name || ' no ' || CAST(p_partkey AS STRING) AS i_item_desc",
@@ -201,7 +204,7 @@ def build() -> dict[str, View]:
         f"{pick('Oak,Elm,Pine,First', 'c_custkey')} AS ca_street_name", f"{pick('St,Ave,Blvd', 'c_custkey')} AS ca_street_type",
         _text("Suite ", "c_custkey % 50") + " AS ca_suite_number", f"{pick(CITIES, 'c_custkey')} AS ca_city",
         f"{pick(CUSTOMER_COUNTIES, idiv('c_custkey', 2))} AS ca_county", f"{pick(STATES, 'c_custkey')} AS ca_state",
-        f"{pick(ZIPS, idiv('c_custkey', 15))} AS ca_zip", "'United States' AS ca_country",
+        f"{pick(ZIPS, idiv('c_custkey', 15) + ' + CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE 0 END')} AS ca_zip", "'United States' AS ca_country",
         "CAST(-5 - c_custkey % 3 AS DECIMAL(5,2)) AS ca_gmt_offset", f"{pick('condo,apartment,single family', 'c_custkey')} AS ca_location_type",
     ))
     v["store"] = View("supplier", (
