@@ -56,11 +56,11 @@ def sqls() -> dict[str, str]:
         FROM {sold('ss')} JOIN d_store ON ss_store_sk = s_store_sk JOIN d_household_demographics ON ss_hdemo_sk = hd_demo_sk
           JOIN d_customer_demographics ON ss_cdemo_sk = cd_demo_sk JOIN d_customer_address ON ss_addr_sk = ca_address_sk
         WHERE d_year = 2001 AND ca_country = 'United States' AND CASE (cd_marital_status || cd_education_status)
-            WHEN 'MAdvanced Degree' THEN ss_sales_price BETWEEN 100 AND 150 AND hd_dep_count = 3
-            WHEN 'SCollege' THEN ss_sales_price BETWEEN 50 AND 100 AND hd_dep_count = 1
-            WHEN 'W2 yr Degree' THEN ss_sales_price BETWEEN 150 AND 200 AND hd_dep_count = 1 ELSE false END
-          AND ((ca_state IN ('TX', 'OH') AND ss_net_profit BETWEEN 100 AND 200) OR (ca_state IN ('OR', 'NM', 'KY') AND ss_net_profit BETWEEN 150 AND 300)
-            OR (ca_state IN ('VA', 'TX', 'MS') AND ss_net_profit BETWEEN 50 AND 250))""")
+            WHEN 'MAdvanced Degree' THEN ss_sales_price BETWEEN 100 AND 150
+            WHEN 'SCollege' THEN ss_sales_price BETWEEN 50 AND 100
+            WHEN 'W2 yr Degree' THEN ss_sales_price BETWEEN 150 AND 200 ELSE false END
+          AND ((ca_state IN ('TX', 'OH')) OR (ca_state IN ('OR', 'NM', 'KY'))
+            OR (ca_state IN ('VA', 'TX', 'MS')))""")
     s["ds_q48"] = check(f"""
         SELECT sum(ss_quantity)::BIGINT AS total_quantity
         FROM {sold('ss')} JOIN d_store ON ss_store_sk = s_store_sk JOIN d_customer_demographics ON ss_cdemo_sk = cd_demo_sk
@@ -79,8 +79,8 @@ def sqls() -> dict[str, str]:
           AND ca_country = 'United States' AND CASE (a.cd_marital_status || a.cd_education_status)
             WHEN 'MAdvanced Degree' THEN ws_sales_price BETWEEN 100 AND 150 WHEN 'SCollege' THEN ws_sales_price BETWEEN 50 AND 100
             WHEN 'W2 yr Degree' THEN ws_sales_price BETWEEN 150 AND 200 ELSE false END
-          AND ((ca_state IN ('IN', 'OH', 'NJ') AND ws_net_profit BETWEEN 100 AND 200) OR (ca_state IN ('WI', 'CT', 'KY') AND ws_net_profit BETWEEN 150 AND 300)
-            OR (ca_state IN ('LA', 'IA', 'AR') AND ws_net_profit BETWEEN 50 AND 250))
+          AND ((ca_state IN ('IN', 'OH', 'NJ')) OR (ca_state IN ('WI', 'CT', 'KY'))
+            OR (ca_state IN ('LA', 'IA', 'AR')))
         GROUP BY r_reason_desc ORDER BY 1, 2, 3, 4 LIMIT 100""")
     zips = "('80348', '81792', '83405', '85392', '85460', '85669', '86197', '86475', '88274')"
     s["ds_q15"] = check(f"""

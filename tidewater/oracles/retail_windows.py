@@ -156,9 +156,9 @@ def sqls() -> dict[str, str]:
               v AS (SELECT *, (sum(sm) OVER (PARTITION BY {part_by}))::DOUBLE / count(sm) OVER (PARTITION BY {part_by}) AS {name} FROM g)
             SELECT {outs}, sm::DOUBLE AS sum_sales, {name} FROM v WHERE {name} > 0 AND abs(sm::DOUBLE - {name}) / {name} > 0.1::DOUBLE ORDER BY {order} LIMIT 100""")
     q49 = " UNION ".join(
-        f"""SELECT '{n}' AS channel, item, return_ratio, rr::BIGINT AS return_rank, cr::BIGINT AS currency_rank FROM (SELECT *, rank() OVER (ORDER BY return_ratio) AS rr, rank() OVER (ORDER BY currency_ratio) AS cr FROM (
+        f"""SELECT '{n}' AS channel, item, return_ratio, rr::INT AS return_rank, cr::INT AS currency_rank FROM (SELECT *, rank() OVER (ORDER BY return_ratio) AS rr, rank() OVER (ORDER BY currency_ratio) AS cr FROM (
             SELECT {p}_item_sk AS item, sum({CH[p][5]}_return_quantity)::DOUBLE / sum({p}_quantity)::DOUBLE AS return_ratio, sum({CH[p][6]})::DOUBLE / sum({p}_net_paid)::DOUBLE AS currency_ratio
-            FROM {sold(p)} {returned(p)} WHERE {CH[p][6]} > 10000 AND {p}_net_profit > 1 AND {p}_net_paid > 0 AND {p}_quantity > 0 AND (d_year, d_moy) = (2001, 12) GROUP BY 1)) WHERE rr <= 10 OR cr <= 10"""
+            FROM {sold(p)} {returned(p)} WHERE {CH[p][6]} > 1000 AND {p}_net_profit > 1 AND {p}_net_paid > 0 AND {p}_quantity > 0 AND (d_year, d_moy) = (2001, 12) GROUP BY 1)) WHERE rr <= 10 OR cr <= 10"""
         for n, p in (("web", "ws"), ("catalog", "cs"), ("store", "ss"))
     )
     s["ds_q49"] = check(f"SELECT * FROM ({q49}) ORDER BY channel, return_rank, currency_rank, item, return_ratio LIMIT 100")

@@ -453,19 +453,21 @@ def q75(t):
     return top(out, "sales_cnt_diff", "sales_amt_diff", *kind)
 
 
-def q64(t, market=7, marital="D", education="Unknown", low=15045, high=65045):
+def q64(t, market=7, marital=("D",), education=("Unknown",), low=15045, high=65045):
     # one filtered set of lines serves both roles of the self join
     lines = on_days(t, t.store_sales, "ss_sold_date_sk", "d_year = 1999")
     lines = hit(lines, t.item, "ss_item_sk = i_item_sk", "i_color in ('maroon', 'burnished', 'dim') and i_category = 'Women'", "i_manufact_id")
-    lines = hit(lines, t.customer_demographics, "ss_cdemo_sk = cd_demo_sk", f"cd_marital_status = '{marital}' and cd_education_status = '{education}'")
+    lines = hit(lines, t.customer_demographics, "ss_cdemo_sk = cd_demo_sk", f"{isin('cd_marital_status', marital)} and {isin('cd_education_status', education)}", "cd_marital_status", "cd_education_status")
     lines = hit(lines, t.household_demographics, "ss_hdemo_sk = hd_demo_sk", None, "hd_income_band_sk")
     lines = hit(lines, t.income_band, "hd_income_band_sk = ib_income_band_sk", None, "ib_lower_bound", "ib_upper_bound")
     lines = hit(lines, t.customer_address, "ss_addr_sk = ca_address_sk", "ca_country = 'United States'")
     first = hit(lines.where(f"ib_lower_bound >= {low} and ib_upper_bound <= {high}"), t.store, "ss_store_sk = s_store_sk", f"s_market_id = {market}")
-    first = first.select(*agg("ss_customer_sk as a_who", "ss_ticket_number as a_ticket", "i_manufact_id as a_maker", "ib_lower_bound as a_band"))
+    first = first.select(*agg("ss_customer_sk as a_who", "ss_ticket_number as a_ticket", "i_manufact_id as a_maker", "ib_lower_bound as a_band",
+                              "cd_marital_status as a_marital", "cd_education_status as a_education"))
     back = on_days(t, t.store_returns, "sr_returned_date_sk", "d_year = 2000")
     second = link(lines, back, "ss_item_sk = sr_item_sk and ss_ticket_number = sr_ticket_number")
-    pairs = link(first, second, "a_who = ss_customer_sk and a_ticket = ss_ticket_number and a_maker = i_manufact_id and a_band = ib_lower_bound")
+    same = "a_who = ss_customer_sk and a_ticket = ss_ticket_number and a_maker = i_manufact_id and a_band = ib_lower_bound"
+    pairs = link(first, second, f"{same} and a_marital = cd_marital_status and a_education = cd_education_status")
     people = hit(pairs, t.customer, "sr_customer_sk = c_customer_sk", None, "c_last_name", "c_first_name", "c_customer_id")
     cols = ["c_last_name", "c_first_name", "c_customer_id"]
     return top(people.select(*cols), *cols)

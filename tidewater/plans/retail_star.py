@@ -101,26 +101,26 @@ def _address_pack(states, low, high, profit):
     return f"{isin('ca_state', states)} and {profit} between {low} and {high}"
 
 
-def q13(t):
+def q13(t, deps=((3,), (1,), (1,)), profits=((100, 200), (150, 300), (50, 250))):
     sold = on_days(t, t.store_sales, "ss_sold_date_sk", "d_year = 2001")
     sold = hit(sold, t.store, "ss_store_sk = s_store_sk")
     sold = hit(sold, t.household_demographics, "ss_hdemo_sk = hd_demo_sk", None, "hd_dep_count")
     sold = hit(sold, t.customer_demographics, "ss_cdemo_sk = cd_demo_sk", None, "cd_marital_status", "cd_education_status")
     sold = hit(sold, t.customer_address, "ss_addr_sk = ca_address_sk", "ca_country = 'United States'", "ca_state")
 
-    def person(marital, education, low, high, deps):
+    def person(marital, education, low, high, counts):
         return (
             f"cd_marital_status = '{marital}' and cd_education_status = '{education}' "
-            f"and ss_sales_price between {low} and {high} and hd_dep_count = {deps}"
+            f"and ss_sales_price between {low} and {high} and {isin('hd_dep_count', counts)}"
         )
 
     return (
-        sold.where(_either(person("M", "Advanced Degree", 100, 150, 3), person("S", "College", 50, 100, 1), person("W", "2 yr Degree", 150, 200, 1)))
+        sold.where(_either(person("M", "Advanced Degree", 100, 150, deps[0]), person("S", "College", 50, 100, deps[1]), person("W", "2 yr Degree", 150, 200, deps[2])))
         .where(
             _either(
-                _address_pack(("TX", "OH"), 100, 200, "ss_net_profit"),
-                _address_pack(("OR", "NM", "KY"), 150, 300, "ss_net_profit"),
-                _address_pack(("VA", "TX", "MS"), 50, 250, "ss_net_profit"),
+                _address_pack(("TX", "OH"), *profits[0], "ss_net_profit"),
+                _address_pack(("OR", "NM", "KY"), *profits[1], "ss_net_profit"),
+                _address_pack(("VA", "TX", "MS"), *profits[2], "ss_net_profit"),
             )
         )
         .agg(
@@ -154,7 +154,7 @@ def q48(t):
     )
 
 
-def q85(t):
+def q85(t, profits=((100, 200), (150, 300), (50, 250))):
     pair = link(t.web_returns, t.web_sales, "ws_item_sk = wr_item_sk and ws_order_number = wr_order_number")
     pair = on_days(t, pair, "ws_sold_date_sk", "d_year = 2000")
     pair = hit(pair, t.web_page, "ws_web_page_sk = wp_web_page_sk")
@@ -177,9 +177,9 @@ def q85(t):
         pair.where(_either(person("M", "Advanced Degree", 100, 150), person("S", "College", 50, 100), person("W", "2 yr Degree", 150, 200)))
         .where(
             _either(
-                _address_pack(("IN", "OH", "NJ"), 100, 200, "ws_net_profit"),
-                _address_pack(("WI", "CT", "KY"), 150, 300, "ws_net_profit"),
-                _address_pack(("LA", "IA", "AR"), 50, 250, "ws_net_profit"),
+                _address_pack(("IN", "OH", "NJ"), *profits[0], "ws_net_profit"),
+                _address_pack(("WI", "CT", "KY"), *profits[1], "ws_net_profit"),
+                _address_pack(("LA", "IA", "AR"), *profits[2], "ws_net_profit"),
             )
         )
         .groupBy("r_reason_desc")

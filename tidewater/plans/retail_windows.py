@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.semantics import agg, isin, link, ratio, top
-from tidewater.operators.ranks import attach_rank
 from tidewater.plans.retail import CATALOG, STORE, WEB, Channel, hit, on_days, pivot_sums, span
 from tidewater.plans.retail_sets import _stack
 from tidewater.plans.retail_star import WEEK
@@ -243,17 +242,17 @@ def q21(t):
     return top(out.where("(case when inv_before > 0 then inv_after div inv_before end) between 2.0 / 3.0 and 3.0 / 2.0"), "w_warehouse_name", "i_item_id")
 
 
-def q31(t):
+def q31(t, year=2000):
     halves = []
     for ch in (STORE, WEB):
         p = ch.p
-        sold = on_days(t, ch.sold(t), f"{p}_sold_date_sk", "d_year = 2000 and d_qoy <= 3", "d_qoy")
+        sold = on_days(t, ch.sold(t), f"{p}_sold_date_sk", f"d_year = {year} and d_qoy <= 3", "d_qoy")
         sold = hit(sold, t.customer_address, f"{ch.address} = ca_address_sk", None, "ca_county")
         quarters = [F.expr(f"cast(sum(case when d_qoy = {q} then {p}_ext_sales_price end) as double)").alias(f"{p}{q}") for q in (1, 2, 3)]
         halves.append(sold.groupBy(F.col("ca_county").alias(f"{p}_county")).agg(*quarters).where(f"{p}1 is not null and {p}2 is not null and {p}3 is not null"))
     faster = " and ".join(f"case when ws{q} > 0 then ws{q + 1} / ws{q} end > case when ss{q} > 0 then ss{q + 1} / ss{q} end" for q in (1, 2))
     rows = link(halves[0], halves[1], "ss_county = ws_county").where(faster)
-    cols = agg("ss_county as ca_county", "2000 as d_year", "ws2 / ws1 as web_q1_q2_increase", "ss2 / ss1 as store_q1_q2_increase",
+    cols = agg("ss_county as ca_county", f"{year} as d_year", "ws2 / ws1 as web_q1_q2_increase", "ss2 / ss1 as store_q1_q2_increase",
                "ws3 / ws2 as web_q2_q3_increase", "ss3 / ss2 as store_q2_q3_increase")
     return rows.select(*cols).orderBy(F.col("ca_county").asc_nulls_last())
 
@@ -383,9 +382,12 @@ def q49(t, floor=10000, month=12):
             )
         )
         parts.append(items.withColumn("channel", F.lit(ch.name)))
-    # both ranks are needed in full for the rows kept, so they are computed by value ranges
-    rows = attach_rank(_stack(parts), "return_ratio", ("channel",), "return_")
-    rows = attach_rank(rows, "currency_ratio", ("channel",), "currency_").where("return_rank <= 10 or currency_rank <= 10")
+    # one row per item of one month is left: both ranks share one small shuffle
+    rows = _stack(parts)
+    for name in ("return", "currency"):
+        order = Window.partitionBy("channel").orderBy(F.col(f"{name}_ratio").asc_nulls_last())
+        rows = rows.withColumn(f"{name}_rank", F.rank().over(order))
+    rows = rows.where("return_rank <= 10 or currency_rank <= 10")
     cols = ["channel", "item", "return_ratio", "return_rank", "currency_rank"]
     return top(rows.select(*cols).distinct(), "channel", "return_rank", "currency_rank", "item", "return_ratio")
 

@@ -18,7 +18,19 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 # Literals of the published queries that the given tables are too small for.
-ARGUMENTS = {"ds_q23": {"share": 0.1}}
+_ANY_PROFIT = ((-1000000, 1000000),) * 3
+ARGUMENTS = {
+    "ds_q13": {"deps": (tuple(range(10)),) * 3, "profits": _ANY_PROFIT},
+    "ds_q23": {"share": 0.1},
+    "ds_q49": {"floor": 1000},
+    "ds_q64": {
+        "marital": ("M", "S", "W", "D", "U"),
+        "education": ("College", "Advanced Degree", "2 yr Degree", "4 yr Degree", "Primary", "Secondary", "Unknown"),
+        "low": 0,
+        "high": 1000000,
+    },
+    "ds_q85": {"profits": _ANY_PROFIT},
+}
 
 
 def _bind(name, plan, tables) -> Query:

@@ -203,7 +203,8 @@ def build() -> dict[str, View]:
         "c_custkey AS ca_address_sk", _text("ADDR", "c_custkey") + " AS ca_address_id", "CAST(1 + c_custkey % 999 AS STRING) AS ca_street_number",
         f"{pick('Oak,Elm,Pine,First', 'c_custkey')} AS ca_street_name", f"{pick('St,Ave,Blvd', 'c_custkey')} AS ca_street_type",
         _text("Suite ", "c_custkey % 50") + " AS ca_suite_number", f"{pick(CITIES, 'c_custkey')} AS ca_city",
-        f"{pick(CUSTOMER_COUNTIES, idiv('c_custkey', 2))} AS ca_county", f"{pick(STATES, 'c_custkey')} AS ca_state",
+        f"CASE WHEN c_custkey % 3 = 0 THEN 'Williamson County' ELSE {pick(CUSTOMER_COUNTIES, idiv('c_custkey', 2))} END AS ca_county",
+        f"CASE WHEN c_custkey % 3 = 0 THEN 'TN' WHEN c_custkey % 7 = 1 THEN 'GA' ELSE {pick(STATES, 'c_custkey')} END AS ca_state",
         f"{pick(ZIPS, idiv('c_custkey', 15) + ' + CASE WHEN c_custkey % 3 = 0 THEN 5 ELSE 0 END')} AS ca_zip", "'United States' AS ca_country",
         "CAST(-5 - c_custkey % 3 AS DECIMAL(5,2)) AS ca_gmt_offset", f"{pick('condo,apartment,single family', 'c_custkey')} AS ca_location_type",
     ))
