@@ -50,3 +50,13 @@ def attach_rank(df: DataFrame, value: str, by: tuple[str, ...] = (), prefix: str
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
     return df.join(placed, on, "left").drop("_k_v", *[f"_k_{b}" for b in by])
+
+
+def attach_position(df: DataFrame, value: str, tie: str, by: tuple[str, ...] = (), out: str = "position", size: str | None = None) -> DataFrame:
+    """One-based position in ascending order of ``value``, equal values in order of ``tie``."""
+    ranked = attach_rank(df.where(F.col(value).isNotNull()), value, by, "_a_")
+    placed = attach_rank(ranked, tie, (*by, value), "_b_")
+    placed = placed.withColumn(out, F.col("_a_rank") + F.col("_b_rank") - 1)
+    if size:
+        placed = placed.withColumn(size, F.col("_a_n"))
+    return placed.drop(*[f"_{x}_{y}" for x in "ab" for y in ("rank", "ties", "n")])

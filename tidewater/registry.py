@@ -11,8 +11,9 @@ from tidewater.oracles import retail_sets as retail_sets_sql
 from tidewater.oracles import retail_star as retail_star_sql
 from tidewater.oracles import retail_windows as retail_windows_sql
 from tidewater.oracles import tpch as tpch_sql
-from tidewater.plans import retail_sets, retail_star, retail_windows, tpch
-from tidewater.sources import tpcds_views, tpch_views
+from tidewater.oracles import workload as workload_sql
+from tidewater.plans import retail_sets, retail_star, retail_windows, tpch, workload
+from tidewater.sources import tpcds_views, tpch_views, workload_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,12 +45,14 @@ def queries() -> dict[str, Query]:
     retail = {**retail_star.QUERIES, **retail_sets.QUERIES, **retail_windows.QUERIES}
     for name in sorted(retail):
         out[name] = _bind(name, retail[name], tpcds_views.tables)
+    for name, plan in workload.QUERIES.items():
+        out[name] = _bind(name, plan, workload_views.tables)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(tpch_sql.sqls())
-    for module in (retail_star_sql, retail_sets_sql, retail_windows_sql):
+    for module in (retail_star_sql, retail_sets_sql, retail_windows_sql, workload_sql):
         out.update(module.sqls())
     return out

@@ -11,9 +11,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SCHEMAS: dict[str, object] = {}
 
+# The few spellings the two SQL dialects do not share: marker -> (Spark, check engine).
+_SPELLINGS = {"EPOCH_US(": ("unix_micros(to_timestamp(", "(epoch_us("), "LIST_OF(": ("array(", "list_value(")}
+
+
+def spell(text: str, spark: bool) -> str:
+    for marker, forms in _SPELLINGS.items():
+        text = text.replace(marker, forms[0 if spark else 1])
+    return text
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Read one table; its schema is looked up once per path, not once per query."""
@@ -41,6 +51,8 @@ class View:
     inner: tuple[str, ...] = ()
     where: str = ""
     group: str = ""
+    keys: tuple[str, ...] = ()  # with ``measures``: an aggregation between inner and outer projection
+    measures: tuple[str, ...] = ()
 
     def frame(self, spark: SparkSession, folder: str) -> DataFrame:
         if self.base.startswith("range:"):
@@ -52,8 +64,10 @@ class View:
         if self.group:
             df = df.select(*self.group.split(", ")).distinct()
         if self.inner:
-            df = df.selectExpr(*self.inner)
-        return df.selectExpr(*self.select)
+            df = df.selectExpr(*[spell(e, True) for e in self.inner])
+        if self.keys:
+            df = df.groupBy(*self.keys).agg(*[F.expr(m) for m in self.measures])
+        return df.selectExpr(*[spell(e, True) for e in self.select])
 
     def sql(self) -> str:
         source = f"range(0, {self.base[6:]}) AS r(i)" if self.base.startswith("range:") else self.base
@@ -62,7 +76,10 @@ class View:
             source, where = f"(SELECT DISTINCT {self.group} FROM {source}{where})", ""
         if self.inner:
             source, where = f"(SELECT {', '.join(self.inner)} FROM {source}{where})", ""
-        return f"SELECT {', '.join(self.select)} FROM {source}{where}"
+        if self.keys:
+            keys = ", ".join(self.keys)
+            source, where = f"(SELECT {keys}, {', '.join(self.measures)} FROM {source}{where} GROUP BY {keys})", ""
+        return spell(f"SELECT {', '.join(self.select)} FROM {source}{where}", False)
 
 
 class Tables:
