@@ -108,26 +108,42 @@ def config_columns() -> list[Column]:
     return [encode(p, F.try_element_at("pg_config", F.lit(p))).alias(f"cfg_{p}") for p in PARAMS]
 
 
+def _with_arrays(documents: DataFrame) -> DataFrame:
+    """Times and flags of every run query as arrays, worked out once per document."""
+    df = documents.where("status is null or status <> 'running'")
+    for suite in SUITES:
+        ids = F.array(*[F.lit(i) for i in run_ids(suite)])
+
+        df = df.withColumn(f"_q_{suite}", F.transform(ids, _measured(suite)))
+    return df
+
+
+def _measured(suite: str):
+    return lambda i: F.struct(i.alias("id"), query_ms(suite, i).alias("ms"), query_timed_out(suite, i).alias("timed_out"))
+
+
 def feature_rows(documents: DataFrame) -> DataFrame:
     """The 299-column feature row of every finished or abandoned task."""
     cols = meta_and_totals()
-    for kind in (query_ms, query_timed_out):
+    for name, kind in (("ms", "double"), ("timed_out", "int")):
         for suite, (prefix, last, skipped) in SUITES.items():
-            name = "ms" if kind is query_ms else "timed_out"
-            empty = F.lit(None).cast("double" if kind is query_ms else "int")
-            cols += [(empty if i in skipped else kind(suite, F.lit(i))).alias(f"{prefix}_q{i}_{name}") for i in range(1, last + 1)]
+            place = {qid: k for k, qid in enumerate(run_ids(suite))}
+            empty = F.lit(None).cast(kind)
+            cols += [(empty if i in skipped else F.col(f"_q_{suite}")[place[i]][name]).alias(f"{prefix}_q{i}_{name}") for i in range(1, last + 1)]
     cols += config_columns() + [hardware(h).alias(h) for h in HARDWARE]
-    return documents.where("status is null or status <> 'running'").select(*cols)
+    return _with_arrays(documents).select(*cols)
 
 
 def query_rows(documents: DataFrame) -> DataFrame:
     """Long form: one row per task and query that the suites run."""
     parts = []
-    for suite, (prefix, _, _) in SUITES.items():
-        ids = F.array(*[F.lit(i) for i in run_ids(suite)])
-        packed = F.transform(ids, lambda i, s=suite: F.struct(F.lit(s).alias("suite"), i.alias("id"), query_ms(s, i).alias("ms"), query_timed_out(s, i).alias("timed_out")))
-        parts.append(packed)
-    return documents.where("status is null or status <> 'running'").select("task_id", F.explode(F.concat(*parts)).alias("q")).select("task_id", "q.*")
+    for suite in SUITES:
+        parts.append(F.transform(F.col(f"_q_{suite}"), _tagged(suite)))
+    return _with_arrays(documents).select("task_id", F.explode(F.concat(*parts)).alias("q")).select("task_id", "q.*")
+
+
+def _tagged(suite: str):
+    return lambda e: F.struct(F.lit(suite).alias("suite"), e["id"].alias("id"), e["ms"].alias("ms"), e["timed_out"].alias("timed_out"))
 
 
 def dataset_profile(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.session import checkpoint_dir
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write rows to the checkpoint folder and go on from there; survives lost executors."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
 def attach_rank(df: DataFrame, value: str, by: tuple[str, ...] = (), prefix: str = "", descending: bool = False, ranges: int = 64) -> DataFrame:
     """Add ``{prefix}rank``, ``{prefix}ties`` and ``{prefix}n`` for ``value`` within ``by``.
@@ -19,9 +27,11 @@ def attach_rank(df: DataFrame, value: str, by: tuple[str, ...] = (), prefix: str
     the same value, ``n`` the non-NULL rows of the group. NULL values get NULLs.
     """
     by = list(by)
+    # the rows are read again by every step below: settled once, chained ranks stay linear
+    df = settle(df)
     sign = F.lit(-1.0) if descending else F.lit(1.0)
-    values = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_ties"))
-    values = values.withColumn("_o", F.col("_v").cast("double") * sign)
+    values = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_rv")).agg(F.count(F.lit(1)).alias("_ties"))
+    values = values.withColumn("_o", F.col("_rv").cast("double") * sign)
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     cuts = values.agg(F.percentile_approx("_o", steps, 1000).alias("_cuts"))
     cut = values.crossJoin(cuts).withColumn("_range", F.expr("size(filter(_cuts, c -> c < _o))")).drop("_cuts")
@@ -38,18 +48,18 @@ def attach_rank(df: DataFrame, value: str, by: tuple[str, ...] = (), prefix: str
     same = F.col("_range") == F.col("_s_range")
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_s_{b}"))
-    inside = Window.partitionBy(*by, "_range").orderBy("_o", "_v" if not descending else F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_range").orderBy("_o", "_rv" if not descending else F.col("_rv").desc()).rowsBetween(Window.unboundedPreceding, -1)
     placed = cut.join(starts, same).select(
         *[F.col(b).alias(f"_k_{b}") for b in by],
-        F.col("_v").alias("_k_v"),
+        F.col("_rv").alias("_k_rv"),
         (F.lit(1) + F.col("_start") + F.coalesce(F.sum("_ties").over(inside), F.lit(0))).alias(f"{prefix}rank"),
         F.col("_ties").alias(f"{prefix}ties"),
         F.col("_n").alias(f"{prefix}n"),
     )
-    on = F.col(value) == F.col("_k_v")
+    on = F.col(value) == F.col("_k_rv")
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
-    return df.join(placed, on, "left").drop("_k_v", *[f"_k_{b}" for b in by])
+    return df.join(placed, on, "left").drop("_k_rv", *[f"_k_{b}" for b in by])
 
 
 def attach_position(df: DataFrame, value: str, tie: str, by: tuple[str, ...] = (), out: str = "position", size: str | None = None) -> DataFrame:

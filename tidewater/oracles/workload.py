@@ -88,7 +88,7 @@ def sqls() -> dict[str, str]:
     def suite_cols(prefix, suite, n):
         a = f"{prefix}_a"
         return f"""coalesce({a}.ok, 0) AS {prefix}_n_success, coalesce({a}.n - {a}.ok, 0)::BIGINT AS {prefix}_n_failed,
-            CASE WHEN status = 'done' AND {a}.tot IS NOT NULL THEN round_even({a}.tot, 3) ELSE coalesce({a}.eff, 0) + ({n} - coalesce({a}.n, 0)) * 900000 END AS {prefix}_total_ms,
+            CASE WHEN status = 'done' AND {a}.tot IS NOT NULL THEN round_even({a}.tot, 3) ELSE round_even(coalesce({a}.eff, 0) + ({n} - coalesce({a}.n, 0)) * 900000, 3) END AS {prefix}_total_ms,
             CASE WHEN status = 'done' THEN {a}.geo END AS {prefix}_geo_mean_ms, CASE WHEN status = 'done' THEN {a}.ratio END AS {prefix}_cache_hit_ratio, CASE WHEN status = 'done' THEN {a}.spill END AS {prefix}_queries_with_spill"""
 
     ag = f"""ag AS (SELECT task_id, suite, count(*) AS n, count(*) FILTER (WHERE ok) AS ok, sum(ms) {t} AS tot, sum(coalesce(ms, 900000)) AS eff, round_even(exp(avg(ln(ms)) {t}), 3) AS geo,
@@ -99,8 +99,8 @@ def sqls() -> dict[str, str]:
     s["fe_02_suite_totals"] = check(f"WITH {ag}, x AS (SELECT {totals} FROM {joins}) SELECT task_id, tpch_total_ms, tpcds_total_ms FROM x", True)
     ids = " UNION ALL ".join(f"SELECT '{u}' AS suite, i::INT AS id FROM (VALUES {', '.join(f'({i})' for i in run_ids(u))}) v(i)" for u in ("tpc_h", "tpc_ds"))
     long = f"q AS (SELECT t.task_id, d.suite, d.id, coalesce(l.ms, 900000) AS ms, CASE WHEN l.reason = 'ok' THEN 0 ELSE 1 END::INT AS timed_out FROM w_tasks t CROSS JOIN ({ids}) d LEFT JOIN log l ON l.task_id = t.task_id AND l.suite = d.suite AND l.id = d.id)"
-    s["fe_03_query_times"] = check(f"WITH {long} SELECT task_id, suite, id, ms FROM q", True)
-    s["fe_04_censored_flags"] = check(f"WITH {long} SELECT task_id, suite, id, timed_out FROM q", True)
+    s["fe_03_query_times"] = check(f"WITH {long} SELECT suite, id, count(ms) AS tasks, round(sum(ms), 3) AS total_ms, min(ms) AS least_ms FROM q GROUP BY 1, 2", True)
+    s["fe_04_censored_flags"] = check(f"WITH {long} SELECT task_id, suite, sum(timed_out)::BIGINT AS imputed, count(*) AS queries FROM q GROUP BY 1, 2", True)
     s["fe_11_timeout_frequency"] = check(f"WITH {long} SELECT suite, id, sum(timed_out)::BIGINT AS timeouts, count(*) AS tasks FROM q GROUP BY 1, 2", True)
     has = {i: f"contains(combination, 's{i}')" for i in (1, 2, 3)}
     word = lambda ws, n: f"[{', '.join(ws)}][1 + task_id % {n}]"

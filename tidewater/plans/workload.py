@@ -184,11 +184,12 @@ def fe_02_suite_totals(t):
 
 
 def fe_03_query_times(t):
-    return features.query_rows(documents(t)).select("task_id", "suite", "id", "ms")
+    rows = features.query_rows(documents(t)).groupBy("suite", "id")
+    return rows.agg(F.count("ms").alias("tasks"), F.round(F.sum("ms"), 3).alias("total_ms"), F.min("ms").alias("least_ms"))
 
 
 def fe_04_censored_flags(t):
-    return features.query_rows(documents(t)).select("task_id", "suite", "id", "timed_out")
+    return features.query_rows(documents(t)).groupBy("task_id", "suite").agg(F.sum("timed_out").alias("imputed"), F.count("timed_out").alias("queries"))
 
 
 def fe_05_config_encoding(t):

@@ -43,10 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only an unset ``spark.checkpoint.dir`` (tests, laptops) falls back to a
     temporary folder; executors of a real cluster could not read that.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    current = spark.sparkContext.getCheckpointDir()
+    if current:
+        return current
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
