@@ -184,7 +184,7 @@ def sqls() -> dict[str, str]:
         CASE tier WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 4 END AS sf FROM w_tasks WHERE status = 'done'))"""
     at = lambda p: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY duration_s, task_id) - 1 AS k, count(*) OVER (PARTITION BY tier) AS n FROM c) WHERE k = floor({p}::DOUBLE * (n - 1)))"
     best = "(SELECT * FROM c WHERE tpch_geo_mean_ms IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tier ORDER BY tpch_geo_mean_ms, task_id) = 1)"
-    s["co_01_run_costs"] = check(f"WITH {cost} SELECT task_id, tier, round(cost_usd, 9) AS cost_usd, round(cost_brl, 9) AS cost_brl, round(cost_per_sf, 9) AS cost_per_sf FROM c")
+    s["co_01_run_costs"] = check(f"WITH {cost} SELECT task_id, tier, cost_usd, cost_brl, cost_per_sf FROM c")
     s["co_02_percentile_run"] = check(f"WITH {cost} SELECT tier, task_id, duration_s FROM {at('0.9')}")
     s["co_03_best_run"] = check(f"WITH {cost} SELECT tier, task_id, tpch_geo_mean_ms FROM {best}")
     s["co_04_tuning_report"] = check(f"""WITH {cost} SELECT a.tier AS tier, a.task_id AS bad_task, m.task_id AS median_task, b.task_id AS best_task, round((1 - b.cost_usd / a.cost_usd) * 100, 2) AS best_saving_pct, round((1 - m.cost_usd / a.cost_usd) * 100, 2) AS median_saving_pct,

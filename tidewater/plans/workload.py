@@ -326,7 +326,7 @@ def rk_15_outliers(t):
 
 def co_01_run_costs(t):
     c = costs.run_costs(t.tasks)
-    return c.select("task_id", "tier", *[F.round(x, 9).alias(x) for x in ("cost_usd", "cost_brl", "cost_per_sf")])
+    return c.select("task_id", "tier", "cost_usd", "cost_brl", "cost_per_sf")
 
 
 def co_02_percentile_run(t):
