@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.values import BOOL_PARAMS, MEMORY_PARAMS, memory_mb, switch
 from tidewater.operators.features import PARAMS, STAGE1, STAGE2, STAGE3
-from tidewater.operators.ranks import attach_position
+from tidewater.operators.ranks import attach_position, settle
 
 # vCPUs, memory MB, shared memory MB, scale factor by tier.
 TIERS = {"low": (2, 2048, 576, 1), "medium": (4, 4096, 1152, 2), "high": (6, 5120, 1536, 4)}
@@ -156,6 +156,13 @@ def _shared_choices(tier: str) -> tuple:
     return within(choices, int(ram * 0.15), min(int(ram * 0.30), shm - 64)) or within(choices, int(ram * 0.10), shm) or choices
 
 
+def _cache_choices(tier: str, shared: float) -> tuple:
+    ram = TIERS[tier][1]
+    choices = spec("effective_cache_size", tier)
+    floor = max(int(ram * _cache_ratio(tier)), shared + 1)
+    return within(choices, floor, int(ram * 0.80)) or within(choices, shared + 1, ram) or choices
+
+
 def _work_choices(tier: str, capped: bool) -> tuple:
     ram = TIERS[tier][1]
     choices = spec("work_mem", tier)
@@ -183,14 +190,14 @@ def decode(rows: DataFrame) -> DataFrame:
     df = put(df, 1, "max_parallel_workers_per_gather", randint(least, most, q("max_parallel_workers_per_gather")))
     df = put(df, 1, "max_worker_processes", cpu * 2 + 4)
     df = put(df, 1, "shared_buffers", pick(by_tier(lambda t: _texts(_shared_choices(t))), q("shared_buffers")))
-    shared = memory_mb("shared_buffers")
-    choices = by_tier(lambda t: _texts(spec("effective_cache_size", t)))
-    ram = by_tier(lambda t: TIERS[t][1])
-    floor = F.greatest(by_tier(lambda t: int(TIERS[t][1] * _cache_ratio(t))).cast("double"), shared + 1)
-    first = F.filter(choices, lambda c: (memory_mb(c) >= floor) & (memory_mb(c) <= by_tier(lambda t: int(TIERS[t][1] * 0.80))))
-    second = F.filter(choices, lambda c: (memory_mb(c) >= shared + 1) & (memory_mb(c) <= ram))
-    fitting = F.when(F.size(first) > 0, first).when(F.size(second) > 0, second).otherwise(choices)
-    df = put(df, 1, "effective_cache_size", pick(fitting, q("effective_cache_size")))
+    # the buffer choice is one of few: its fitting cache sizes are settled with the plan
+    def cache_choices(t):
+        out = F.lit(None).cast("array<string>")
+        for shared in spec("shared_buffers", t):
+            out = F.when(F.col("shared_buffers") == shared, _texts(_cache_choices(t, _mb(shared)))).otherwise(out)
+        return out
+
+    df = put(df, 1, "effective_cache_size", pick(by_tier(cache_choices), q("effective_cache_size")))
     work = F.when(F.col("max_parallel_workers_per_gather") >= 2, by_tier(lambda t: _texts(_work_choices(t, True)))).otherwise(by_tier(lambda t: _texts(_work_choices(t, False))))
     df = put(df, 1, "work_mem", pick(work, q("work_mem")))
     for p in ("enable_hashagg", "enable_bitmapscan", "enable_nestloop", "enable_parallel_hash", "enable_sort"):
@@ -280,13 +287,15 @@ def generate(slots: DataFrame, seed: int = 42, attempts: int = 32, slot: str = "
     """
 
     def valid(rows):
-        made = decode(rows).withColumn("errors", errors()).where(F.size("errors") == 0).drop("errors")
+        # settled between the steps: each then compiles to a small projection
+        made = settle(decode(settle(rows))).where(F.size(errors()) == 0)
         return made.withColumn("config", config_map()).withColumn("config_key", F.to_json("config")).select(*by, slot, "attempt", "config", "config_key")
 
     first = valid(lhs_wide(slots, seed, slot, by).withColumn("attempt", F.lit(0)))
     later = valid(random_wide(slots, seed, attempts, slot))
     tries = first.unionByName(later)
     # both steps keep the least struct of a group, so they combine map-side
+    tries = settle(tries)
     unique = tries.groupBy(*by, "config_key").agg(F.min(F.struct("attempt", slot)).alias("w"), F.first("config").alias("config"))
     chosen = unique.groupBy(*by, F.col(f"w.{slot}").alias(slot)).agg(F.min_by(F.struct("config", F.col("w.attempt").alias("attempt")), F.col("w.attempt")).alias("c"))
     return chosen.select(*by, slot, "c.attempt", "c.config")
@@ -294,7 +303,7 @@ def generate(slots: DataFrame, seed: int = 42, attempts: int = 32, slot: str = "
 
 def validity_report(slots: DataFrame, seed: int = 42, slot: str = "slot", by: tuple[str, ...] = ("tier", "combination")) -> DataFrame:
     """How many hypercube points are valid per tier and combination, with a sample error."""
-    made = decode(lhs_wide(slots, seed, slot, by)).withColumn("errors", errors())
+    made = settle(settle(decode(settle(lhs_wide(slots, seed, slot, by)))).select(*by, errors().alias("errors")))
     bad = F.size("errors") > 0
     return made.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("invalid"), F.min(F.when(bad, F.col("errors")[0])).alias("sample_error")
