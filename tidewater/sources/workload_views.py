@@ -108,8 +108,8 @@ def build() -> dict[str, View]:
         "CASE WHEN event_id % 10 = 3 THEN NULL ELSE value / 3 END AS cpu_percent", "value * 20 / 3 AS cpu_freq_mhz", "30 + value / 9 AS cpu_temp_tctl_c",
         "value / 47 AS mem_used_gb", "value / 7 AS mem_percent", "CAST(event_id % 70 AS DOUBLE) AS disk_read_mb_s", "CAST(event_id % 30 AS DOUBLE) AS disk_write_mb_s",
         "CASE WHEN user_id % 2 = 0 THEN value / 3 END AS gpu_edge_c", "CASE WHEN user_id % 3 = 0 THEN value / 7 END AS gpu_junction_c", "CAST(NULL AS DOUBLE) AS gpu_mem_c",
-        "CASE WHEN user_id % 4 = 0 THEN LIST_OF(value / 7, value / 3.7) ELSE LIST_OF(value / 7, value / 3.7, value / 9, value / 11) END AS cpu_temp_cores_c",
-        "LIST_OF(value / 13, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / 3 END) AS nvme_temps_c", "LIST_OF(value / 17) AS ram_temps_c",
+        "CASE WHEN user_id % 4 = 0 THEN LIST_OF(value / 7.3, value / 3.7) ELSE LIST_OF(value / 7.3, value / 3.7, value / 9.1, value / 11.3) END AS cpu_temp_cores_c",
+        "LIST_OF(value / 13.7, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value / 3.3 END) AS nvme_temps_c", "LIST_OF(value / 17.3) AS ram_temps_c",
         "CASE WHEN event_id % 11 = 0 THEN NULL ELSE (event_id * 7919 + user_id * 13) % 10000000 END AS rapl_energy_uj",
         "event_id * 1048576 AS read_bytes", "event_id * event_id % 1000003 * 4096 AS write_bytes", "CAST(20000 + event_id % 60000 AS BIGINT) AS raw_millic", "user_id * 1073741824 + event_id AS mem_used_bytes"))
     v["changes"] = View("events", (
