@@ -17,7 +17,7 @@ INPUTS = [f"cfg_{p}" for p in SET_PARAMS] + list(features.HARDWARE)
 
 def _samples(t):
     events = live.file_stream(t.spark, t.folder, "events")
-    return events.select(F.col("user_id").alias("task_id"), F.to_timestamp("ts").alias("at"), (F.col("value") / 3.7).alias("cpu_percent"), (F.col("value") / 4.7).alias("mem_used_gb"))
+    return events.select(F.col("user_id").alias("task_id"), F.to_timestamp("ts").alias("at"), (F.col("value") / 3.7123).alias("cpu_percent"), (F.col("value") / 4.7123).alias("mem_used_gb"))
 
 
 def st_01_hardware_windows(t):
@@ -109,7 +109,7 @@ QUERIES = {name: f for name, f in list(globals().items()) if name.startswith(("s
 
 
 def check_sql() -> dict[str, str]:
-    stats = ", ".join(f"round_even(avg({x}), 2) AS {m}_avg, round_even(max({x}), 2) AS {m}_max, round_even(min({x}), 2) AS {m}_min" for m, x in (("cpu_percent", "value / 3.7"), ("mem_used_gb", "value / 4.7")))
+    stats = ", ".join(f"round_even(avg({x}), 2) AS {m}_avg, round_even(max({x}), 2) AS {m}_max, round_even(min({x}), 2) AS {m}_min" for m, x in (("cpu_percent", "value / 3.7123"), ("mem_used_gb", "value / 4.7123")))
     tier = pick(TIERS, "l_orderkey")
     return {
         "st_01_hardware_windows": f"SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS window_start_s, user_id AS task_id, {stats}, count(*) AS n_samples FROM events GROUP BY 1, 2",
@@ -117,5 +117,5 @@ def check_sql() -> dict[str, str]:
         "st_04_overdue": f"""WITH g AS (SELECT l_orderkey AS task_id, {tier} AS tier, round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * 100)::DOUBLE / 1000, 3) AS spent_s FROM lineitem GROUP BY 1, 2)
             SELECT *, spent_s > CASE tier WHEN 'low' THEN 10800 WHEN 'medium' THEN 14400 ELSE 28800 END AS overdue FROM g""",
         "st_05_recent_load": """WITH x AS (SELECT CAST(epoch(time_bucket(INTERVAL '5 minutes', ts)) AS BIGINT) - o AS w, value FROM events CROSS JOIN (VALUES (0), (300)) v(o))
-            SELECT w AS window_start_s, round_even(avg(value / 3.7), 2) AS load, count(*) AS n FROM x GROUP BY 1""",
+            SELECT w AS window_start_s, round_even(avg(value / 3.7123), 2) AS load, count(*) AS n FROM x GROUP BY 1""",
     }
