@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,7 +40,20 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def share_package(spark: SparkSession) -> None:
+    """Hands this package to the Python workers, unless their path has it already (installed, or on PYTHONPATH)."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    listed = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if root in listed or Path.cwd() == root or getattr(context, "_tidewater_shared", False):
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        context.addPyFile(shutil.make_archive(f"{folder}/tidewater", "zip", root, "tidewater"))
+    context._tidewater_shared = True
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import simhash
+from tidewater.llm import lines, mixing, packing, simhash
 from tidewater.llm.common import documents
 
 
@@ -14,8 +14,59 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.dedup_lines(documents(spark, folder))
+    return found.select("doc_id", F.size("dropped_lines").cast("long").alias("n_dropped"), F.array_join(F.col("dropped_lines").cast("array<string>"), ",").alias("dropped_lines"), "text")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op5_mixing": op5_mixing,
+    "op8_packing": op8_packing,
+    "op10_lines": op10_lines,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The share that no cap binds is found by trying every number of capped sources, in order of cap by weight.
+OP5_SQL = """
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+     src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+     ranked AS (SELECT source, source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS r FROM src),
+     weighed AS (SELECT *, 1 + r % 3 AS w, 3 * source_size AS cap FROM ranked),
+     tried AS (SELECT *, (SELECT CAST(sum(source_size) AS BIGINT) FROM weighed) - coalesce(sum(cap) OVER up, 0) AS left_over, (SELECT CAST(sum(w) AS BIGINT) FROM weighed) - coalesce(sum(w) OVER up, 0) AS share
+               FROM weighed WINDOW up AS (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+     level AS (SELECT left_over, share FROM tried WHERE w * left_over <= cap * share ORDER BY cap / w, r LIMIT 1),
+     goals AS (SELECT source, source_size, r, least(CAST(cap AS DOUBLE), CAST(left_over AS DOUBLE) * w / CAST(share AS DOUBLE)) AS target FROM weighed, level),
+     placed AS (SELECT doc_id, size, source_size, target, r, CAST(round(target) AS BIGINT) AS goal,
+                       CAST(coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+                FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+     sloped AS (SELECT *, (r % 3 - 1) * 0.5::DOUBLE AS slope, before::DOUBLE / nullif(goal, 0) AS part FROM placed)
+SELECT doc_id, size, source_size, target,
+       CAST(greatest(0, least(size, goal - before)) + greatest(0, least(size, goal - before - source_size)) + greatest(0, least(size, goal - before - 2 * source_size)) AS BIGINT) AS taken,
+       CASE WHEN goal > before THEN 2 * part / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * part)) ELSE 1 + before / greatest(source_size, 1) END AS position
+FROM sloped
+"""
+
+#: Templates are compared as text here. Lines of the same text in one document are told apart by their number.
+OP10_SQL = """
+WITH split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
+     cut AS (SELECT doc_id, n, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS tokens FROM split),
+     masked AS (SELECT doc_id, n, tokens, list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS m FROM cut WHERE len(tokens) >= 5),
+     shaped AS (SELECT doc_id, n, CASE WHEN 2 * len(list_filter(m, lambda t: t = '<*>')) <= len(m) THEN m ELSE tokens END AS shape FROM masked),
+     gone AS (SELECT doc_id, n FROM (SELECT *, min(doc_id) OVER (PARTITION BY shape) AS first FROM shaped) WHERE doc_id > first),
+     kept AS (SELECT s.doc_id, list(s.line ORDER BY s.n) FILTER (WHERE g.n IS NULL) AS stay, list(s.n ORDER BY s.n) FILTER (WHERE g.n IS NOT NULL) AS lost FROM split s LEFT JOIN gone g USING (doc_id, n) GROUP BY s.doc_id)
+SELECT d.doc_id, CAST(coalesce(len(lost), 0) AS BIGINT) AS n_dropped, coalesce(array_to_string(lost, ','), '') AS dropped_lines, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(array_to_string(stay, chr(10)), '') END AS text
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL = {
+    "op5_mixing": OP5_SQL,
+    "op10_lines": OP10_SQL,
+}
