@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import lines, mixing, packing, simhash
-from tidewater.llm.common import documents
+from tidewater.llm import lines, mixing, packing, simhash, topk, toxicity
+from tidewater.llm.common import documents, share_package
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,6 +14,18 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    share_package(spark)
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
+    return topk.exact_top_k(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.fit(docs, labels))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "position")
 
@@ -29,6 +41,8 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_topk": op2_topk,
+    "op3_toxicity": op3_toxicity,
     "op5_mixing": op5_mixing,
     "op8_packing": op8_packing,
     "op10_lines": op10_lines,
@@ -66,7 +80,16 @@ SELECT d.doc_id, CAST(coalesce(len(lost), 0) AS BIGINT) AS n_dropped, coalesce(a
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.c, c.c), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+     ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 ORACLE_SQL = {
+    "op2_topk": OP2_SQL,
     "op5_mixing": OP5_SQL,
     "op10_lines": OP10_SQL,
 }
