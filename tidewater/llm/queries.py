@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import lines, mixing, packing, simhash, topk, toxicity
+from tidewater.llm import licenses, lines, mixing, packing, resample, secret_scan, simhash, sketch, topk, toxicity
 from tidewater.llm.common import documents, share_package
 
 
@@ -26,14 +26,36 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan_documents(documents(spark, folder))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = sketch.edited_fingerprints(documents(spark, folder))
+    texts = {"fingerprint": F.lower(F.hex("sketch")), "edited_fingerprint": F.lower(F.hex("edited_sketch"))}
+    return found.withColumns(texts).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "kept_in_edited")
+
+
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of a tree source/hundreds/name, in which the first of each hundred is the directory's licence file."""
+    docs = documents(spark, folder)
+    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 100).cast("string"), name)
+    return licenses.licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
     found = lines.dedup_lines(documents(spark, folder))
     return found.select("doc_id", F.size("dropped_lines").cast("long").alias("n_dropped"), F.array_join(F.col("dropped_lines").cast("array<string>"), ",").alias("dropped_lines"), "text")
@@ -43,8 +65,12 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
     "op3_toxicity": op3_toxicity,
+    "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_licenses": op7_licenses,
     "op8_packing": op8_packing,
+    "op9_resample": op9_resample,
     "op10_lines": op10_lines,
 }
 
