@@ -13,10 +13,11 @@ from tidewater.plans.retail_star import WANTED_ZIPS
 
 # The postal codes the store-profit query asks for.
 PROFIT_ZIPS = (
-    "24128 76232 65084 87816 83926 77556 20548 26114 57678 66455 41207 26161 00212 90578 73602 39559 41062 48442 48408 71526 "
-    "56804 32412 58843 43339 42775 31234 56569 85268 71791 57029 73167 54561 53034 41796 75625 37272 51997 60099 69016 69227 "
-    "25263 65393 52005 97294 16226 62964 10174 80583 88150 37615"
-).split()
+    "24128", "76232", "65084", "87816", "83926", "77556", "20548", "26114", "57678", "66455", "41207", "26161", "00212", "90578", "73602",
+    "39559", "41062", "48442", "48408", "71526", "56804", "32412", "58843", "43339", "42775", "31234", "56569", "85268", "71791", "57029",
+    "73167", "54561", "53034", "41796", "75625", "37272", "51997", "60099", "69016", "69227", "25263", "65393", "52005", "97294", "16226",
+    "62964", "10174", "80583", "88150", "37615",
+)
 
 
 def _stack(parts: list[DataFrame]) -> DataFrame:
