@@ -122,11 +122,20 @@ def test_generated_configs(spark):
         per.setdefault((r.tier, r.param), []).append(int(r.q * r.n))
     assert all(sorted(v) == list(range(20)) for v in per.values())
     made = configspace.generate(slots, 7, 40).collect()
+    assert {r.status for r in made} == {"filled"}
     assert len(made) == 60 and len({(r.tier, tuple(sorted(r.config.items()))) for r in made}) == 60
     again = configspace.generate(slots, 7, 40).collect()
     assert {(r.slot, tuple(sorted(r.config.items()))) for r in made} == {(r.slot, tuple(sorted(r.config.items()))) for r in again}
 
 
+def test_generation_tells_which_slots_it_could_not_fill(spark):
+    slots = spark.range(300).selectExpr("id slot", "'low' tier", "'s3' combination")
+    made = configspace.generate(slots, 7).collect()
+    held = [tuple(sorted(r.config.items())) for r in made if r.status == "filled"]
+    assert len(made) == 300 and len(held) == len(set(held)) == 256
+    assert all(r.config is None for r in made if r.status == "exhausted")
+
+
 def test_costs(spark):
     df = spark.createDataFrame([(1, "medium", "done", 3600.0)], "task_id long, tier string, status string, duration_s double")
     r = costs.run_costs(df).first()

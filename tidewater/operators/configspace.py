@@ -7,9 +7,10 @@ re-executed task gives the same rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.values import BOOL_PARAMS, MEMORY_PARAMS, memory_mb, switch
@@ -51,11 +52,27 @@ SPACE: dict[str, object] = {
 _UNITS = {"GB": 1024.0, "MB": 1.0, "kB": 1 / 1024}
 
 
-def spec(param: str, tier: str):
-    value = SPACE[param]
+def spec(param: str, tier: str, space: dict | None = None):
+    value = (space or SPACE)[param]
     return value[tier] if isinstance(value, dict) else value
 
 
+def load_space(rows: DataFrame) -> dict[str, dict]:
+    """A space for ``decode`` from its normal form (see ``space_rows``): ranges as [low, high], choices as tuples.
+
+    One row for each range and choice of a catalogue comes to the driver.
+    """
+    number = {"int": int, "float": float}
+    out: dict[str, dict] = {}
+    for r in rows.orderBy("param", "tier", "idx").collect():
+        tiers = out.setdefault(r.param, {})
+        if r.mode == "range":
+            tiers[r.tier] = [number[r.type](r.min), number[r.type](r.max)]
+        else:
+            tiers[r.tier] = (*tiers.get(r.tier, ()), r.choice)
+    return out
+
+
 def _mb(text: str) -> float:
     return float(text[:-2]) * _UNITS[text[-2:]]
 
@@ -105,10 +122,10 @@ def lhs_wide(slots: DataFrame, seed: int, slot: str = "slot", by: tuple[str, ...
     return long.groupBy(*by, slot).agg(*[F.max(F.when(F.col("param") == p, F.col("q"))).alias(f"q_{p}") for p in params])
 
 
-def random_wide(slots: DataFrame, seed: int, attempts: int, slot: str = "slot") -> DataFrame:
-    """Plain random quantiles for several further attempts per slot."""
+def random_wide(slots: DataFrame, seed: int, first: int, last: int, slot: str = "slot") -> DataFrame:
+    """Plain random quantiles for the attempts from ``first`` to ``last`` of each slot."""
     params = [p for ps in SAMPLED.values() for p in ps]
-    tries = slots.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
+    tries = slots.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last))))
     qs = [(F.shiftrightunsigned(F.xxhash64(F.lit(seed + 2), F.lit(p), F.col(slot), F.col("attempt")), 11) / float(1 << 53)).alias(f"q_{p}") for p in params]
     return tries.select("*", *qs)
 
@@ -131,11 +148,6 @@ def randint(lo, hi, q: Column) -> Column:
     return F.bround(lo + q * (hi - lo)).cast("int")
 
 
-def within(choices, low: float = 0, high: float | None = None) -> tuple:
-    """Memory choices inside inclusive MB bounds."""
-    return tuple(c for c in choices if _mb(c) >= low and (high is None or _mb(c) <= high))
-
-
 def _texts(values) -> Column:
     return F.array(*[F.lit(str(v)) for v in values]) if values else F.array().cast("array<string>")
 
@@ -144,79 +156,77 @@ def _has(stage: int, combination: str = "combination") -> Column:
     return F.col(combination).contains(f"s{stage}")
 
 
-def _cache_ratio(tier: str) -> float:
-    ram = TIERS[tier][1]
-    target = 0.50 if ram <= 4096 else 0.45 if ram <= 8192 else 0.40
-    return min(target, max(_mb(c) for c in spec("effective_cache_size", tier)) / ram)
+# Bounds in MB of the memory choices that suit a machine, tried in order until one leaves a choice; beyond, all suit.
+# The names are columns: ram, shm, gather, shared, and ratio, the share of memory that a cache should have.
+FITTING = {
+    "shared_buffers": (("floor(ram * 0.15)", "least(floor(ram * 0.30), shm - 64)"), ("floor(ram * 0.10)", "shm")),
+    "effective_cache_size": (("greatest(floor(ram * ratio), shared + 1)", "floor(ram * 0.80)"), ("shared + 1", "ram")),
+    "work_mem": (
+        ("CASE WHEN ram >= 6144 THEN 32 WHEN ram >= 4096 THEN 16 ELSE 8 END", "least(floor(ram * 0.10), CASE WHEN gather < 2 THEN ram WHEN ram >= 6144 THEN 128 ELSE 64 END)"),
+        ("CASE WHEN ram >= 6144 THEN 32 WHEN ram >= 4096 THEN 16 ELSE 8 END", "floor(ram * 0.10)"),
+    ),
+}
+CACHE_SHARE = "CASE WHEN ram <= 4096 THEN 0.50D WHEN ram <= 8192 THEN 0.45D ELSE 0.40D END"
+_MACHINE = ("cpu", "ram", "shm", "ratio")
 
 
-def _shared_choices(tier: str) -> tuple:
-    _, ram, shm, _ = TIERS[tier]
-    choices = spec("shared_buffers", tier)
-    return within(choices, int(ram * 0.15), min(int(ram * 0.30), shm - 64)) or within(choices, int(ram * 0.10), shm) or choices
+def with_machine(rows: DataFrame, space: dict | None = None) -> DataFrame:
+    """Adds what a tier's machine has (cpu, ram, shm in MB) and the cache share it should use, no more than its space offers."""
+    most = by_tier(lambda t: max(_mb(c) for c in spec("effective_cache_size", t, space)))
+    out = rows.withColumns({n: by_tier(lambda t, i=i: TIERS[t][i]) for i, n in enumerate(("cpu", "ram", "shm"))})
+    return out.withColumn("ratio", F.least(F.expr(CACHE_SHARE), most / F.col("ram")))
 
 
-def _cache_choices(tier: str, shared: float) -> tuple:
-    ram = TIERS[tier][1]
-    choices = spec("effective_cache_size", tier)
-    floor = max(int(ram * _cache_ratio(tier)), shared + 1)
-    return within(choices, floor, int(ram * 0.80)) or within(choices, shared + 1, ram) or choices
+def fitting(param: str, choices: Column) -> Column:
+    """The choices of a parameter that suit the machine of the row."""
 
+    def between(low: str, high: str) -> Column:
+        kept = F.filter(choices, lambda c: memory_mb(c).between(F.expr(low), F.expr(high)))
+        return F.when(F.size(kept) > 0, kept)
 
-def _work_choices(tier: str, capped: bool) -> tuple:
-    ram = TIERS[tier][1]
-    choices = spec("work_mem", tier)
-    kept = within(choices, 32 if ram >= 6144 else 16 if ram >= 4096 else 8, int(ram * 0.10))
-    if capped:
-        kept = within(kept, 0, 128 if ram >= 6144 else 64) or kept
-    return kept or choices
+    return F.coalesce(*[between(*bounds) for bounds in FITTING[param]], choices)
 
 
-def decode(rows: DataFrame) -> DataFrame:
-    """Configuration columns from quantile columns; parameters of absent stages stay NULL."""
+def decode(rows: DataFrame, space: dict | None = None) -> DataFrame:
+    """Configuration columns from quantile columns; parameters of absent stages stay NULL. ``space``: see ``load_space``."""
     q = lambda p: F.col(f"q_{p}")
-    bound = lambda p, i: by_tier(lambda t: spec(p, t)[i])
+    bound = lambda p, i: by_tier(lambda t: spec(p, t, space)[i])
     put = lambda df, stage, name, value: df.withColumn(name, F.when(_has(stage), value))
-    choice = lambda p: pick(by_tier(lambda t: _texts(spec(p, t))), q(p))
+    listed = lambda p: by_tier(lambda t: _texts(spec(p, t, space)))
+    choice = lambda p: pick(listed(p), q(p))
+    rows = with_machine(rows, space)
     df = put(rows, 1, "jit", choice("jit").cast("int"))
     df = put(df, 1, "seq_page_cost", F.lit(1.0))
     df = put(df, 1, "random_page_cost", uniform(bound("random_page_cost", 0), F.least(bound("random_page_cost", 1), F.lit(4.0)), q("random_page_cost"), 3))
     df = put(df, 1, "default_statistics_target", randint(bound("default_statistics_target", 0), bound("default_statistics_target", 1), q("default_statistics_target")))
-    cpu = by_tier(lambda t: TIERS[t][0])
-    most = F.least(cpu, bound("max_parallel_workers", 1))
+    most = F.least(F.col("cpu"), bound("max_parallel_workers", 1))
     df = put(df, 1, "max_parallel_workers", randint(F.least(bound("max_parallel_workers", 0), most), most, q("max_parallel_workers")))
-    most = F.least(F.col("max_parallel_workers"), by_tier(lambda t: max(1, TIERS[t][0] // 2)), bound("max_parallel_workers_per_gather", 1))
+    most = F.least(F.col("max_parallel_workers"), F.expr("greatest(1, cpu div 2)").cast("int"), bound("max_parallel_workers_per_gather", 1))
     least = F.least(F.greatest(bound("max_parallel_workers_per_gather", 0), F.lit(1)), most)
     df = put(df, 1, "max_parallel_workers_per_gather", randint(least, most, q("max_parallel_workers_per_gather")))
-    df = put(df, 1, "max_worker_processes", cpu * 2 + 4)
-    df = put(df, 1, "shared_buffers", pick(by_tier(lambda t: _texts(_shared_choices(t))), q("shared_buffers")))
-    # the buffer choice is one of few: its fitting cache sizes are settled with the plan
-    def cache_choices(t):
-        out = F.lit(None).cast("array<string>")
-        for shared in spec("shared_buffers", t):
-            out = F.when(F.col("shared_buffers") == shared, _texts(_cache_choices(t, _mb(shared)))).otherwise(out)
-        return out
-
-    df = put(df, 1, "effective_cache_size", pick(by_tier(cache_choices), q("effective_cache_size")))
-    work = F.when(F.col("max_parallel_workers_per_gather") >= 2, by_tier(lambda t: _texts(_work_choices(t, True)))).otherwise(by_tier(lambda t: _texts(_work_choices(t, False))))
-    df = put(df, 1, "work_mem", pick(work, q("work_mem")))
+    df = put(df, 1, "max_worker_processes", F.col("cpu") * 2 + 4)
+    # each memory choice among those that suit the machine and what was chosen before
+    df = put(df.withColumn("gather", F.col("max_parallel_workers_per_gather")), 1, "shared_buffers", pick(fitting("shared_buffers", listed("shared_buffers")), q("shared_buffers")))
+    df = df.withColumn("shared", memory_mb("shared_buffers"))
+    for p in ("effective_cache_size", "work_mem"):
+        df = put(df, 1, p, pick(fitting(p, listed(p)), q(p)))
     for p in ("enable_hashagg", "enable_bitmapscan", "enable_nestloop", "enable_parallel_hash", "enable_sort"):
         df = put(df, 1, p, choice(p))
     df = put(df, 1, "synchronous_commit", F.lit("off"))
     # operator cost <= index cost <= tuple cost
-    df = put(df, 2, "cpu_tuple_cost", uniform(*spec("cpu_tuple_cost", "low"), q("cpu_tuple_cost"), 4))
+    df = put(df, 2, "cpu_tuple_cost", uniform(bound("cpu_tuple_cost", 0), bound("cpu_tuple_cost", 1), q("cpu_tuple_cost"), 4))
     for p, above in (("cpu_index_tuple_cost", "cpu_tuple_cost"), ("cpu_operator_cost", "cpu_index_tuple_cost")):
         most = F.least(bound(p, 1), F.col(above))
         df = put(df, 2, p, uniform(F.least(bound(p, 0), most), most, q(p), 5))
-    df = put(df, 2, "parallel_tuple_cost", uniform(*spec("parallel_tuple_cost", "low"), q("parallel_tuple_cost"), 3))
-    df = put(df, 2, "hash_mem_multiplier", uniform(*spec("hash_mem_multiplier", "low"), q("hash_mem_multiplier"), 1))
+    df = put(df, 2, "parallel_tuple_cost", uniform(bound("parallel_tuple_cost", 0), bound("parallel_tuple_cost", 1), q("parallel_tuple_cost"), 3))
+    df = put(df, 2, "hash_mem_multiplier", uniform(bound("hash_mem_multiplier", 0), bound("hash_mem_multiplier", 1), q("hash_mem_multiplier"), 1))
     for p in ("parallel_setup_cost", "join_collapse_limit", "from_collapse_limit"):
         df = put(df, 2, p, randint(bound(p, 0), bound(p, 1), q(p)))
     for p in ("min_parallel_table_scan_size", "min_parallel_index_scan_size", "enable_mergejoin", "enable_hashjoin"):
         df = put(df, 2, p, choice(p))
     for p in STAGE3:
         df = put(df, 3, p, choice(p))
-    return df.drop(*[f"q_{p}" for ps in SAMPLED.values() for p in ps])
+    return df.drop(*_MACHINE, "gather", "shared", *[f"q_{p}" for ps in SAMPLED.values() for p in ps])
 
 
 def config_map(params=PARAMS) -> Column:
@@ -234,6 +244,7 @@ def errors() -> Column:
     shared, work, cache = memory_mb("shared_buffers"), memory_mb("work_mem"), memory_mb("effective_cache_size")
     gather, workers = F.col("max_parallel_workers_per_gather"), F.col("max_parallel_workers")
     peak = by_tier(lambda t: TIERS[t][1] * (0.75 if TIERS[t][1] <= 4096 else 0.78 if TIERS[t][1] <= 8192 else 0.82))
+    share = F.when(ram <= 4096, 0.50).when(ram <= 8192, 0.45).otherwise(0.40)
     off = lambda p: F.coalesce(F.col(p) == "off", F.lit(False))
     e1 = {
         "e1_gather_below_one": gather < 1,
@@ -244,7 +255,7 @@ def errors() -> Column:
         "e1_random_seq_ratio": F.col("random_page_cost") / F.col("seq_page_cost") > 4.0,
         "e1_shared_over_shm": shared > shm - 64,
         "e1_cache_not_over_shared": cache <= shared,
-        "e1_cache_too_low": cache < by_tier(lambda t: TIERS[t][1] * _cache_ratio(t)),
+        "e1_cache_too_low": cache < ram * F.least(share, by_tier(lambda t: max(_mb(c) for c in spec("effective_cache_size", t))) / ram),
         "e1_shared_too_low": shared / ram < 0.15,
         "e1_shared_too_high": shared / ram > 0.30,
         "e1_memory_peak": shared + work * F.greatest(F.lit(1), gather) * 3 > peak,
@@ -278,27 +289,79 @@ def diagnose(space: DataFrame) -> DataFrame:
     return out.withColumn("ok", F.col("max_cache_mb") > F.col("max_shared_mb"))
 
 
-def generate(slots: DataFrame, seed: int = 42, attempts: int = 32, slot: str = "slot", by: tuple[str, ...] = ("tier", "combination")) -> DataFrame:
-    """A valid configuration per slot, no two equal within a group.
+def _enumerated(groups: DataFrame, by: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """Every configuration of the toggle-only groups, as (by, config, config_key), and their number for each group."""
+    sizes = {p: len(spec(p, "low")) for p in STAGE3}
+    total = math.prod(sizes.values())
+    rows = groups.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(total - 1))))
+    step = 1
+    for p in PARAMS:
+        if p in sizes:
+            rows = rows.withColumn(p, F.element_at(_texts(spec(p, "low")), (F.floor(F.col("_i") / step) % sizes[p] + 1).cast("int")))
+            step *= sizes[p]
+        else:
+            rows = rows.withColumn(p, F.lit(None).cast("string"))
+    return rows.withColumn("config", config_map()).select(*by, "config", F.to_json("config").alias("config_key")), total
 
-    The hypercube point of a slot is tried first and random points after it. An
-    equal configuration goes to the earlier attempt, then the lower slot; a
-    slot left without one (the space is exhausted) is absent from the result.
-    """
 
-    def valid(rows):
+def generate(slots: DataFrame, seed: int = 42, draws: int = 8, slot: str = "slot", by: tuple[str, ...] = ("tier", "combination")) -> DataFrame:
+    """(by, slot, attempt, config, status): each slot with a valid configuration, no two equal within a group.
+
+    The hypercube point of a slot is tried first. Rounds of ``draws`` random points for the slots still empty follow, each without the
+    configurations that are held already; an equal one goes to the earlier attempt, then the lower slot, and a slot takes one only.
+    Rounds go on until every slot is filled. Groups of toggles alone have finitely many configurations: what is free of these is given
+    out in one go, and slots beyond have no configuration and the status ``exhausted``; all others are ``filled``. A group in which
+    100 rounds in a row find nothing new has no valid space to speak of and is an error.
+    """
+    slots = settle(slots.select(*by, slot))
+    finite = F.col("combination") == "s3"
+
+    def award(tries: DataFrame, held: DataFrame | None) -> DataFrame:
+        if held is not None:
+            tries = tries.join(held.select(*by, "config_key"), [*by, "config_key"], "left_anti")
+        # both steps keep the least struct of a group, so they combine map-side
+        won = tries.groupBy(*by, "config_key").agg(F.min(F.struct("attempt", slot)).alias("w"), F.min(F.to_json("config")).alias("text"))
+        taken = won.groupBy(*by, F.col(f"w.{slot}").alias(slot)).agg(F.min(F.struct("w.attempt", "config_key")).alias("c"))
+        new = taken.select(*by, slot, "c.attempt", "c.config_key")
+        return settle(new if held is None else held.unionByName(new))
+
+    def valid(rows: DataFrame) -> DataFrame:
         # settled between the steps: each then compiles to a small projection
         made = settle(decode(settle(rows))).where(F.size(errors()) == 0)
-        return made.withColumn("config", config_map()).withColumn("config_key", F.to_json("config")).select(*by, slot, "attempt", "config", "config_key")
-
-    first = valid(lhs_wide(slots, seed, slot, by).withColumn("attempt", F.lit(0)))
-    later = valid(random_wide(slots, seed, attempts, slot))
-    tries = first.unionByName(later)
-    # both steps keep the least struct of a group, so they combine map-side
-    tries = settle(tries)
-    unique = tries.groupBy(*by, "config_key").agg(F.min(F.struct("attempt", slot)).alias("w"), F.first("config").alias("config"))
-    chosen = unique.groupBy(*by, F.col(f"w.{slot}").alias(slot)).agg(F.min_by(F.struct("config", F.col("w.attempt").alias("attempt")), F.col("w.attempt")).alias("c"))
-    return chosen.select(*by, slot, "c.attempt", "c.config")
+        return settle(made.withColumn("config", config_map()).select(*by, slot, "attempt", "config", F.to_json("config").alias("config_key")))
+
+    held = award(valid(lhs_wide(slots, seed, slot, by).withColumn("attempt", F.lit(0))), None)
+    # groups of toggles: the free configurations, in an order of hashes, to the empty slots in their order
+    empty = slots.join(held, [*by, slot], "left_anti")
+    toggles = empty.where(finite)
+    every, total = _enumerated(toggles.select(*by).distinct(), by)
+    free = every.join(held.select(*by, "config_key"), [*by, "config_key"], "left_anti")
+    free = free.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), "config_key"), "config_key")))
+    # the window keeps as many slots as there are configurations, before the shuffle as well
+    waiting = toggles.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(slot))).where(F.col("_n") <= total)
+    given = waiting.join(free, [*by, "_n"]).select(*by, slot, F.lit(1).alias("attempt"), "config_key")
+    held = settle(held.unionByName(given))
+    left, first, barren = slots.where(~finite).join(held, [*by, slot], "left_anti"), 1, 0
+    count = left.count()
+    while count:
+        held = award(valid(random_wide(left, seed, first, first + draws - 1, slot)), held)
+        first += draws
+        left = slots.where(~finite).join(held, [*by, slot], "left_anti")
+        now = left.count()
+        barren = barren + 1 if now == count else 0
+        if barren == 100:
+            raise ValueError(f"{now} slots found no valid configuration in {100 * draws} draws each")
+        count = now
+    out = slots.join(held, [*by, slot], "left")
+    config = F.from_json("config_key", "map<string, string>")
+    return out.select(*by, slot, "attempt", config.alias("config"), F.when(F.col("config_key").isNull(), "exhausted").otherwise("filled").alias("status"))
+
+
+def typed(rows: DataFrame, config: str = "config") -> DataFrame:
+    """Parameter columns from configuration maps, with the types that ``decode`` gives them."""
+    text = {p: F.try_element_at(F.col(config), F.lit(p)) for p in PARAMS}
+    numeric = {p for p in PARAMS if isinstance(SPACE.get(p), list) or isinstance(spec(p, "low") if p in SPACE else None, list)} | {"jit", "seq_page_cost", "max_worker_processes"}
+    return rows.withColumns({p: v.cast("double") if p in numeric else v for p, v in text.items()})
 
 
 def validity_report(slots: DataFrame, seed: int = 42, slot: str = "slot", by: tuple[str, ...] = ("tier", "combination")) -> DataFrame:
@@ -337,22 +400,21 @@ def out_of_range(configs: DataFrame, config: str = "config", key: str = "task_id
     return configs.select(key, "tier", F.explode(kept).alias("x")).select(key, "tier", "x.*")
 
 
+# The rule-based baseline as expressions over a tier's cpu and ram (MB); workers inherit the factory values on few CPUs.
+BASELINE = {
+    "shared_buffers": "concat(ram div 4, 'MB')",
+    "effective_cache_size": "concat(ram * 3 div 4, 'MB')",
+    "default_statistics_target": "500",
+    "random_page_cost": "4.0D",
+    "max_parallel_workers": f"if(cpu >= 4, cpu, {FACTORY['max_parallel_workers']})",
+    "max_parallel_workers_per_gather": f"if(cpu >= 4, cast(ceil(cpu / 2) as int), {FACTORY['max_parallel_workers_per_gather']})",
+    "work_mem": "concat(greatest(cast(floor((ram * 1024 - ram * 256) / ((40 + if(cpu >= 4, cpu, 8)) * 3) / 2) as bigint), 4096), 'kB')",
+}
+
+
 def rule_based(rows: DataFrame) -> DataFrame:
     """The rule-based baseline for each row's tier; other parameters inherit the factory values."""
-
-    def values(t):
-        cpu, ram, _, _ = TIERS[t]
-        total = ram * 1024
-        shared = total // 4
-        several = cpu >= 4
-        work = max(int((total - shared) / ((40 + (cpu if several else 8)) * 3) / 2), 4096)
-        return (
-            f"{shared // 1024}MB", f"{total * 3 // 4 // 1024}MB", 500, 4.0, cpu if several else int(FACTORY["max_parallel_workers"]),
-            -(-cpu // 2) if several else int(FACTORY["max_parallel_workers_per_gather"]), f"{work}kB",
-        )
-
-    names = ("shared_buffers", "effective_cache_size", "default_statistics_target", "random_page_cost", "max_parallel_workers", "max_parallel_workers_per_gather", "work_mem")
-    return rows.select("*", *[by_tier(lambda t, i=i: values(t)[i]).alias(n) for i, n in enumerate(names)])
+    return with_machine(rows).withColumns({name: F.expr(rule) for name, rule in BASELINE.items()}).drop(*_MACHINE)
 
 
 def expand_tasks(configs: DataFrame, repetitions: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.semantics import ordered
 from tidewater.operators.features import hardware
 from tidewater.operators.ranking import predicted_scores
-from tidewater.operators.ranks import attach_rank
+from tidewater.operators.ranks import attach_position
 
 # Hourly price in USD by tier, exchange rate, runs per month.
 TIER_PRICE = {"low": 0.085, "medium": 0.170, "high": 0.340}
@@ -32,12 +32,8 @@ def run_costs(results: DataFrame) -> DataFrame:
 
 def at_percentile(costs: DataFrame, share: float, tie: str = "task_id") -> DataFrame:
     """The run at a percentile of duration per tier: a real row, nothing interpolated."""
-    ranked = attach_rank(costs, "duration_s", ("tier",), "_d_")
-    wanted = F.floor(F.lit(share) * (F.col("_d_n") - 1)) + 1
-    near = ranked.where((F.col("_d_rank") <= wanted) & (wanted < F.col("_d_rank") + F.col("_d_ties"))).withColumn("_w", wanted - F.col("_d_rank") + 1)
-    # ties share one duration: the position inside them is taken by id
-    placed = attach_rank(near, tie, ("tier",), "_t_")
-    return placed.where("_t_rank = _w").drop(*[f"_{a}_{b}" for a in "dt" for b in ("rank", "ties", "n")], "_w")
+    placed = attach_position(costs, "duration_s", tie, ("tier",), "_at", "_n")
+    return placed.where(F.col("_at") == F.floor(F.lit(share) * (F.col("_n") - 1)) + 1).drop("_at", "_n")
 
 
 def best_run(costs: DataFrame, value: str = "tpch_geo_mean_ms", tie: str = "task_id") -> DataFrame:

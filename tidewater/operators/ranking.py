@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators.ranks import attach_position, attach_rank
+from tidewater.operators.ranks import attach_position, attach_ranks, settle
 from tidewater.plans.retail import group_total
 
 GROUP = ("tier", "combination")
@@ -19,10 +19,17 @@ TARGETS = {
 COMBINATIONS = ("s1", "s2", "s3", "s1_s2", "s1_s3", "s2_s3", "s1_s2_s3")
 
 
+def percent_ranks(df: DataFrame, values: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Percentile ranks ``{out: value}`` with ties averaged, over the non-NULL rows of a group."""
+    prefixes = {f"_p{i}_": (out, value) for i, (out, value) in enumerate(values.items())}
+    ranked = attach_ranks(df, {p: value for p, (_, value) in prefixes.items()}, by)
+    outs = {out: (F.col(f"{p}rank") + (F.col(f"{p}ties") - 1) / 2) / F.col(f"{p}n") for p, (out, _) in prefixes.items()}
+    return ranked.withColumns(outs).drop(*[f"{p}{x}" for p in prefixes for x in ("rank", "ties", "n")])
+
+
 def percent_rank(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Percentile rank with ties averaged, over the non-NULL rows of a group."""
-    ranked = attach_rank(df, value, by, "_p_")
-    return ranked.withColumn(out, (F.col("_p_rank") + (F.col("_p_ties") - 1) / 2) / F.col("_p_n")).drop("_p_rank", "_p_ties", "_p_n")
+    """``percent_ranks`` of one value."""
+    return percent_ranks(df, {out: value}, by)
 
 
 def _better(value: str, direction: str) -> Column:
@@ -43,9 +50,9 @@ def composite_score(rows: DataFrame, out: str = "score", columns: dict[str, tupl
     for name, (column, direction, weight) in columns.items():
         # NULL must stay NULL: greatest() would skip it
         seen = seen.withColumn(f"_v_{name}", F.when(F.col(column).isNotNull(), _better(column, direction)))
-        seen = percent_rank(seen, f"_v_{name}", f"_r_{name}", by)
         score = score + F.when(F.col(f"_seen_{name}") == 0, F.lit(0.0)).otherwise(F.lit(weight) * F.col(f"_r_{name}"))
     names = list(columns)
+    seen = percent_ranks(seen, {f"_r_{n}": f"_v_{n}" for n in names}, by)
     return seen.withColumn(out, score).drop(*[f"_{k}_{n}" for k in ("seen", "v", "r") for n in names])
 
 
@@ -63,7 +70,13 @@ def predicted_scores(candidates: DataFrame, idx: str = "candidate_idx", by: tupl
     weights = weights or {n: w for n, (_, _, _, w) in TARGETS.items() if w > 0}
     rows, score = candidates, F.lit(0.0)
     for name, weight in weights.items():
-        rows = position_norm(rows.withColumn("_v", _better(PREDICTED[name], TARGETS[name][2])), "_v", f"_r_{name}", idx, by)
+        # positions are taken from the candidates themselves and joined by index, so each further one adds a pass and no nesting
+        valued = candidates.select(*by, idx, _better(PREDICTED[name], TARGETS[name][2]).alias("_v"))
+        placed = position_norm(valued, "_v", f"_r_{name}", idx, by).select(*[F.col(b).alias(f"_b_{b}") for b in by], F.col(idx).alias("_i"), f"_r_{name}")
+        same = F.col(idx) == F.col("_i")
+        for b in by:
+            same = same & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
+        rows = rows.join(placed, same).drop("_i", *[f"_b_{b}" for b in by])
         score = score + F.lit(weight) * F.col(f"_r_{name}")
     return rows.select(
         *by, idx, F.bround(PREDICTED["geo_mean_tpch"], 1).alias("pred_geo_tpch_ms"), F.bround(PREDICTED["geo_mean_tpcds"], 1).alias("pred_geo_tpcds_ms"),
@@ -88,14 +101,17 @@ def recommend(candidates: DataFrame, k: int = 5, by: tuple[str, ...] = GROUP, id
     return ranked.where(F.col("rank") <= k)
 
 
-def rmse_spearman(df: DataFrame, actual: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """RMSE, rank correlation and row count of predictions."""
+def _correlation(df: DataFrame, actual: str, predicted: str, by: tuple[str, ...]) -> DataFrame:
+    """RMSE, rank correlation (rho) and row count of predictions, not rounded."""
     rows = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
-    ranked = percent_rank(percent_rank(rows, actual, "_ra", by), predicted, "_rp", by)
+    ranked = percent_ranks(rows, {"_ra": actual, "_rp": predicted}, by)
     err = F.col(actual).cast("double") - F.col(predicted).cast("double")
-    return ranked.groupBy(*by).agg(
-        F.round(F.sqrt(F.avg(err * err)), 4).alias("rmse"), F.round(F.corr("_ra", "_rp"), 4).alias("spearman_rho"), F.count(F.lit(1)).alias("n")
-    )
+    return ranked.groupBy(*by).agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.corr("_ra", "_rp").alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
+def rmse_spearman(df: DataFrame, actual: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """RMSE, rank correlation and row count of predictions."""
+    return _correlation(df, actual, predicted, by).select(*by, F.round("rmse", 4).alias("rmse"), F.round("rho", 4).alias("spearman_rho"), "n")
 
 
 def group_spearman(df: DataFrame, actual: str, predicted: str, by: tuple[str, ...] = GROUP, least: int = 4) -> DataFrame:
@@ -131,27 +147,30 @@ def ranking_quality(df: DataFrame, actual: str, predicted: str, idx: str = "task
         F.round(F.sum("overlap") / (F.count(F.lit(1)) * 3) * 100, 2).alias("top3_overlap_pct"),
         F.count(F.lit(1)).alias("n_groups"),
     )
-    inside = group_spearman(df, actual, predicted, by).where("not isnan(spearman_rho)").agg(F.round(F.avg("spearman_rho"), 3).alias("score_intra_rho_avg"))
+    inside = _correlation(df, actual, predicted, by).where("n >= 4 and not isnan(rho)").agg(F.round(F.avg("rho"), 4).alias("score_intra_rho_avg"))
     overall = rmse_spearman(df, actual, predicted).select(F.col("spearman_rho").alias("score_global_rho"))
     return overall.crossJoin(inside).crossJoin(hits)
 
 
 def weight_search(rows: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
-    """Rank correlation of the predicted with the real score for twelve weightings.
+    """Rank correlation of the predicted with the real score for twelve weightings; each has its row, without data too.
 
-    The percentile ranks of both predictions are computed once; a weighting only
-    combines them, so the grid is a twelve-fold explode and not twelve passes.
+    Rows without a known target or a prediction leave row by row. The percentile ranks of both predictions are computed once; a
+    weighting only combines them, so the grid is a twelve-fold explode and not twelve passes.
     """
-    ready = rows.where(" and ".join(f"{c} is not null" for c in ("pred_geo_tpch", "pred_cache_tpch")))
-    gaps = group_total(ready, list(by), "count_if(tpch_geo_mean_ms is null or tpch_cache_hit_ratio is null) as _gaps").where("_gaps = 0").drop("_gaps")
-    real = composite_score(gaps, "real_score", None, by)
-    geo = percent_rank(real.withColumn("_g", _better("pred_geo_tpch", "minimize")), "_g", "_pg", by)
-    both = percent_rank(geo, "pred_cache_tpch", "_pc", by)
-    grid = F.array(*[F.struct(F.lit(w / 100).alias("w_geo"), F.lit(round(1 - w / 100, 2)).alias("w_cache")) for w in range(40, 96, 5)])
+    wanted = ("pred_geo_tpch", "pred_cache_tpch", "tpch_geo_mean_ms", "tpch_cache_hit_ratio")
+    known = rows.where(" and ".join(f"{c} is not null" for c in wanted)).withColumn("_g", _better("pred_geo_tpch", "minimize"))
+    real = composite_score(known, "real_score", None, by)
+    # ranks of ranks: three numbers a row are settled before the grid is ranked
+    both = settle(percent_ranks(real, {"_pg": "_g", "_pc": "pred_cache_tpch"}, by).select("real_score", "_pg", "_pc"))
+    pairs = [(w / 100, round(1 - w / 100, 2)) for w in range(40, 96, 5)]
+    grid = F.array(*[F.struct(F.lit(g).alias("w_geo"), F.lit(c).alias("w_cache")) for g, c in pairs])
     tried = both.select("real_score", "_pg", "_pc", F.explode(grid).alias("w")).select(
         "real_score", "w.w_geo", "w.w_cache", (F.col("w.w_geo") * F.col("_pg") + F.col("w.w_cache") * F.col("_pc")).alias("pred_score")
     )
-    return rmse_spearman(tried, "real_score", "pred_score", ("w_geo", "w_cache")).select("w_geo", "w_cache", "spearman_rho")
+    found = rmse_spearman(tried, "real_score", "pred_score", ("w_geo", "w_cache")).select("w_geo", "w_cache", "spearman_rho")
+    every = rows.sparkSession.range(1).select(F.explode(grid).alias("w")).select("w.*")
+    return every.join(found, ["w_geo", "w_cache"], "left")
 
 
 def best_weights(grid: DataFrame) -> DataFrame:

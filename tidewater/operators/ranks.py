@@ -15,58 +15,95 @@ from tidewater.session import checkpoint_dir
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write rows to the checkpoint folder and go on from there; survives lost executors."""
+    """Write rows to the checkpoint folder and go on from there; survives lost executors. For folds and rounds, not for ranks."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def attach_rank(df: DataFrame, value: str, by: tuple[str, ...] = (), prefix: str = "", descending: bool = False, ranges: int = 64) -> DataFrame:
-    """Add ``{prefix}rank``, ``{prefix}ties`` and ``{prefix}n`` for ``value`` within ``by``.
+def _ranges(df: DataFrame) -> int:
+    """Cut points: four times the tasks of a shuffle, so that ranges shrink as a job is given more tasks."""
+    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    ``rank`` is 1 plus the rows ordered strictly before, ``ties`` the rows with
-    the same value, ``n`` the non-NULL rows of the group. NULL values get NULLs.
-    """
-    by = list(by)
-    # the rows are read again by every step below: settled once, chained ranks stay linear
-    df = settle(df)
-    sign = F.lit(-1.0) if descending else F.lit(1.0)
-    values = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_rv")).agg(F.count(F.lit(1)).alias("_ties"))
-    values = values.withColumn("_o", F.col("_rv").cast("double") * sign)
+
+def _with_cuts(df: DataFrame, ranges: int, **columns: str) -> DataFrame:
+    """Adds one row's arrays of approximate quantiles of some columns; what depends on them is exact wherever they lie."""
     steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = values.agg(F.percentile_approx("_o", steps, 1000).alias("_cuts"))
-    cut = values.crossJoin(cuts).withColumn("_range", F.expr("size(filter(_cuts, c -> c < _o))")).drop("_cuts")
-    # at most ``ranges`` rows per group reach this window
-    per_range = cut.groupBy(*by, "_range").agg(F.sum("_ties").alias("_rows"))
+    cuts = df.agg(*[F.array_distinct(F.percentile_approx(F.col(c).cast("double"), steps, 10 * ranges)).alias(name) for name, c in columns.items()])
+    return df.crossJoin(cuts)
+
+
+def _starts(counted: DataFrame, by: list[str], order: list[str], amount: str) -> DataFrame:
+    """Per group and range the rows in earlier ranges and the rows of the group; one row for each range reaches the window."""
+    per_range = counted.groupBy(*by, *order).agg(F.sum(amount).alias("_rows"))
     in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = in_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_range.select(
-        *[F.col(b).alias(f"_s_{b}") for b in by],
-        F.col("_range").alias("_s_range"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
-        F.sum("_rows").over(in_group).alias("_n"),
+    before = in_group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return per_range.select(
+        *[F.col(b).alias(f"_s_{b}") for b in by], *[F.col(o).alias(f"_s{o}") for o in order], F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"), F.sum("_rows").over(in_group).alias("_n")
     )
-    same = F.col("_range") == F.col("_s_range")
+
+
+def _same(by: list[str], prefix: str, *pairs: tuple[str, str]):
+    on = F.lit(True)
+    for left, right in pairs:
+        on = on & (F.col(left) == F.col(right))
     for b in by:
-        same = same & F.col(b).eqNullSafe(F.col(f"_s_{b}"))
+        on = on & F.col(b).eqNullSafe(F.col(f"{prefix}{b}"))
+    return on
+
+
+def _rank_table(df: DataFrame, value: str, by: list[str], prefix: str, descending: bool) -> DataFrame:
+    """Rank, ties and group size of each distinct value: the counts of values are all that is sorted."""
+    values = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_rv")).agg(F.count(F.lit(1)).alias("_ties"))
+    values = values.withColumn("_o", F.col("_rv").cast("double") * F.lit(-1.0 if descending else 1.0))
+    cut = _with_cuts(values, _ranges(df), _cuts="_o").withColumn("_range", F.expr("size(filter(_cuts, c -> c < _o))")).drop("_cuts")
     inside = Window.partitionBy(*by, "_range").orderBy("_o", "_rv" if not descending else F.col("_rv").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.join(starts, same).select(
-        *[F.col(b).alias(f"_k_{b}") for b in by],
-        F.col("_rv").alias("_k_rv"),
+    return cut.join(_starts(cut, by, ["_range"], "_ties"), _same(by, "_s_", ("_range", "_s_range"))).select(
+        *[F.col(b).alias(f"_k{prefix}_{b}") for b in by],
+        F.col("_rv").alias(f"_k{prefix}_rv"),
         (F.lit(1) + F.col("_start") + F.coalesce(F.sum("_ties").over(inside), F.lit(0))).alias(f"{prefix}rank"),
         F.col("_ties").alias(f"{prefix}ties"),
         F.col("_n").alias(f"{prefix}n"),
     )
-    on = F.col(value) == F.col("_k_rv")
-    for b in by:
-        on = on & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
-    return df.join(placed, on, "left").drop("_k_rv", *[f"_k_{b}" for b in by])
+
+
+def attach_ranks(df: DataFrame, values: dict[str, str], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+    """Add ``{prefix}rank``, ``{prefix}ties`` and ``{prefix}n`` within ``by`` for each value column of ``{prefix: column}``.
+
+    ``rank`` is 1 plus the rows ordered strictly before, ``ties`` the rows with the same value, ``n`` the non-NULL rows of the group.
+    NULL values get NULLs. Nothing is computed or written until the result is; every rank is taken from ``df`` itself, so several of
+    them stay linear.
+    """
+    by, out = list(by), df
+    for prefix, value in values.items():
+        table = _rank_table(df, value, by, prefix, descending)
+        out = out.join(table, _same(by, f"_k{prefix}_", (value, f"_k{prefix}_rv")), "left").drop(f"_k{prefix}_rv", *[f"_k{prefix}_{b}" for b in by])
+    return out
+
+
+def attach_rank(df: DataFrame, value: str, by: tuple[str, ...] = (), prefix: str = "", descending: bool = False) -> DataFrame:
+    """``attach_ranks`` for one value."""
+    return attach_ranks(df, {prefix: value}, by, descending)
 
 
 def attach_position(df: DataFrame, value: str, tie: str, by: tuple[str, ...] = (), out: str = "position", size: str | None = None) -> DataFrame:
-    """One-based position in ascending order of ``value``, equal values in order of ``tie``."""
-    ranked = attach_rank(df.where(F.col(value).isNotNull()), value, by, "_a_")
-    placed = attach_rank(ranked, tie, (*by, value), "_b_")
-    placed = placed.withColumn(out, F.col("_a_rank") + F.col("_b_rank") - 1)
+    """One-based position in ascending order of ``value``, equal values in order of ``tie``; rows without a value are left out.
+
+    Values that are cut points, as frequent ones are, have ranges of their own, which are cut again by ``tie``.
+    """
+    by = list(by)
+    rows = _with_cuts(df.where(F.col(value).isNotNull()).withColumns({"_o": F.col(value).cast("double"), "_t": F.col(tie).cast("double")}), _ranges(df), _cuts="_o", _tie_cuts="_t")
+    at_cut = F.array_contains("_cuts", F.col("_o"))
+    placed = rows.withColumns({
+        "_range": F.expr("2 * size(filter(_cuts, c -> c < _o))") + at_cut.cast("int"),
+        "_part": F.when(at_cut, F.expr("size(filter(_tie_cuts, c -> c < _t))")).otherwise(F.lit(0)),
+        "_one": F.lit(1),
+    }).drop("_cuts", "_tie_cuts")
+    starts = _starts(placed, by, ["_range", "_part"], "_one")
+    inside = Window.partitionBy(*by, "_range", "_part").orderBy("_o", value, tie)
+    found = placed.withColumn("_at", F.row_number().over(inside)).join(starts, _same(by, "_s_", ("_range", "_s_range"), ("_part", "_s_part")))
+    found = found.withColumn(out, F.col("_start") + F.col("_at"))
     if size:
-        placed = placed.withColumn(size, F.col("_a_n"))
-    return placed.drop(*[f"_{x}_{y}" for x in "ab" for y in ("rank", "ties", "n")])
+        found = found.withColumn(size, F.col("_n"))
+    # a size column may itself be called _n
+    helpers = ["_o", "_t", "_range", "_part", "_one", "_at", "_start", "_s_range", "_s_part", *[f"_s_{b}" for b in by], *([] if size == "_n" else ["_n"])]
+    return found.drop(*helpers)

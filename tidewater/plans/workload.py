@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import values as V
 from tidewater.functions.semantics import agg
 from tidewater.operators import configspace, costs, features, querylog, ranking, taskstate, telemetry
+from tidewater.operators.ranks import settle
 from tidewater.plans.retail import group_total
 from tidewater.sources import quality, tpcds_views
 from tidewater.sources.files import project_json
@@ -284,7 +285,9 @@ PRED_SCORE = {"geo": ("pred_geo_tpch", "minimize", 0.65), "cache": ("pred_cache_
 
 def _both_scores(t):
     rows = t.tasks.select("task_id", "tier", "combination", "tpch_geo_mean_ms", "tpch_cache_hit_ratio", "pred_geo_tpch", "pred_cache_tpch")
-    return ranking.composite_score(ranking.composite_score(rows).where("score is not null"), "pred_score", PRED_SCORE)
+    # ranks of ranks nest their plans: the few columns of a score are settled before the next is taken
+    real = settle(ranking.composite_score(rows).where("score is not null").select("task_id", "tier", "combination", "score", "pred_geo_tpch", "pred_cache_tpch"))
+    return settle(ranking.composite_score(real, "pred_score", PRED_SCORE).select("task_id", "tier", "combination", "score", "pred_score"))
 
 
 def rk_08_top3_agreement(t):
@@ -299,6 +302,10 @@ def rk_09_weight_search(t):
     return ranking.weight_search(t.tasks)
 
 
+def rk_09_best_weights(t):
+    return ranking.best_weights(ranking.weight_search(t.tasks).where("spearman_rho is not null"))
+
+
 def rk_10_relevance(t):
     return ranking.relevance(t.tasks, "tpcds_geo_mean_ms").select("task_id", "relevance")
 
@@ -380,8 +387,17 @@ def cf_03_memory_filter(t):
 
 
 def cf_04_06_decoded(t):
-    made = configspace.decode(configspace.lhs_wide(_slots(t), 42))
-    return made.select("tier", "combination", "slot", *features.PARAMS)
+    """Hypercube points decoded over the loaded space: every slot once, nothing outside its space, costs and workers in order."""
+    space = configspace.load_space(configspace.space_rows(t.spark))
+    made = settle(configspace.decode(settle(configspace.lhs_wide(_slots(t), 42)), space))
+    outside = configspace.out_of_range(made.select("slot", "tier", "combination", configspace.config_map().alias("config")), key="slot").groupBy("slot").agg(F.count("*").alias("_out"))
+    stage = lambda n: F.col("combination").contains(f"s{n}")
+    unset = lambda n, ps: F.exists(F.array(*[F.col(p).isNull() for p in ps]), lambda x: x != ~stage(n))
+    disorder = F.expr("cpu_operator_cost > cpu_index_tuple_cost or cpu_index_tuple_cost > cpu_tuple_cost or max_parallel_workers_per_gather > max_parallel_workers")
+    return made.join(outside, "slot", "left").groupBy("tier", "combination").agg(
+        F.count("*").alias("slots"), F.coalesce(F.sum("_out"), F.lit(0)).alias("outside"), F.count_if(F.coalesce(disorder, F.lit(False))).alias("disordered"),
+        F.count_if(unset(1, features.STAGE1) | unset(2, features.STAGE2) | unset(3, features.STAGE3)).alias("misplaced"),
+    )
 
 
 def _fixed_configs(t):
@@ -412,12 +428,20 @@ def cf_08_diagnosis(t):
 
 
 def cf_09_generate(t):
-    made = configspace.generate(_slots(t), 42, 4)
-    return made.select("tier", "combination", "slot", "attempt", F.to_json("config").alias("config"))
+    """Generation by its invariants: all slots come out, filled unless the space is used up, no two alike, none against a constraint."""
+    made = settle(configspace.generate(_slots(t)))
+    broken = configspace.typed(made.where("status = 'filled'")).withColumn("_bad", F.size(configspace.errors()) > 0)
+    keys = ["tier", "combination"]
+    checked = broken.groupBy(*keys).agg(F.count_if("_bad").alias("violations"))
+    alike = made.where("status = 'filled'").groupBy(*keys, F.to_json("config").alias("k")).agg((F.count("*") - 1).alias("_more")).groupBy(*keys).agg(F.sum("_more").alias("duplicates"))
+    counts = made.groupBy(*keys).agg(F.count("*").alias("slots"), F.count_if(F.col("status") == "filled").alias("filled"), F.count_if(F.col("status") == "exhausted").alias("exhausted"))
+    return counts.join(checked, keys).join(alike, keys)
 
 
 def cf_10_validity_report(t):
-    return configspace.validity_report(_slots(t))
+    """The report's totals; which points are valid depends on the hash draws, that they add up does not."""
+    out = configspace.validity_report(_slots(t))
+    return out.select("tier", "combination", "total", (F.col("valid") + F.col("invalid")).alias("judged"), (F.col("invalid") > 0).eqNullSafe(F.col("sample_error").isNotNull()).alias("explained"))
 
 
 def cf_11_out_of_range(t):
