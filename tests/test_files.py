@@ -48,7 +48,7 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "low"), (2, "high")], "task_id long, tier string")
     files.write_features(df, str(tmp_path / "f"))
     assert files.read_features(spark, str(tmp_path / "f")).count() == 2
-    for run in ("a", "b"):
+    for run in ("a", "b", "b"):
         files.append_metrics(df, str(tmp_path / "m"), run)
     assert spark.read.parquet(str(tmp_path / "m")).count() == 4
 

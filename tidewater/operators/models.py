@@ -79,6 +79,7 @@ def ablation(rows: DataFrame, groups: dict[str, list[str]], target: str = "geo_m
     out = []
     for label, columns in groups.items():
         present = [c for c in columns if c in rows.columns]
+        present = _usable(rows.where(F.col(TARGETS[target][0]).isNotNull()), present)
         m = rmse_spearman(out_of_fold(rows, target, present, **settings), "actual", "predicted")
         out.append(m.select(F.lit(label).alias("group"), F.lit(len(present)).alias("n_features"), "rmse", "spearman_rho"))
     return reduce(lambda a, b: a.unionAll(b), out)
@@ -180,7 +181,7 @@ def fit_all(rows: DataFrame, columns: list[str], **settings) -> dict[str, Pipeli
     for target, (column, transform, _, _) in TARGETS.items():
         known = rows.where(F.col(column).isNotNull())
         ready = prepare(known, columns).withColumn("_y", to_scale(column, transform))
-        out[target] = specialist(columns, **settings).fit(ready)
+        out[target] = specialist(_usable(known, columns), **settings).fit(ready)
     return out
 
 

@@ -62,7 +62,7 @@ def _training(t):
 
 
 def ml_01_target_metrics(t):
-    return models.target_metrics(_training(t), INPUTS, ("geo_mean_tpch", "spill_tpcds"), **SMALL)
+    return models.target_metrics(_training(t), INPUTS, tuple(ranking.TARGETS), **SMALL)
 
 
 def rk_05_out_of_fold(t):
@@ -82,13 +82,13 @@ def ml_03_search(t):
 
 def ml_04_stack(t):
     rows = _training(t)
-    oofs = {n: models.out_of_fold(rows, n, INPUTS, **SMALL) for n in ("geo_mean_tpch", "cache_hit_tpch")}
+    oofs = {n: models.out_of_fold(rows, n, INPUTS, **SMALL) for n in ranking.TARGETS}
     score = ranking.composite_score(rows).where("score is not null").select("task_id", "score")
     return models.stack(oofs, score, "score")
 
 
 def ml_05_importance(t):
-    return models.importance(_training(t), INPUTS[:3], **SMALL)
+    return models.importance(_training(t), INPUTS, **SMALL)
 
 
 def ml_06_ranker(t):

@@ -382,14 +382,19 @@ def q49(t, floor=10000, month=12):
             )
         )
         parts.append(items.withColumn("channel", F.lit(ch.name)))
-    # one row per item of one month is left: both ranks share one small shuffle
     rows = _stack(parts)
-    for name in ("return", "currency"):
+    # each measure is cut by itself, below its shuffle; the few rows left get the other rank by counting what lies before them
+    names, kept = ("return", "currency"), []
+    for name in names:
         order = Window.partitionBy("channel").orderBy(F.col(f"{name}_ratio").asc_nulls_last())
-        rows = rows.withColumn(f"{name}_rank", F.rank().over(order))
-    rows = rows.where("return_rank <= 10 or currency_rank <= 10")
+        kept.append(rows.withColumn("_r", F.rank().over(order)).where("_r <= 10").drop("_r"))
+    chosen = kept[0].unionAll(kept[1]).distinct().alias("c")
+    ahead = {n: F.coalesce(F.col(f"r.{n}_ratio") < F.col(f"c.{n}_ratio"), F.col(f"c.{n}_ratio").isNull() & F.col(f"r.{n}_ratio").isNotNull()) for n in names}
+    met = chosen.join(rows.alias("r"), F.col("c.channel") == F.col("r.channel"))
+    keys = ["channel", "item", "return_ratio", "currency_ratio"]
+    ranked = met.groupBy(*[F.col(f"c.{k}") for k in keys]).agg(*[(F.count_if(ahead[n]) + 1).cast("int").alias(f"{n}_rank") for n in names])
     cols = ["channel", "item", "return_ratio", "return_rank", "currency_rank"]
-    return top(rows.select(*cols).distinct(), "channel", "return_rank", "currency_rank", "item", "return_ratio")
+    return top(ranked.select(*cols).distinct(), "channel", "return_rank", "currency_rank", "item", "return_ratio")
 
 
 def q51(t):

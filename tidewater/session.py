@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,12 +41,17 @@ def local_session(cores: str = "8", app: str = "tidewater", partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the cluster's own, else a fresh local one.
 
-    Only an unset ``spark.checkpoint.dir`` (tests, laptops) falls back to a
-    temporary folder; executors of a real cluster could not read that.
+    Only a local master without ``spark.checkpoint.dir`` (tests, laptops) falls
+    back to a temporary folder; elsewhere an unset folder is an error, for the
+    executors of a cluster could not read what others left on their own disks.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

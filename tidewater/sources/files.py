@@ -97,5 +97,6 @@ def read_features(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def append_metrics(df: DataFrame, path: str, run_id: str) -> None:
-    """Add a run's metric rows to a growing table keyed by run."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+    """Put a run's metric rows into a growing table keyed by run; a repeated run replaces its own rows only."""
+    rows = df.withColumn("run_id", F.lit(run_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)

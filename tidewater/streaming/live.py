@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewater.operators.taskstate import lease_s
@@ -19,9 +20,13 @@ DEADLINE_HOURS = {"low": 3, "medium": 4, "high": 8}
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table's Parquet files as a stream."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table as a stream of its Parquet files, be it a folder of part files or a single file."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def hardware_windows(samples: DataFrame, metrics: list[str], width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
@@ -100,7 +105,10 @@ def run_to_end(stream: DataFrame, keys: list[str], mode: str = "update") -> Data
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(store).start()
     query.awaitTermination()
-    out = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/batch=*")
+    declared = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    # a stream without data has stored no batch
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{base}/out/batch=-1")
+    out = spark.read.schema(declared).option("basePath", f"{base}/out").parquet(f"{base}/out/batch=*")
     rest = [c for c in out.columns if c not in keys and c != "batch"]
     latest = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
     return latest.select(*keys, "_r.*")
