@@ -105,7 +105,8 @@ def _swaps(words: list[str], index: dict[str, int]) -> list[dict[int, float]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, ridge: float = 0.2, fairness: float = 50.0, rounds: int = 600) -> Model:
-    """A model from at most ``most`` labelled rows. Without toxic labels every score is the smoothed share of toxic rows.
+    """A model from at most ``most`` labelled rows. Without labels of both kinds there is nothing to learn: every score is the smoothed
+    share of toxic rows, kept below one half so that nothing is rejected for it.
 
     The driver gets the chosen words (2,000 at most) and, for each sampled row, which of them it has.
     """
@@ -113,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, ridge: fl
     chosen, toxic, other = _vocabulary(rows)
     bias = float(np.log((toxic + 0.5) / (other + 1.5)))
     if not toxic or not other:
-        return Model(bias)
+        return Model(min(bias, -0.1))
     terms = sorted({t for group in IDENTITY_TERMS for t in group})
     names = sorted({*chosen, *terms})
     index = {w: i for i, w in enumerate(names)}
