@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import topk
 
@@ -21,7 +22,7 @@ def slow(rows, k, queries):
 
 
 def run(spark, rows, k, every):
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", topk.quantised("embedding").alias("vector"))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
     return sorted(tuple(r) for r in topk.exact_top_k(table, table.where(f"vec_id % {every} = 0"), k).collect())
 
 
