@@ -51,11 +51,11 @@ def _same(by: list[str], prefix: str, *pairs: tuple[str, str]):
     return on
 
 
-def _rank_table(df: DataFrame, value: str, by: list[str], prefix: str, descending: bool) -> DataFrame:
+def _rank_table(df: DataFrame, value: str, by: list[str], prefix: str, descending: bool, ranges: int | None) -> DataFrame:
     """Rank, ties and group size of each distinct value: the counts of values are all that is sorted."""
     values = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_rv")).agg(F.count(F.lit(1)).alias("_ties"))
     values = values.withColumn("_o", F.col("_rv").cast("double") * F.lit(-1.0 if descending else 1.0))
-    cut = _with_cuts(values, _ranges(df), _cuts="_o").withColumn("_range", F.expr("size(filter(_cuts, c -> c < _o))")).drop("_cuts")
+    cut = _with_cuts(values, ranges or _ranges(df), _cuts="_o").withColumn("_range", F.expr("size(filter(_cuts, c -> c < _o))")).drop("_cuts")
     inside = Window.partitionBy(*by, "_range").orderBy("_o", "_rv" if not descending else F.col("_rv").desc()).rowsBetween(Window.unboundedPreceding, -1)
     return cut.join(_starts(cut, by, ["_range"], "_ties"), _same(by, "_s_", ("_range", "_s_range"))).select(
         *[F.col(b).alias(f"_k{prefix}_{b}") for b in by],
@@ -66,7 +66,7 @@ def _rank_table(df: DataFrame, value: str, by: list[str], prefix: str, descendin
     )
 
 
-def attach_ranks(df: DataFrame, values: dict[str, str], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+def attach_ranks(df: DataFrame, values: dict[str, str], by: tuple[str, ...] = (), descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Add ``{prefix}rank``, ``{prefix}ties`` and ``{prefix}n`` within ``by`` for each value column of ``{prefix: column}``.
 
     ``rank`` is 1 plus the rows ordered strictly before, ``ties`` the rows with the same value, ``n`` the non-NULL rows of the group.
@@ -75,14 +75,14 @@ def attach_ranks(df: DataFrame, values: dict[str, str], by: tuple[str, ...] = ()
     """
     by, out = list(by), df
     for prefix, value in values.items():
-        table = _rank_table(df, value, by, prefix, descending)
+        table = _rank_table(df, value, by, prefix, descending, ranges)
         out = out.join(table, _same(by, f"_k{prefix}_", (value, f"_k{prefix}_rv")), "left").drop(f"_k{prefix}_rv", *[f"_k{prefix}_{b}" for b in by])
     return out
 
 
-def attach_rank(df: DataFrame, value: str, by: tuple[str, ...] = (), prefix: str = "", descending: bool = False) -> DataFrame:
+def attach_rank(df: DataFrame, value: str, by: tuple[str, ...] = (), prefix: str = "", descending: bool = False, ranges: int | None = None) -> DataFrame:
     """``attach_ranks`` for one value."""
-    return attach_ranks(df, {prefix: value}, by, descending)
+    return attach_ranks(df, {prefix: value}, by, descending, ranges)
 
 
 def attach_position(df: DataFrame, value: str, tie: str, by: tuple[str, ...] = (), out: str = "position", size: str | None = None) -> DataFrame:
