@@ -58,3 +58,15 @@ def test_quality(spark):
     assert [tuple(r) for r in quality.duplicate_keys(df, ["k"]).collect()] == [(1, 2)]
     assert [tuple(r) for r in quality.missing_values(df, ["k", "v"]).collect()] == [("v", 1)]
     assert [r.k for r in quality.orphans(df, ["k"], spark.createDataFrame([(1,)], "p long"), ["p"]).collect()] == [2]
+
+
+def test_streams_over_a_file_a_folder_and_nothing(spark, tmp_path):
+    from tidewater.streaming import live
+
+    rows = spark.range(100).selectExpr("id % 7 as task_id", "'tpc_h' as suite", "id % 3 = 0 as success")
+    rows.repartition(4).write.parquet(str(tmp_path / "log.parquet"))
+    rows.limit(0).write.parquet(str(tmp_path / "none.parquet"))
+    found = live.run_to_end(live.running_outcomes(live.file_stream(spark, str(tmp_path), "log")), ["task_id", "suite"])
+    assert sum(r.n_success + r.n_failed for r in found.collect()) == 100
+    none = live.run_to_end(live.running_outcomes(live.file_stream(spark, str(tmp_path), "none")), ["task_id", "suite"])
+    assert none.count() == 0
