@@ -51,3 +51,14 @@ def test_unfolding_is_bounded(monkeypatch):
     monkeypatch.setattr(secret_scan, "MOST_UNFOLDED", 1000)
     bomb = base64.b64encode(gzip.compress(b"token=abcdefgh " * 1000)).decode()
     assert spans(bomb) == ""
+
+
+def test_every_copy_of_an_encoded_secret_is_found():
+    once = base64.b64encode(b"password: hunter2hunter2").decode()
+    twice = base64.b64encode(f"see {once}".encode()).decode()
+    text = f"{once} {twice} {once}"
+    at = [0, len(once) + 1, len(once) + len(twice) + 2]
+    assert spans(text) == ",".join(f"assign:{a}:{a + n}" for a, n in zip(at, (len(once), len(twice), len(once))))
+    # a copy behind another path, whose inner layer was seen before
+    quoted = urllib.parse.quote(once, safe="").replace("c", "%63")
+    assert spans(f"{once} {quoted}") == f"assign:0:{len(once)},assign:{len(once) + 1}:{len(once) + 1 + len(quoted)}"

@@ -1,9 +1,9 @@
 """Secrets in texts and in what is encoded inside them.
 
-A worklist holds layers, the text itself first. Each layer is scanned; then it is decoded in every way that applies: URL and Unicode
-escapes over the whole layer, base64 runs, and compressed data in these. What comes out is a layer of its own, until nothing new
-comes; layers seen before are not taken up again, so data that decode to themselves end. Every character of a layer knows the part of
-the original text it stands for, and findings are reported there.
+Each layer, the text itself first, is scanned and decoded in every way that applies: URL and Unicode escapes over the whole layer,
+base64 runs, and compressed data in these. Layers of unescaped text know for every character the part of the original it stands for.
+All that comes out of a run stands for the run, so of its layers only the kinds of findings count: they are worked out once for each
+payload, without taking up a text twice (data that decode to themselves end), and reported wherever the payload stands.
 """
 
 from __future__ import annotations
@@ -113,9 +113,9 @@ def _readable(data: bytes) -> str | None:
     return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
 
 
-def unwrap(layer: Layer) -> Iterator[Layer]:
-    """A layer for each base64 run that holds readable text, as such or compressed (repeatedly); it stands for the run."""
-    for m in BASE64.finditer(layer.text):
+def unwrap(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, inner text) of each base64 run that holds readable text, as such or compressed (repeatedly)."""
+    for m in BASE64.finditer(text):
         body = m[0].rstrip("=")
         if len(body) % 4 == 1:
             continue
@@ -124,26 +124,40 @@ def unwrap(layer: Layer) -> Iterator[Layer]:
         while data is not None and data.startswith(MAGIC) and (key := hashlib.sha256(data).digest()) not in seen:
             seen.add(key)
             data = _unfolded(data)
-        text = _readable(data) if data else None
-        if text:
-            a, b = layer.origin(m.start(), m.end())
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b))
+        inner = _readable(data) if data else None
+        if inner:
+            yield m.start(), m.end(), inner
+
+
+def _kinds_inside(text: str) -> set[int]:
+    """The kinds of findings in a payload and in all that is encoded inside it."""
+    kinds, seen, work = set(), {text}, [text]
+    while work and len(kinds) < len(KINDS):
+        layer = work.pop()
+        kinds.update(kind for _, kind, _ in scan(layer))
+        plain = unescape(Layer(layer))
+        for inner in [*([plain.text] if plain else []), *(inner for _, _, inner in unwrap(layer))]:
+            if inner not in seen:
+                seen.add(inner)
+                work.append(inner)
+    return kinds
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base findings, all findings) as sorted (start, kind, end) in code points of ``text``."""
     base = sorted(scan(text))
-    found, seen, work = set(base), {text}, [Layer(text)]
-    while work:
-        layer = work.pop()
+    found, inside, layer = set(base), {}, Layer(text)
+    while layer is not None:  # each has fewer characters than the one before
         if layer.start is not None:
             for a, kind, b in scan(layer.text):
                 start, end = layer.origin(a, b)
                 found.add((start, kind, end))
-        for inner in [unescape(layer), *unwrap(layer)]:
-            if inner is not None and inner.text not in seen:
-                seen.add(inner.text)
-                work.append(inner)
+        for a, b, inner in unwrap(layer.text):
+            if inner not in inside:
+                inside[inner] = _kinds_inside(inner)
+            start, end = layer.origin(a, b)
+            found.update((start, kind, end) for kind in inside[inner])
+        layer = unescape(layer)
     return base, sorted(found)
 
 
