@@ -1,6 +1,10 @@
 import base64
+import bz2
 import gzip
+import lzma
+import random
 import urllib.parse
+import zlib
 
 from tidewater.llm import secret_scan
 from tidewater.llm.secret_scan import find_secrets
@@ -62,3 +66,31 @@ def test_every_copy_of_an_encoded_secret_is_found():
     # a copy behind another path, whose inner layer was seen before
     quoted = urllib.parse.quote(once, safe="").replace("c", "%63")
     assert spans(f"{once} {quoted}") == f"assign:0:{len(once)},assign:{len(once) + 1}:{len(once) + 1 + len(quoted)}"
+
+
+def test_payloads_with_unprintable_characters():
+    for mark in "\u00a0\ufeff\u200b\u00ad\u3000\f\x1b\0":
+        once = base64.b64encode(f"{mark}caf\u00e9 password: hunter2hunter2".encode()).decode()
+        assert spans(f"see {once}") == f"assign:4:{4 + len(once)}", repr(mark)
+    for coded in ("latin-1", "utf-16"):
+        once = base64.b64encode("\u00e9t\u00e9 password: hunter2hunter2".encode(coded)).decode()
+        assert spans(once) == f"assign:0:{len(once)}", coded
+    # a text that begins like compressed data
+    once = base64.b64encode(b"x^2 password: hunter2hunter2").decode()
+    assert spans(once) == f"assign:0:{len(once)}"
+
+
+def test_base64_over_several_lines():
+    noise = random.Random(3).randbytes(300).hex(" ", 3)
+    for data in (gzip.compress(f"{noise} password: hunter2hunter2".encode()), b"-" * 39 + b" password: hunter2hunter2"):
+        for gap in ("\n", "\r\n", "\n  "):
+            whole = base64.b64encode(data).decode()
+            block = gap.join(whole[i : i + 64] for i in range(0, len(whole), 64))
+            assert spans(f"key: {block}\nand more") == f"assign:5:{5 + len(block)}", gap
+
+
+def test_compressed_data_behind_escapes():
+    for data in (pack(b"password: hunter2hunter2 " + b"some words, some more words " * 9 + bytes(range(0, 256, 17))) for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress)):
+        forms = [urllib.parse.quote(data, safe=""), urllib.parse.quote_plus(data), "".join(f"%{b:02x}" for b in data), repr(data)[2:-1], "".join(f"\\x{b:02x}" for b in data)]
+        for shown in forms:
+            assert spans(f"see {shown} end") == f"assign:4:{4 + len(shown)}", shown

@@ -1,9 +1,10 @@
 """Secrets in texts and in what is encoded inside them.
 
 Each layer, the text itself first, is scanned and decoded in every way that applies: URL and Unicode escapes over the whole layer,
-base64 runs, and compressed data in these. Layers of unescaped text know for every character the part of the original it stands for.
-All that comes out of a run stands for the run, so of its layers only the kinds of findings count: they are worked out once for each
-payload, without taking up a text twice (data that decode to themselves end), and reported wherever the payload stands.
+base64 runs (single lines, and blocks wrapped over several), and compressed data in these or behind %XX and \\xXX. Layers of unescaped
+text know for every character the part of the original it stands for. All that comes out of a run stands for the run, so of its
+layers only the kinds of findings count: they are worked out once for each payload, without taking up a text twice (data that decode
+to themselves end), and reported wherever the payload stands.
 """
 
 from __future__ import annotations
@@ -34,7 +35,15 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\x[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|amp|apos|lt|gt|equals|colon);")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Lines of base64 and nothing else follow the first, which may stand behind other text.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++(?=={0,2}[\"',;)\]}]*[ \t]*(?:\r?\n|\Z)))+={0,2}")
 MAGIC = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00")
+# The first bytes of compressed data as written with %XX or \\xXX, where bytes that are printable may stand for themselves; what may follow.
+PERCENT_MAGIC = re.compile(r"%1[fF]%8[bB]|(?:x|%78)(?:%01|\^|%5[eE]|%9[cC]|%[dD][aA])|(?:B|%42)(?:Z|%5[aA])(?:h|%68)(?:[1-9]|%3[1-9])|%[fF][dD](?:7|%37)(?:z|%7[aA])(?:X|%58)(?:Z|%5[aA])%00")
+SLASH_MAGIC = re.compile(r"\\x1[fF]\\x8[bB]|(?:x|\\x78)(?:\\x01|\^|\\x5[eE]|\\x9[cC]|\\x[dD][aA])|(?:B|\\x42)(?:Z|\\x5[aA])(?:h|\\x68)(?:[1-9]|\\x3[1-9])|\\x[fF][dD](?:7|\\x37)(?:z|\\x7[aA])(?:X|\\x58)(?:Z|\\x5[aA])\\x00")
+PERCENT_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|[!-$&-~]")
+SLASH_BYTE = re.compile(r"\\x[0-9A-Fa-f]{2}|\\[abtnvfr0'\"\\]|[\x20-\x5b\x5d-\x7e]")
+SLASHED = dict(zip("abtnvfr0'\"\\", b"\a\b\t\n\v\f\r\0'\"\\"))
 
 #: Bytes that one compressed run may unfold to; beyond, the run counts as no text (a guard against bombs, and the bound on memory).
 MOST_UNFOLDED = 64 << 20
@@ -94,39 +103,93 @@ def unescape(layer: Layer) -> Layer | None:
     return Layer("".join([*pieces, layer.text[at:]]), start, end)
 
 
+def _decompressor(first: bytes):
+    makers = {b"\x1f": lambda: zlib.decompressobj(31), b"\x78": zlib.decompressobj, b"B": bz2.BZ2Decompressor, b"\xfd": lzma.LZMADecompressor}
+    return makers[first]()
+
+
+BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError)
+
+
 def _unfolded(data: bytes) -> bytes | None:
     """Decompressed data, or None if they are no compressed data or unfold beyond the bound."""
-    makers = {b"\x1f": lambda: zlib.decompressobj(31), b"\x78": zlib.decompressobj, b"B": bz2.BZ2Decompressor, b"\xfd": lzma.LZMADecompressor}
     try:
-        unit = makers[data[:1]]()
-        out = unit.decompress(data, MOST_UNFOLDED + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError):
+        out = _decompressor(data[:1]).decompress(data, MOST_UNFOLDED + 1)
+    except BROKEN:
         return None
     return out if len(out) <= MOST_UNFOLDED else None
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
+def _readable(data: bytes) -> str:
+    """Any data as text: what is sought is ASCII, so bytes of no encoding do no harm beside it."""
+    if data.startswith((b"\xff\xfe", b"\xfe\xff")):
+        return data.decode("utf-16", "replace")
+    return data.decode("utf-8", "replace")
+
+
+def _payload(data: bytes) -> str:
+    """The text in decoded data, decompressed as long as they are compressed."""
+    seen = set()
+    while data.startswith(MAGIC) and (key := hashlib.sha256(data).digest()) not in seen:
+        seen.add(key)
+        if not (inner := _unfolded(data)):
+            break
+        data = inner
+    return _readable(data)
+
+
+def _byte(shown: str) -> int:
+    if len(shown) == 1:
+        return ord(shown)
+    return SLASHED[shown[1]] if shown[0] == "\\" and len(shown) == 2 else int(shown[-2:], 16)
+
+
+def _escaped_payload(text: str, at: int, byte: re.Pattern) -> tuple[int, str] | None:
+    """(end, inner text) of the compressed data whose escaped bytes begin at ``at``; they end where their stream does."""
+    shown, ends, out, size, unit = bytearray(), [], [], 0, None
+    while unit is None or not unit.eof:
+        shown.clear(), ends.clear()
+        while len(shown) < 4096 and (m := byte.match(text, at)):
+            # a plus sign is itself where it is escaped, and else a space
+            shown.append(32 if byte is PERCENT_BYTE and m[0] == "+" else _byte(m[0]))
+            ends.append(at := m.end())
+        if not shown:
+            break
+        unit = unit or _decompressor(bytes(shown[:1]))
+        try:
+            out.append(unit.decompress(bytes(shown), MOST_UNFOLDED + 1 - size))
+        except BROKEN:
+            return None
+        size += len(out[-1])
+        if size > MOST_UNFOLDED:
+            return None
+    if not size:
         return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
+    end = ends[len(ends) - len(unit.unused_data) - 1] if unit.eof else at
+    return end, _payload(b"".join(out))
 
 
 def unwrap(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, inner text) of each base64 run that holds readable text, as such or compressed (repeatedly)."""
-    for m in BASE64.finditer(text):
-        body = m[0].rstrip("=")
+    """(start, end, inner text) of each base64 run, block of base64 lines and escaped run of compressed data.
+
+    Data are decompressed (repeatedly) if they are compressed. A line of a block is a run too, for it may stand on its own.
+    """
+    runs = list(BASE64.finditer(text))
+    if "\n" in text:
+        runs += WRAPPED.finditer(text)
+    for m in runs:
+        body = "".join(m[0].split()).rstrip("=")
         if len(body) % 4 == 1:
-            continue
-        data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        seen = set()
-        while data is not None and data.startswith(MAGIC) and (key := hashlib.sha256(data).digest()) not in seen:
-            seen.add(key)
-            data = _unfolded(data)
-        inner = _readable(data) if data else None
+            body = body[:-1]  # the last character has too few bits for a byte
+        inner = _payload(base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4)))
         if inner:
             yield m.start(), m.end(), inner
+    for mark, magic, byte in (("%", PERCENT_MAGIC, PERCENT_BYTE), ("\\x", SLASH_MAGIC, SLASH_BYTE)):
+        if mark not in text:
+            continue
+        for m in magic.finditer(text):
+            if found := _escaped_payload(text, m.start(), byte):
+                yield m.start(), *found
 
 
 def _kinds_inside(text: str) -> set[int]:
