@@ -33,8 +33,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Pieces of power-of-two length, each a sequence."""
-    return packing.pack(docs)
+    """Pieces of power-of-two length, each a sequence; numbered in training order, which the files of the mix are written in."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [

@@ -1,5 +1,6 @@
 import corpus_pipeline
 
+from tidewater.llm import mixing
 from tidewater.llm.common import settle
 
 
@@ -21,3 +22,17 @@ def test_empty_table_passes_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = settle(stage(spark, docs, folder), "test-empty")
     assert docs.count() == 0
+
+
+def test_training_order_reaches_the_sequences(spark, prose):
+    mixed = mixing.mixed_documents(prose)
+    want = [r.doc_id for r in mixed.collect()]
+    assert len(set(want)) < len(want)  # some are taken more than once
+    stored = settle(mixed, "test-mixed")
+    got = corpus_pipeline.packed(spark, stored, "/root/testdata/sf0.001").collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.position) if r.start == 0] == want
+    assert sorted(r.position for r in got if r.start == 0) == list(range(len(want)))
+    for length in {r.length for r in got}:
+        bucket = sorted((r for r in got if r.length == length), key=lambda r: r.sequence_id)
+        assert [(r.position, r.start) for r in bucket] == sorted((r.position, r.start) for r in bucket)
+        assert [r.sequence_id for r in bucket] == [16 * i + length.bit_length() - 1 for i in range(len(bucket))]

@@ -122,4 +122,4 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = S
     changed = {"text": text} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
     for name, value in changed.items():
         out = out.withColumn(name, value)
-    return out.repartitionByRange(F.col("__at"), F.col("__id")).sortWithinPartitions("__at", "__id").select(*docs.columns)
+    return out.repartitionByRange("__at", "__id", "__hash", "__epoch").sortWithinPartitions("__at", "__id", "__hash", "__epoch").select(*docs.columns)

@@ -11,6 +11,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewater.llm.common import buckets_for, running_before, settle
+from tidewater.llm.common import ROWS_PER_BUCKET, buckets_for, running_before, settle
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -107,9 +108,11 @@ def binary_lengths(tokens: int, most: int = MAX_TOKENS) -> list[int]:
     return [most] * (tokens // most) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, most: int = MAX_TOKENS) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, most: int = MAX_TOKENS, place: Column | None = None) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids) for each piece of each document; ids are little-endian unsigned 32-bit numbers.
 
+    With ``place``, a long for each document, its pieces have it too.
+
     ``docs`` has doc_id and text; further columns are left out. A missing text is empty: its only id is the end. Repeated rows are
     documents of their own, and a missing doc_id stays missing. ``most`` is a power of two.
     """
@@ -117,23 +120,26 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, most:
         raise ValueError("the longest sequence must be a power of two")
     path = path or public_tokenizers.path(VOCABULARY)
     end = np.array([end_id], dtype="<u4").tobytes()
+    names = ["doc_id", "start", "length", "doc_tokens", "ids"] + (["place"] if place is not None else [])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path).ids
         for frame in batches:
             for at in range(0, len(frame), 256):
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, data in zip(frame["doc_id"][at : at + 256], frame["text"][at : at + 256]):
+                out: tuple[list, ...] = tuple([] for _ in names)
+                placed = frame["place"][at : at + 256] if "place" in names else repeat(None)
+                for doc_id, data, n in zip(frame["doc_id"][at : at + 256], frame["text"][at : at + 256], placed):
                     ids = encode(data) + end
                     total, start = len(ids) // 4, 0
                     for length in binary_lengths(total, most):
-                        for column, value in zip(out, (doc_id, start, length, total, ids[4 * start : 4 * (start + length)])):
+                        for column, value in zip(out, (doc_id, start, length, total, ids[4 * start : 4 * (start + length)], n)):
                             column.append(value)
                         start += length
-                yield pd.DataFrame(dict(zip(("doc_id", "start", "length", "doc_tokens", "ids"), out))).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(dict(zip(names, out))).astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return rows.mapInPandas(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    more = [place.alias("place")] if place is not None else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), *more)
+    return rows.mapInPandas(cut, "doc_id long, start long, length long, doc_tokens long, ids binary" + (", place long" if more else ""))
 
 
 def number_sequences(cut: DataFrame, mark: Column) -> DataFrame:
@@ -157,3 +163,26 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, most: i
     """
     cut = pieces(docs, path, end_id, most).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return number_sequences(cut, F.col("ids_crc32"))
+
+
+def pack_in_order(docs: DataFrame, path: str | None = None, end_id: int = END_ID, most: int = MAX_TOKENS) -> DataFrame:
+    """As :func:`pack`, for documents stored in training order: adds position and numbers the sequences of each bucket by it.
+
+    ``docs`` is a table read from the files that a sorted one was written to, one file after the other; part numbers and row numbers
+    in the files say the order, however the reader deals them out. ``position`` numbers the documents from 0, so the times a document
+    is taken are told apart. Pieces of one document follow each other by start.
+    """
+    name = F.col("_metadata.file_name")
+    part, chunk = (F.regexp_extract(name, pattern, 1).try_cast("long") for pattern in ("^part-(\\d+)", "-c(\\d+)\\."))
+    place = F.shiftleft(part, 42) + F.shiftleft(F.coalesce(chunk, F.lit(0).cast("long")), 30) + F.col("_metadata.row_index")
+    cut = pieces(docs, path, end_id, most, place).withColumns({"ids_crc32": F.crc32("ids"), "__first": (F.col("start") == 0).cast("long")}).drop("ids")
+    cut = settle(cut, "placed-pieces")
+    # files, cut into ranges of rows; every document has one piece that starts at 0
+    order = [F.col("place"), F.col("start")]
+    numbered = running_before(cut, [], F.expr(f"place div {ROWS_PER_BUCKET}"), order, "__first", "__n")
+    numbered = numbered.withColumn("position", F.col("__n") + F.col("__first") - 1).withColumn("__one", F.lit(1))
+    power = F.length(F.bin("length")) - 1
+    numbered = settle(numbered.drop("__n", "__first"), "numbered-pieces")
+    out = running_before(numbered, [power], F.expr(f"position div {ROWS_PER_BUCKET // 16}"), [F.col("position"), F.col("start")], "__one", "__n")
+    out = out.withColumns({"sequence_id": F.col("__n") * 16 + power, "offset": F.lit(0).cast("long")})
+    return out.select("doc_id", "start", "length", "doc_tokens", "ids_crc32", "position", "sequence_id", "offset")
