@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import lines, mixing, packing, simhash, toxicity
+from tidewater.llm import lines, mixing, neardup, packing, toxicity
 from tidewater.llm.common import documents, settle
 
 
@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near duplicates stays: its least doc_id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: its least doc_id."""
+    return neardup.drop_near_duplicates(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
