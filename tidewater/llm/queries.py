@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import licenses, lines, mixing, packing, resample, secret_scan, simhash, sketch, topk, toxicity
+from tidewater.llm import licenses, lines, mixing, packing, resample, secret_scan, simhash, sketch, tokens, topk, toxicity
 from tidewater.llm.common import documents, share_package
 
 
@@ -61,6 +61,10 @@ def op10_lines(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size("dropped_lines").cast("long").alias("n_dropped"), F.array_join(F.col("dropped_lines").cast("array<string>"), ",").alias("dropped_lines"), "text")
 
 
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.token_counts(documents(spark, folder))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_resample": op9_resample,
     "op10_lines": op10_lines,
+    "op11_token_counts": op11_token_counts,
 }
 
 #: The share that no cap binds is found by trying every number of capped sources, in order of cap by weight.
