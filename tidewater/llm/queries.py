@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import licenses, lines, mixing, packing, resample, secret_scan, simhash, sketch, tokens, topk, toxicity
+from tidewater.llm import licenses, lines, mixing, negatives, packing, resample, secret_scan, simhash, sketch, tokens, topk, toxicity
 from tidewater.llm.common import documents, share_package
 
 
@@ -65,6 +65,12 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(documents(spark, folder))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    share_package(spark)
+    rows = negatives.labelled(spark.read.parquet(f"{folder}/embeddings.parquet"))
+    return negatives.hard_negatives(rows, rows.where("vec_id % 50 = 0"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
@@ -77,6 +83,7 @@ QUERIES = {
     "op9_resample": op9_resample,
     "op10_lines": op10_lines,
     "op11_token_counts": op11_token_counts,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: The share that no cap binds is found by trying every number of capped sources, in order of cap by weight.
@@ -119,7 +126,19 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * C
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP12_SQL = """
+WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     scored AS (SELECT a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id, CAST(list_sum(list_transform(list_zip(a.c, c.c), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+     placed AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM scored WHERE same),
+     positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM placed WHERE place <= 5),
+     ranked AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+                FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
 ORACLE_SQL = {
+    "op12_hard_negatives": OP12_SQL,
     "op2_topk": OP2_SQL,
     "op5_mixing": OP5_SQL,
     "op10_lines": OP10_SQL,
