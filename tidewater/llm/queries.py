@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import licenses, lines, mixing, negatives, packing, resample, secret_scan, simhash, sketch, tokens, topk, toxicity
+from tidewater.llm import licenses, lines, mixing, negatives, packing, resample, secret_scan, simhash, sketch, tokens, topk, toxicity, whitening
 from tidewater.llm.common import documents, share_package
 
 
@@ -71,6 +71,12 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.hard_negatives(rows, rows.where("vec_id % 50 = 0"))
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    share_package(spark)
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", whitening.whole(F.col("embedding")).alias("vector"))
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_topk": op2_topk,
@@ -84,6 +90,7 @@ QUERIES = {
     "op10_lines": op10_lines,
     "op11_token_counts": op11_token_counts,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
 
 #: The share that no cap binds is found by trying every number of capped sources, in order of cap by weight.
