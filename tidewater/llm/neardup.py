@@ -7,10 +7,11 @@ the Golay code, an own index and up to six nearby ones each; they are taken in e
 band's segments with at most one error in either meet on that band's key, by the pigeonhole principle always if the segments hold
 seven errors or fewer in all, and mostly far beyond, for the code absorbs up to three errors that fall towards one codeword.
 
-Keys only propose. A pair whose fingerprints differ in over a fifth of their bits is dropped, the others are compared by the exact
-Jaccard similarity of their sets of five-word shingles. In a key's bucket every member meets one leader first; what this links is one
-component, inside which nothing is compared again, and all pairs left over meet in a second step. So a group of thousands of near
-copies costs a star and not its square, and no component is lost.
+Keys only propose. A pair whose fingerprints differ in over a fifth of their bits is dropped (first by one lane, in the join itself),
+the others are compared by the exact Jaccard similarity of their sets of five-word shingles. Texts with one own key meet one leader
+first, then those whose nearby keys lead to another group meet that group's leader; what this links is one component, inside which
+nothing is compared again, and all pairs left over meet in a last step. So a group of thousands of near copies costs stars and not its
+square, and no component is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +35,7 @@ SIMILARITY = 0.8
 LANES = 6  # 64-bit words of a fingerprint
 BANDS = 8
 MOST_BITS = 64 * LANES // 5
+MOST_LANE_BITS = 20  # of the lane that keys carry along
 
 # Odd multipliers that spread a word's hash over the lanes.
 SPREAD = tuple(np.uint64(0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1C * k & (1 << 64) - 1 | 1) for k in range(LANES))
@@ -80,6 +82,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 _LANE_NAMES = [f"f{k}" for k in range(LANES)]
+_CARRIED = ["node", "f0", "group"]
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,14 +110,13 @@ def _own_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         index = [codeword_index(s) for s in _segments(frame)]
         for band in range(BANDS):
-            yield pd.DataFrame({"node": frame["node"], "key": ((band << 24) | (index[2 * band] << 12) | index[2 * band + 1]).astype(np.int32)})
+            yield frame[_CARRIED].assign(key=((band << 24) | (index[2 * band] << 12) | index[2 * band + 1]).astype(np.int32))
 
 
 def _nearby_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         for at in range(0, len(frame), 4096):
-            part = frame.iloc[at : at + 4096]
-            node, near = part["node"].to_numpy(np.int64), []
+            part, near = frame.iloc[at : at + 4096].reset_index(drop=True), []
             for s in _segments(part):
                 found = np.sort(nearby_indices(s), axis=1)
                 found[:, 1:][found[:, 1:] == found[:, :-1]] = -1  # repeats; at most 6 differ
@@ -122,7 +124,7 @@ def _nearby_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for band in range(BANDS):
                 x, y = near[2 * band][:, :, None], near[2 * band + 1][:, None, :]
                 valid = (x >= 0) & (y >= 0)
-                yield pd.DataFrame({"node": node[np.nonzero(valid)[0]], "key": ((band << 24) | (x << 12) | y)[valid].astype(np.int32)})
+                yield part[_CARRIED].iloc[np.nonzero(valid)[0]].assign(key=((band << 24) | (x << 12) | y)[valid].astype(np.int32))
 
 
 def _shingle_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,6 +151,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity:
     sides = [nodes.select(F.col("node").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in _LANE_NAMES]) for s in ("a", "b")]
     bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in _LANE_NAMES])
     close = settle(pairs.join(sides[0], "a").join(sides[1], "b").where(bits <= MOST_BITS).select("a", "b"), "near-close")
+    if not close.head(1):
+        return close
     wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = settle(nodes.join(wanted, "node", "left_semi").select("node", F.col("first.id").alias("__id"), F.col("first.row").alias("__row")), "near-wanted")
     sets = texts.join(wanted, ["__id", "__row"]).select("node", "text").mapInPandas(_shingle_sets, "node long, set binary").dropDuplicates(["node"])
@@ -157,34 +161,62 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity:
     return settle(both.where(_similarity("set_a", "set_b") >= similarity).select("a", "b"), "near-links")
 
 
+def _group() -> Column:
+    """A text's group, which is the text itself where none is carried (0)."""
+    return F.when(F.col("group") != 0, F.col("group")).otherwise(F.col("node"))
+
+
+def _close(x: str, y: str) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MOST_LANE_BITS
+
+
 def links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links between nodes whose components are those of all candidate pairs that are ``similarity`` alike."""
     spark = nodes.sparkSession
     # fingerprints are few bytes but fan out to hundreds of keys each, so they are dealt out by number and not by size
-    keyed = nodes.where(F.col("words") >= SHINGLE_WORDS).select("node", *_LANE_NAMES)
     parts = max(spark.sparkContext.defaultParallelism, -(-nodes.count() // 20_000))
-    keyed = keyed.repartition(parts, "node")
-    own, near = (keyed.mapInPandas(f, "node long, key int") for f in (_own_keys, _nearby_keys))
-    held = own.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n"))
-    hits = settle(near.join(held, "key").where("n > 1 or leader <> node").select("key", "node", "leader"), "near-hits")
-    star = settle(hits.where("node <> leader").select(*_pairs("node", "leader")).distinct(), "near-star")
-    linked = _verified(star, nodes, texts, similarity)
-    roots = settle(components(linked), "near-roots")
-
-    def rooted(members: DataFrame) -> DataFrame:
-        """Adds each member's root, and whether it is its leader's."""
+    keyed = nodes.where(F.col("words") >= SHINGLE_WORDS).select("node", *_LANE_NAMES)
+
+    def keys(of: DataFrame, make) -> DataFrame:
+        return of.repartition(parts, "node").mapInPandas(make, "node long, f0 long, group long, key int")
+
+    def led(own: DataFrame) -> DataFrame:
+        """For each own key its leader, and the least and greatest group among its members."""
+        group = _group()
+        return own.groupBy("key").agg(F.min(F.struct("node", "f0", group.alias("group"))).alias("leader"), F.min(group).alias("low"), F.max(group).alias("high"))
+
+    # one: texts with the same own key meet its leader
+    own = keys(keyed.withColumn("group", F.lit(0).cast("long")), _own_keys)
+    leaders = led(own).where("low <> high").select("key", F.col("leader.node").alias("leader"), F.col("leader.f0").alias("leader_f0"))
+    star = own.join(leaders, (own["key"] == leaders["key"]) & (F.col("node") != F.col("leader")) & _close("f0", "leader_f0"))
+    linked = [_verified(star.select(*_pairs("node", "leader")).distinct(), nodes, texts, similarity)]
+    # two: texts whose nearby keys lead to another group meet its leader
+    roots = settle(components(linked[0]).withColumnRenamed("root", "group"), "near-roots")
+    keyed = keyed.join(roots, "node", "left").withColumn("group", F.coalesce("group", F.lit(0).cast("long")))
+    own, near = keys(keyed, _own_keys), keys(keyed, _nearby_keys)
+    held = led(own).select(F.col("key").alias("__key"), F.col("leader.node").alias("leader"), F.col("leader.f0").alias("leader_f0"), F.col("leader.group").alias("leader_group"), (F.col("low") != F.col("high")).alias("mixed"))
+    other = (_group() != F.col("leader_group")) & _close("f0", "leader_f0")
+    hits = near.join(held, (F.col("key") == F.col("__key")) & (other | F.col("mixed"))).select("key", "node", "f0", "leader", "mixed", other.alias("other"))
+    hits = settle(hits, "near-hits")
+    star = settle(hits.where("other").select(*_pairs("node", "leader")).distinct(), "near-star")
+    linked.append(_verified(star, nodes, texts, similarity))
+    # three: in keys that hold several groups, all that are still apart meet, but for members of the leader's group among themselves
+    roots = settle(components(linked[0].unionAll(linked[1])), "near-roots")
+
+    def rooted(members: DataFrame, prefix: str) -> DataFrame:
         of = [roots.select(F.col("node").alias(k), F.col("root").alias(r)) for k, r in (("node", "__own"), ("leader", "__lead"))]
         found = members.join(of[0], "node", "left").join(of[1], "leader", "left")
-        return found.select("key", "node", F.coalesce("__own", "node").alias("root"), F.coalesce("__own", "node").eqNullSafe(F.coalesce("__lead", "leader")).alias("main"))
-
-    near_side = settle(rooted(hits), "near-members")
-    leaders = hits.select("key", "leader").distinct()
-    own_side = settle(rooted(own.join(leaders, "key")), "near-owners")
-    o = own_side.select("key", F.col("node").alias("o_node"), F.col("root").alias("o_root"), F.col("main").alias("o_main"))
-    # members of the leader's component never meet each other here
-    left_over = near_side.where("not main").join(o, "key").unionAll(near_side.where("main").join(o.where("not o_main"), "key"))
-    rest = left_over.where("root <> o_root").select(*_pairs("node", "o_node")).distinct().join(star, ["a", "b"], "left_anti")
-    return linked.unionAll(_verified(rest, nodes, texts, similarity))
+        root = F.coalesce("__own", "node")
+        columns = {"node": F.col("node"), "f0": F.col("f0"), "root": root, "main": root == F.coalesce("__lead", "leader")}
+        return settle(found.select("key", *[c.alias(prefix + name) for name, c in columns.items()]), "near-members")
+
+    mixed = hits.where("mixed").select("key", "node", "f0", "leader")
+    near_side = rooted(mixed, "n_")
+    own_side = rooted(own.select("key", "node", "f0").join(mixed.select("key", "leader").distinct(), "key"), "o_")
+    apart = (near_side["key"] == own_side["key"]) & (F.col("n_root") != F.col("o_root")) & _close("n_f0", "o_f0")
+    met = [near_side.where("not n_main").join(own_side, apart), near_side.where("n_main").join(own_side.where("not o_main"), apart)]
+    rest = met[0].unionAll(met[1]).select(*_pairs("n_node", "o_node")).distinct().join(star, ["a", "b"], "left_anti")
+    return linked[0].unionAll(linked[1]).unionAll(_verified(rest, nodes, texts, similarity))
 
 
 def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
