@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.values import encode
 from tidewater.operators.querylog import TIMEOUT_MS
+from tidewater.operators.ranks import order_statistics
 
 _QUERY = "struct<id: int, exec_ms: double, failure_reason: string>"
 _SUMMARY = "struct<geo_mean_exec_ms: double, overall_cache_hit_ratio: double, queries_with_spill: bigint, exec_ms_per_query: map<string, double>, failure_reason_per_query: map<string, string>>"
@@ -192,7 +193,7 @@ def timeout_frequency(queries: DataFrame) -> DataFrame:
 
 def impute_median(rows: DataFrame, columns: list[str]) -> DataFrame:
     """NULLs become the column median, with an indicator; columns never seen become -1."""
-    medians = rows.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])
+    medians = order_statistics(rows, {f"_m_{c}": (c, 0.5) for c in columns})
     out = rows.crossJoin(medians)
     kept = [c for c in rows.columns if c not in columns]
     filled = [F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"), F.lit(-1.0)).alias(c) for c in columns]

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import random
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,73 +110,164 @@ def search(rows: DataFrame, columns: list[str], target: str = "geo_mean_tpch", t
     return rows.sparkSession.createDataFrame(line, "target string, base_rmse double, best_rmse double, gain_pct double, best map<string, double>")
 
 
-def stack(oofs: dict[str, DataFrame], actual: DataFrame, label: str, alpha: float = 1.0) -> DataFrame:
-    """Ridge over the out-of-fold predictions of the specialists."""
-    rows = actual
+def stack(oofs: dict[str, DataFrame], actual: DataFrame, label: str, alpha: float = 1.0, folds: int = FOLDS) -> DataFrame:
+    """(task_id, label, fold, stacked): ridge over the out-of-fold predictions of the specialists, itself cross-fitted.
+
+    One aggregation gives every fold's row count, sums and products; a fold's weights are solved from those of all other folds, so no
+    row is predicted by a model that saw it. The intercept is not penalised. Rows that lack a prediction or the label stay out.
+    """
+    rows = actual.select("task_id", F.col(label).cast("double").alias(label))
     for name, df in oofs.items():
-        rows = rows.join(df.select("task_id", F.col("predicted").alias(f"oof_{name}")), "task_id")
-    rows = settle(rows)
-    inputs = [f"oof_{n}" for n in oofs]
-    # the ridge penalty is per row here: alpha over the row count
-    n = max(rows.count(), 1)
-    flow = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_x"), LinearRegression(featuresCol="_x", labelCol=label, predictionCol="stacked", regParam=alpha / n, elasticNetParam=0.0, standardization=False)])
-    return flow.fit(rows).transform(rows).select("task_id", label, "stacked")
+        rows = rows.join(df.select("task_id", F.col("predicted").cast("double").alias(f"oof_{name}")), "task_id")
+    names = [f"oof_{n}" for n in oofs]
+    rows = settle(rows.dropna(subset=[label, *names]).withColumn("fold", fold(folds=folds)))
+    columns = [*names, label]
+    firsts = [F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]
+    products = [F.sum(F.col(x) * F.col(y)).alias(f"p{i}_{j}") for i, x in enumerate(columns) for j, y in enumerate(columns) if j >= i]
+    stats = rows.groupBy("fold").agg(F.count("*").alias("n"), *firsts, *products).collect()  # a row for each fold
+    stacked = F.lit(None).cast("double")
+    for k in range(folds):
+        weights, intercept = _ridge([r for r in stats if r.fold != k], len(names), alpha)
+        line = F.lit(float(intercept))
+        for name, w in zip(names, weights):
+            line = line + F.lit(float(w)) * F.col(name)
+        stacked = F.when(F.col("fold") == k, line).otherwise(stacked)
+    return rows.select("task_id", label, "fold", stacked.alias("stacked"))
+
+
+def _ridge(stats: list, width: int, alpha: float) -> tuple[np.ndarray, float]:
+    """Weights and intercept from sums of row counts, columns and products of columns (the label last)."""
+    n = sum(r.n for r in stats)
+    if not n:
+        return np.zeros(width), 0.0
+    mean = np.array([sum(r[f"s{i}"] for r in stats) for i in range(width + 1)]) / n
+    gram = np.zeros((width + 1, width + 1))
+    for i in range(width + 1):
+        for j in range(i, width + 1):
+            gram[i, j] = gram[j, i] = sum(r[f"p{i}_{j}"] for r in stats) - n * mean[i] * mean[j]
+    weights = np.linalg.solve(gram[:width, :width] + alpha * np.eye(width), gram[:width, width])
+    return weights, float(mean[width] - weights @ mean[:width])
+
+
+def fold_metrics(predicted: DataFrame, actual: str, value: str) -> DataFrame:
+    """RMSE and rank correlation of each fold's predictions, and of all (fold -1)."""
+    both = predicted.select(actual, value, F.explode(F.array(F.col("fold"), F.lit(-1))).alias("fold"))
+    return rmse_spearman(both, actual, value, ("fold",))
 
 
 def importance(rows: DataFrame, columns: list[str], target: str = "geo_mean_tpch", **settings) -> DataFrame:
-    """Loss of rank correlation when one column is shuffled, beside the trees' own measure."""
+    """Loss of rank correlation when one column is shuffled, beside the trees' own measure.
+
+    Every row has a place in a hashed order; a shuffled column takes its values from the rows a seeded distance further on. One join
+    brings the donors of all columns, and one pass scores them.
+    """
     column, transform, _, _ = TARGETS[target]
     known = rows.where(F.col(column).isNotNull())
     columns = _usable(known, columns)
     ready = settle(prepare(known, columns).withColumn("_y", to_scale(column, transform)))
     model = specialist(columns, **settings).fit(ready)
     gains = model.stages[-1].featureImportances
-    places = settle(attach_position(attach_position(ready.withColumn("_h1", F.xxhash64(F.lit(1), "task_id")).withColumn("_h2", F.xxhash64(F.lit(2), "task_id")), "_h1", "task_id", (), "_a"), "_h2", "task_id", (), "_b"))
-    out = []
-    score = lambda df: rmse_spearman(model.transform(df), "_y", "_p")
-    base = score(ready).select(F.col("spearman_rho").alias("_base"))
+    placed = settle(attach_position(ready.withColumn("_h", F.xxhash64(F.lit(SEED), "task_id")), "_h", "task_id", (), "_at", "_size"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v"), F.col(f"_m_{c}").alias("m")) for i, c in enumerate(columns)])
+    donors = placed.select(F.col("_at").alias("_d"), F.explode(pairs).alias("_donor")).select("_d", F.col("_donor.i").alias("_i"), F.col("_donor.v").alias("_dv"), F.col("_donor.m").alias("_dm"))
+    # number -1 is the table as it is
+    number = F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1)))
+    wide = placed.withColumn("_c", number)
+    shift = F.pmod(F.xxhash64(F.lit(SEED), "_c"), F.greatest(F.col("_size") - 1, F.lit(1))) + 1
+    wide = wide.withColumn("_from", F.pmod(F.col("_at") - 1 + shift, F.col("_size")) + 1)
+    mixed = wide.join(donors, (F.col("_from") == F.col("_d")) & (F.col("_c") == F.col("_i")), "left")
+    swapped = {}
     for i, c in enumerate(columns):
-        donors = places.select(F.col("_b").alias("_d"), F.col(c).alias("_dv"), F.col(f"_m_{c}").alias("_dm"))
-        mixed = places.join(donors, F.col("_a") == F.col("_d")).withColumn(c, F.col("_dv")).withColumn(f"_m_{c}", F.col("_dm")).drop("_d", "_dv", "_dm", "_a", "_b")
-        drop = score(mixed).crossJoin(base).select(F.lit(c).alias("feature"), F.lit(STAGE_OF.get(c, "HW")).alias("stage"), F.round(F.col("_base") - F.col("spearman_rho"), 4).alias("rho_loss"), F.lit(float(gains[i] + gains[i + len(columns)])).alias("gain"))
-        out.append(drop)
-    return reduce(lambda a, b: a.unionAll(b), out)
+        swapped[c] = F.when(F.col("_c") == i, F.col("_dv")).otherwise(F.col(c))
+        swapped[f"_m_{c}"] = F.when(F.col("_c") == i, F.col("_dm")).otherwise(F.col(f"_m_{c}"))
+    scored = rmse_spearman(model.transform(mixed.withColumns(swapped)).select("_c", "_y", "_p"), "_y", "_p", ("_c",))
+    scored = settle(scored.select("_c", "spearman_rho"))
+    base = scored.where("_c = -1").select(F.col("spearman_rho").alias("_base"))
+    named = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(STAGE_OF.get(c, "HW")).alias("stage"), F.lit(float(gains[i] + gains[i + len(columns)])).alias("gain")) for i, c in enumerate(columns)])
+    out = scored.where("_c >= 0").crossJoin(base).withColumn("_name", F.get(named, F.col("_c")))
+    return out.select("_name.feature", "_name.stage", F.round(F.col("_base") - F.col("spearman_rho"), 4).alias("rho_loss"), "_name.gain")
 
 
 def stage_importance(features: DataFrame) -> DataFrame:
+    """Each stage's share of the trees' gain, in percent."""
     sums = features.groupBy("stage").agg(F.sum("gain").alias("gain"))
     whole = sums.agg(F.sum("gain").alias("_w"))
-    return sums.crossJoin(whole).select("stage", F.round(F.col("gain") / F.col("_w") * 100, 2).alias("share_pct"))
+    return sums.crossJoin(whole).select("stage", F.round(F.try_divide(F.col("gain"), F.col("_w")) * 100, 2).alias("share_pct"))
+
 
+OFFSETS = (1, 2, 3, 5, 8)
 
-def ranker(rows: DataFrame, score: str, columns: list[str], **settings) -> DataFrame:
-    """Learn the relevance grade of each row and order groups by the prediction.
 
-    One row per training example: pairs within a group would grow with the
-    square of the group.
+def bounded_pairs(rows: DataFrame, keep: list[str], by: tuple[str, ...], offsets: tuple[int, ...] = OFFSETS, key: str = "task_id") -> DataFrame:
+    """Pairs (a, b) of rows of a group: each row with those ``offsets`` places further on in the group's hashed order, which is a ring.
+
+    Linear in the group, where all pairs would be its square. A distance that is a multiple of the group's size is no pair.
+    """
+    placed = attach_position(rows.withColumn("_h", F.xxhash64(F.lit(SEED), key)), "_h", key, by, "_at", "_size")
+    placed = settle(placed.select(*by, key, *keep, "_at", "_size"))
+    left = placed.withColumn("_offset", F.explode(F.array(*[F.lit(o) for o in offsets]))).where("pmod(_offset, _size) <> 0")
+    left = left.withColumn("_to", F.pmod(F.col("_at") - 1 + F.col("_offset"), F.col("_size")) + 1)
+    a = left.select(*[F.col(g).alias(f"_g_{g}") for g in by], "_to", "_offset", F.struct(key, *keep).alias("a"))
+    b = placed.select(*by, "_at", F.struct(key, *keep).alias("b"))
+    same = F.col("_to") == F.col("_at")
+    for g in by:
+        same = same & F.col(f"_g_{g}").eqNullSafe(F.col(g))
+    return a.join(b, same).select(*by, F.col("_offset").alias("offset"), "a", "b")
+
+
+def ranker(rows: DataFrame, score: str, columns: list[str], by: tuple[str, ...] = ("tier", "combination"), offsets: tuple[int, ...] = OFFSETS, **settings) -> DataFrame:
+    """Pairwise ranking: which of two rows of a group has the better relevance grade, learnt from the difference of their inputs.
+
+    Pairs are bounded (:func:`bounded_pairs`), those of equal grade teach nothing. A logistic regression without intercept gives the
+    weights, whose sum over a row's inputs is its ``rank_score``. Groups whose pairs are all equal, or a table without pairs, give 0.
     """
     graded = relevance(rows.where(F.col(score).isNotNull()), score)
     columns = _usable(graded, columns)
     ready = settle(prepare(graded, columns).withColumn("_y", F.col("relevance").cast("double")))
-    return specialist(columns, **settings).fit(ready).transform(ready).select("task_id", "tier", "combination", score, "relevance", F.col("_p").alias("rank_score"))
-
-
-def learning_curve(rows: DataFrame, columns: list[str], sizes=(15, 25, 50, 100, 200, 400, None), repeats: int = 10, target: str = "geo_mean_tpch", **settings) -> DataFrame:
-    """Mean and deviation of the test correlation for growing training sets."""
+    inputs = Pipeline(stages=_inputs(columns)).fit(ready)
+    parts = [f"_f_{c}" for c in columns] + [f"_m_{c}" for c in columns]
+    table = settle(inputs.transform(ready).drop("_x"))
+    pairs = bounded_pairs(table.select(*by, "task_id", "_y", *parts), ["_y", *parts], by, offsets).where("a._y <> b._y")
+    differences = pairs.select((F.col("a._y") > F.col("b._y")).cast("double").alias("_label"), *[(F.col(f"a.{p}") - F.col(f"b.{p}")).alias(p) for p in parts])
+    differences = settle(differences)
+    out = [*by, "task_id", score, "relevance"]
+    if differences.select("_label").distinct().count() < 2:
+        return table.select(*out, F.lit(0.0).alias("rank_score"))
+    learner = LogisticRegression(featuresCol="_x", labelCol="_label", fitIntercept=False, **{"maxIter": 100, "regParam": 1e-4, **settings})
+    weights = learner.fit(VectorAssembler(inputCols=parts, outputCol="_x").transform(differences)).coefficients.toArray()
+    line = reduce(lambda a, b: a + b, [F.lit(float(w)) * F.col(p) for w, p in zip(weights, parts)])
+    return table.select(*out, line.alias("rank_score"))
+
+
+def learning_curve(rows: DataFrame, columns: list[str], sizes=(15, 25, 50, 100, 200, 400, None), repeats: int = 10, target: str = "geo_mean_tpch", parallelism: int = 4, **settings) -> DataFrame:
+    """(train_size, draws, rho_mean, rho_sd, rmse_mean): test correlation and error for growing training sets, -1 for the whole pool.
+
+    A repeat orders the pool by its hash, and its training sets are prefixes of that one order: all are read from one settled table.
+    The whole pool is the same in every repeat and is fitted once. Sizes beyond the pool are the whole pool again.
+    """
     column, transform, _, _ = TARGETS[target]
     known = rows.where(F.col(column).isNotNull())
     columns = _usable(known, columns)
     ready = settle(prepare(known, columns).withColumn("_y", to_scale(column, transform)).withColumn("_test", fold("task_id", 5, SEED) == 0))
     test, pool = ready.where("_test"), ready.where("not _test")
-    out = []
-    for r in range(repeats):
-        drawn = settle(attach_position(pool.withColumn("_h", F.xxhash64(F.lit(r), F.col("task_id"))), "_h", "task_id", (), "_at"))
-        for n in sizes:
-            train = drawn if n is None else drawn.where(F.col("_at") <= n)
-            model = specialist(columns, **settings).fit(train)
-            out.append(rmse_spearman(model.transform(test), "_y", "_p").select(F.lit(n if n is not None else -1).alias("train_size"), "spearman_rho"))
-    runs = reduce(lambda a, b: a.unionAll(b), out)
-    return runs.groupBy("train_size").agg(F.round(F.avg("spearman_rho"), 4).alias("rho_mean"), F.round(F.stddev_pop("spearman_rho"), 4).alias("rho_sd"), F.count(F.lit(1)).alias("draws"))
+    most = max([n for n in sizes if n is not None], default=0)
+    drawn = pool.withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_h", F.xxhash64("_draw", "task_id"))
+    drawn = settle(attach_position(drawn, "_h", "task_id", ("_draw",), "_at").where(F.col("_at") <= most))
+    jobs = [(n, r) for n in sizes for r in range(repeats if n is not None else 1)]
+
+    def run(job):
+        n, r = job
+        train = pool if n is None else drawn.where((F.col("_draw") == r) & (F.col("_at") <= n))
+        predicted = specialist(columns, **settings).fit(train).transform(test)
+        return settle(predicted.select(F.lit(n if n is not None else -1).alias("train_size"), F.lit(r).alias("draw"), "_y", "_p"))
+
+    # the fits are independent and small, so a few of them share the cluster
+    with ThreadPool(parallelism) as threads:
+        found = reduce(DataFrame.unionAll, threads.map(inheritable_thread_target(run), jobs, chunksize=1))
+    runs = rmse_spearman(found, "_y", "_p", ("train_size", "draw"))
+    return runs.groupBy("train_size").agg(
+        F.count(F.lit(1)).alias("draws"), F.round(F.avg("spearman_rho"), 4).alias("rho_mean"), F.round(F.stddev_pop("spearman_rho"), 4).alias("rho_sd"), F.round(F.avg("rmse"), 4).alias("rmse_mean")
+    )
 
 
 def fit_all(rows: DataFrame, columns: list[str], **settings) -> dict[str, PipelineModel]:

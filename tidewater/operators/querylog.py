@@ -77,33 +77,35 @@ def overhead(log: DataFrame) -> DataFrame:
 
 
 def suite_summary(log: DataFrame) -> DataFrame:
-    """Every scalar of a suite's summary in one grouped pass.
+    """Every scalar of a suite's summary from one shuffle by task and suite.
 
-    A suite has at most as many rows per task as it has queries, so the sorted
-    list behind the median and the 95th percentile is bounded by the suite, not the data.
+    The rows of a task's suite are at most its queries. They are numbered by time, and the median and the 95th percentile are the
+    times with certain numbers, so all aggregates are plain sums and bounds over rows that lie together: no list is built.
     """
     timed = "failure_reason in ('ok', 'timeout', 'oom') and exec_ms is not null"
-    ms = f"case when {timed} then exec_ms end"
+    suite = Window.partitionBy("task_id", "suite")
+    numbered = log.withColumn("_ms", F.expr(f"case when {timed} then exec_ms end"))
+    numbered = numbered.withColumns({"_at": F.row_number().over(suite.orderBy(F.col("_ms").asc_nulls_last())), "_n": F.count("_ms").over(suite)})
     ok = "failure_reason = 'ok'"
-    out = log.groupBy("task_id", "suite").agg(
+    # the middle one or two
+    middle = "0.5D * max(_ms) filter (where _at = (_n + 1) div 2) + 0.5D * max(_ms) filter (where _at = _n div 2 + 1)"
+    out = numbered.groupBy("task_id", "suite").agg(
         *agg(
             *[f"count_if(failure_reason = '{r}') as n_queries_{n}" for r, n in (("ok", "successful"), ("timeout", "timed_out"), ("oom", "oom"), ("technical", "technical"))],
-            f"bround(sum({ms}), 3) as total_exec_ms",
-            f"case when every(exec_ms > 0) filter (where {timed}) then bround(exp(avg(ln({ms})) ), 3) end as geo_mean_exec_ms",
-            f"array_sort(collect_list({ms})) as _sorted",
-            f"bround(max({ms}), 3) as max_exec_ms",
-            f"bround(min({ms}), 3) as min_exec_ms",
-            f"coalesce(bround(stddev_samp({ms}), 3), 0.0D) as stddev_exec_ms",
+            "bround(sum(_ms), 3) as total_exec_ms",
+            "case when every(exec_ms > 0) filter (where _ms is not null) then bround(exp(avg(ln(_ms))), 3) end as geo_mean_exec_ms",
+            "bround(max(_ms), 3) as max_exec_ms",
+            "bround(min(_ms), 3) as min_exec_ms",
+            "coalesce(bround(stddev_samp(_ms), 3), 0.0D) as stddev_exec_ms",
             *[f"coalesce(sum({c}) filter (where {ok}), 0) as total_{c}" for c in ("shared_hit", "shared_read", "temp_read_blocks", "temp_written_blocks")],
             f"count_if({ok} and temp_written_blocks > 0) as queries_with_spill",
             f"count_if({ok} and workers_launched > 0) as queries_with_parallelism",
             f"coalesce(bround(avg(coalesce(workers_launched, 0)) filter (where {ok}), 2), 0.0D) as avg_workers_launched",
+            f"bround({middle}, 3) as median_exec_ms",
+            "bround(max(_ms) filter (where _at = cast(floor(_n * 0.95D) as int) + 1), 3) as p95_exec_ms",
         )
     )
-    p95 = F.expr("bround(get(_sorted, cast(floor(size(_sorted) * 0.95D) as int)), 3)")
-    # the middle one or two of the same list; no second pass over the values of a task
-    median = F.expr("bround(0.5D * get(_sorted, (size(_sorted) - 1) div 2) + 0.5D * get(_sorted, size(_sorted) div 2), 3)")
-    return out.withColumns({"median_exec_ms": median, "p95_exec_ms": p95}).withColumn("overall_cache_hit_ratio", hit_ratio("total_shared_hit", "total_shared_read")).drop("_sorted")
+    return out.withColumn("overall_cache_hit_ratio", hit_ratio("total_shared_hit", "total_shared_read"))
 
 
 def outcome_counts(log: DataFrame, planned: dict[str, int]) -> DataFrame:

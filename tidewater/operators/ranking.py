@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators.ranks import attach_position, attach_ranks, settle
+from tidewater.operators.ranks import attach_position, attach_ranks, order_statistics, settle
 from tidewater.plans.retail import group_total
 
 GROUP = ("tier", "combination")
@@ -210,7 +210,7 @@ def best_worst_ratio(df: DataFrame, value: str = "tpch_geo_mean_ms") -> DataFram
 def outlier_sensitivity(df: DataFrame, actual: str, predicted: str, share: float = 0.99) -> DataFrame:
     """Error and correlation with and without the rows above a percentile of the actual value."""
     rows = df.where(F.col(actual).isNotNull() & F.col(predicted).isNotNull())
-    limit = rows.agg(F.percentile(actual, F.lit(share)).alias("_limit"))
+    limit = order_statistics(rows, {"_limit": (actual, share)})
     kept = rows.crossJoin(limit).where(F.col(actual) <= F.col("_limit")).drop("_limit")
     named = [rmse_spearman(d, actual, predicted).select(F.lit(n).alias("rows_used"), "rmse", "spearman_rho", "n") for n, d in (("all", rows), ("without outliers", kept))]
     return named[0].unionAll(named[1])

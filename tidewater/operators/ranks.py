@@ -1,82 +1,102 @@
-"""Exact ranks without gathering a group in one task.
+"""Exact ranks, positions and order statistics without gathering a group in one task.
 
-A window ordered over a whole group sorts that group in a single task. Here the
-distinct values are cut into value ranges first: counts per range give each
-range its starting rank, and only the values inside one range are sorted
-together. The ranks are exact whatever the cut points are.
+A window ordered over a whole group sorts that group in a single task. Here
+the rows (for ranks: the counts of distinct values) are dealt out by ranges of
+(group, value) first, and each keeps the number of its range. Counts per range
+give each range its start; only rows of one range are sorted together. The
+number is written with the rows once, so whatever is computed again agrees.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.session import checkpoint_dir
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write rows to the checkpoint folder and go on from there; survives lost executors. For folds and rounds, not for ranks."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write rows to the checkpoint folder, once, and go on from there; survives lost executors."""
+    path = f"{checkpoint_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
+def _keys(df: DataFrame, value: str, descending: bool) -> tuple[Column, Column]:
+    """A double and a long that order the values exactly: whole numbers and long decimals have more digits than a double holds."""
+    kind, x = df.schema[value].dataType, F.col(f"`{value}`")
+    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        exact = x.cast("long")
+    elif isinstance(kind, T.DecimalType) and 15 < kind.precision <= 18:
+        exact = (x.cast(f"decimal(38,{kind.scale})") * F.lit(10**kind.scale).cast("decimal(20,0)")).cast("long")
+    else:
+        exact = F.lit(0).cast("long")
+    coarse = x.cast("double")
+    return (-coarse, F.bitwise_not(exact)) if descending else (coarse, exact)
 
-def _ranges(df: DataFrame) -> int:
-    """Cut points: four times the tasks of a shuffle, so that ranges shrink as a job is given more tasks."""
-    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
+def _ranged(df: DataFrame, order: list, ranges: int | None) -> DataFrame:
+    """The rows with the number of their range of ``order``, settled."""
+    dealt = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    return settle(dealt.withColumn("__range", F.spark_partition_id()))
 
-def _with_cuts(df: DataFrame, ranges: int, **columns: str) -> DataFrame:
-    """Adds one row's arrays of approximate quantiles of some columns; what depends on them is exact wherever they lie."""
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = df.agg(*[F.array_distinct(F.percentile_approx(F.col(c).cast("double"), steps, 10 * ranges)).alias(name) for name, c in columns.items()])
-    return df.crossJoin(cuts)
 
+def _starts(ranged: DataFrame, by: list[str], amount: Column) -> DataFrame:
+    """For each group and range the rows in earlier ranges, and the rows of the group; one row per range reaches the window."""
+    per_range = ranged.groupBy(*by, "__range").agg(F.sum(amount).alias("__rows"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(b).alias(f"__s_{b}") for b in by]
+    return per_range.select(*keys, F.col("__range").alias("__s_range"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__start"), F.sum("__rows").over(group).alias("__n"))
 
-def _starts(counted: DataFrame, by: list[str], order: list[str], amount: str) -> DataFrame:
-    """Per group and range the rows in earlier ranges and the rows of the group; one row for each range reaches the window."""
-    per_range = counted.groupBy(*by, *order).agg(F.sum(amount).alias("_rows"))
-    in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = in_group.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return per_range.select(
-        *[F.col(b).alias(f"_s_{b}") for b in by], *[F.col(o).alias(f"_s{o}") for o in order], F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"), F.sum("_rows").over(in_group).alias("_n")
-    )
 
+def _all_same(pairs: list[tuple]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs])
 
-def _same(by: list[str], prefix: str, *pairs: tuple[str, str]):
-    on = F.lit(True)
-    for left, right in pairs:
-        on = on & (F.col(left) == F.col(right))
-    for b in by:
-        on = on & F.col(b).eqNullSafe(F.col(f"{prefix}{b}"))
-    return on
 
+def _value_table(df: DataFrame, values: list[str], by: list[str], descending: bool, ranges: int | None) -> DataFrame:
+    """(__which, by, __o, __x, __ties, __before, __n): every distinct value of every column with its ties and the rows before it.
 
-def _rank_table(df: DataFrame, value: str, by: list[str], prefix: str, descending: bool, ranges: int | None) -> DataFrame:
-    """Rank, ties and group size of each distinct value: the counts of values are all that is sorted."""
-    values = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_rv")).agg(F.count(F.lit(1)).alias("_ties"))
-    values = values.withColumn("_o", F.col("_rv").cast("double") * F.lit(-1.0 if descending else 1.0))
-    cut = _with_cuts(values, ranges or _ranges(df), _cuts="_o").withColumn("_range", F.expr("size(filter(_cuts, c -> c < _o))")).drop("_cuts")
-    inside = Window.partitionBy(*by, "_range").orderBy("_o", "_rv" if not descending else F.col("_rv").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.join(_starts(cut, by, ["_range"], "_ties"), _same(by, "_s_", ("_range", "_s_range"))).select(
-        *[F.col(b).alias(f"_k{prefix}_{b}") for b in by],
-        F.col("_rv").alias(f"_k{prefix}_rv"),
-        (F.lit(1) + F.col("_start") + F.coalesce(F.sum("_ties").over(inside), F.lit(0))).alias(f"{prefix}rank"),
-        F.col("_ties").alias(f"{prefix}ties"),
-        F.col("_n").alias(f"{prefix}n"),
-    )
+    One pass counts the values of all columns; only these counts are dealt out by range and sorted.
+    """
+    keys = [_keys(df, v, descending) for v in values]
+    entries = [F.when(F.col(f"`{v}`").isNotNull(), F.struct(F.lit(i).alias("which"), o.alias("o"), x.alias("x"))) for i, (v, (o, x)) in enumerate(zip(values, keys))]
+    names = [f"__b{i}" for i in range(len(by))]
+    long = df.select(*[F.col(f"`{b}`").alias(n) for b, n in zip(by, names)], F.explode(F.array_compact(F.array(*entries))).alias("__v"))
+    group = ["__which", *names]
+    long = long.select(*names, F.col("__v.which").alias("__which"), F.col("__v.o").alias("__o"), F.col("__v.x").alias("__x"))
+    counted = long.groupBy(*group, "__o", "__x").agg(F.count(F.lit(1)).alias("__ties"))
+    ranged = _ranged(counted, [*group, "__o", "__x"], ranges)
+    inside = Window.partitionBy(*group, "__range").orderBy("__o", "__x").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("__inside", F.coalesce(F.sum("__ties").over(inside), F.lit(0)))
+    starts = _starts(ranged, group, F.col("__ties"))
+    joined = placed.join(starts, _all_same([(g, f"__s_{g}") for g in group] + [("__range", "__s_range")]))
+    return joined.select(*group, "__o", "__x", "__ties", (F.col("__start") + F.col("__inside")).alias("__before"), "__n")
 
 
 def attach_ranks(df: DataFrame, values: dict[str, str], by: tuple[str, ...] = (), descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Add ``{prefix}rank``, ``{prefix}ties`` and ``{prefix}n`` within ``by`` for each value column of ``{prefix: column}``.
 
     ``rank`` is 1 plus the rows ordered strictly before, ``ties`` the rows with the same value, ``n`` the non-NULL rows of the group.
-    NULL values get NULLs. Nothing is computed or written until the result is; every rank is taken from ``df`` itself, so several of
-    them stay linear.
+    NULL values get NULLs. The values of all columns are counted and settled together; ``ranges`` is the number of ranges, by
+    default that of a shuffle.
     """
-    by, out = list(by), df
-    for prefix, value in values.items():
-        table = _rank_table(df, value, by, prefix, descending, ranges)
-        out = out.join(table, _same(by, f"_k{prefix}_", (value, f"_k{prefix}_rv")), "left").drop(f"_k{prefix}_rv", *[f"_k{prefix}_{b}" for b in by])
+    by, columns, out = list(by), list(values.values()), df
+    table = _value_table(df, columns, by, descending, ranges)
+    for i, (prefix, value) in enumerate(values.items()):
+        o, x = _keys(df, value, descending)
+        keys = {f"__k{i}_{name}": F.col(name) for name in [*[f"__b{n}" for n in range(len(by))], "__o", "__x"]}
+        found = table.where(F.col("__which") == i).select(
+            *[c.alias(k) for k, c in keys.items()], (F.col("__before") + 1).alias(f"{prefix}rank"), F.col("__ties").alias(f"{prefix}ties"), F.col("__n").alias(f"{prefix}n")
+        )
+        same = (o == F.col(f"__k{i}___o")) & (x == F.col(f"__k{i}___x"))
+        for n, b in enumerate(by):
+            same = same & F.col(f"`{b}`").eqNullSafe(F.col(f"__k{i}___b{n}"))
+        out = out.join(found, same, "left").drop(*keys)
     return out
 
 
@@ -85,25 +105,37 @@ def attach_rank(df: DataFrame, value: str, by: tuple[str, ...] = (), prefix: str
     return attach_ranks(df, {prefix: value}, by, descending, ranges)
 
 
-def attach_position(df: DataFrame, value: str, tie: str, by: tuple[str, ...] = (), out: str = "position", size: str | None = None) -> DataFrame:
+def attach_position(df: DataFrame, value: str, tie: str, by: tuple[str, ...] = (), out: str = "position", size: str | None = None, ranges: int | None = None) -> DataFrame:
     """One-based position in ascending order of ``value``, equal values in order of ``tie``; rows without a value are left out.
 
-    Values that are cut points, as frequent ones are, have ranges of their own, which are cut again by ``tie``.
+    ``size`` names a column for the rows of the group. A frequent value is cut into ranges by ``tie``.
     """
     by = list(by)
-    rows = _with_cuts(df.where(F.col(value).isNotNull()).withColumns({"_o": F.col(value).cast("double"), "_t": F.col(tie).cast("double")}), _ranges(df), _cuts="_o", _tie_cuts="_t")
-    at_cut = F.array_contains("_cuts", F.col("_o"))
-    placed = rows.withColumns({
-        "_range": F.expr("2 * size(filter(_cuts, c -> c < _o))") + at_cut.cast("int"),
-        "_part": F.when(at_cut, F.expr("size(filter(_tie_cuts, c -> c < _t))")).otherwise(F.lit(0)),
-        "_one": F.lit(1),
-    }).drop("_cuts", "_tie_cuts")
-    starts = _starts(placed, by, ["_range", "_part"], "_one")
-    inside = Window.partitionBy(*by, "_range", "_part").orderBy("_o", value, tie)
-    found = placed.withColumn("_at", F.row_number().over(inside)).join(starts, _same(by, "_s_", ("_range", "_s_range"), ("_part", "_s_part")))
-    found = found.withColumn(out, F.col("_start") + F.col("_at"))
-    if size:
-        found = found.withColumn(size, F.col("_n"))
-    # a size column may itself be called _n
-    helpers = ["_o", "_t", "_range", "_part", "_one", "_at", "_start", "_s_range", "_s_part", *[f"_s_{b}" for b in by], *([] if size == "_n" else ["_n"])]
-    return found.drop(*helpers)
+    order = [*[F.col(f"`{b}`") for b in by], F.col(f"`{value}`"), F.col(f"`{tie}`")]
+    ranged = _ranged(df.where(F.col(f"`{value}`").isNotNull()), order, ranges)
+    starts = _starts(ranged, by, F.lit(1))
+    inside = Window.partitionBy(*by, "__range").orderBy(value, tie)
+    placed = ranged.withColumn("__inside", F.row_number().over(inside))
+    found = placed.join(starts, _all_same([*[(b, f"__s_{b}") for b in by], ("__range", "__s_range")]))
+    added = [(F.col("__start") + F.col("__inside")).alias(out)] + ([F.col("__n").alias(size)] if size else [])
+    return found.select(*[F.col(f"`{c}`") for c in df.columns if c not in (out, size)], *added)
+
+
+def order_statistics(df: DataFrame, shares: dict[str, tuple[str, float]], by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+    """Exact percentiles ``{out: (column, share)}`` of the non-NULL values, interpolated linearly; a row per group of ``by``.
+
+    All columns and groups are counted in one pass, and each percentile is read from the one or two values whose places surround it:
+    no list of values is gathered anywhere. A column that is NULL throughout a group has a NULL there.
+    """
+    by, columns = list(by), list(dict.fromkeys(c for c, _ in shares.values()))
+    table = _value_table(df, columns, by, False, ranges)
+    sums = []
+    for name, (column, share) in shares.items():
+        place = F.lit(share) * (F.col("__n") - 1)
+        mine, first, last = F.col("__which") == columns.index(column), F.col("__before"), F.col("__before") + F.col("__ties") - 1
+        weight = lambda at: F.when((first <= at) & (at <= last), F.lit(1.0)).otherwise(F.lit(0.0))
+        low, high = F.floor(place), F.ceil(place)
+        part = F.when(low == high, weight(low)).otherwise((high - place) * weight(low) + (place - low) * weight(high))
+        sums.append(F.sum(F.when(mine & (part > 0), part * F.col("__o"))).alias(name))
+    found = table.groupBy(*[f"__b{i}" for i in range(len(by))]).agg(*sums)
+    return found.withColumnsRenamed({f"__b{i}": b for i, b in enumerate(by)})

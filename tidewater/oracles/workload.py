@@ -146,6 +146,8 @@ def sqls() -> dict[str, str]:
     gm = "CASE WHEN tpch_geo_mean_ms IS NULL THEN NULL ELSE 1.0::DOUBLE / greatest(tpch_geo_mean_ms, 1e-9) END"
     real = f"sc AS (SELECT *, {gm} AS gv FROM w_tasks), sr AS (SELECT *, CASE WHEN gv IS NOT NULL AND tpch_cache_hit_ratio IS NOT NULL THEN 0.65::DOUBLE * {_pct('gv', grp)} + 0.35::DOUBLE * {_pct('tpch_cache_hit_ratio', grp)} END AS score FROM sc)"
     s["rk_02_composite_score"] = check(f"WITH {real} SELECT task_id, tier, combination, score FROM sr")
+    s["ml_06_pair_counts"] = check(f"""WITH {real}, g AS (SELECT tier, combination, count(*) AS n FROM sr WHERE score IS NOT NULL GROUP BY 1, 2)
+        SELECT tier, combination, CAST(o AS INTEGER) AS "offset", n AS pairs, n AS rows_a, n AS rows_b FROM g, (VALUES (1), (2), (3), (5), (8)) v(o) WHERE o % n <> 0""")
     s["rk_03_position_norm"] = check("SELECT task_id AS candidate_idx, (row_number() OVER (ORDER BY pred_spill_tpcds, task_id) - 1) / greatest(count(*) OVER () - 1, 1) AS norm FROM w_tasks")
     pos = lambda v: f"(row_number() OVER (PARTITION BY {grp} ORDER BY {v}, task_id) - 1) / greatest(count(*) OVER (PARTITION BY {grp}) - 1, 1)"
     s["rk_04_recommend"] = check(f"""WITH x AS (SELECT *, round_even(0.65::DOUBLE * ({pos('1.0::DOUBLE / greatest(pred_geo_tpch, 1e-9)')}) + 0.35::DOUBLE * ({pos('pred_cache_tpch')}), 4) AS sc FROM w_tasks)

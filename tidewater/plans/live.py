@@ -12,6 +12,7 @@ from tidewater.sources.views import pick
 from tidewater.streaming import live
 
 SMALL = {"maxIter": 5, "maxDepth": 4}
+CURVE = {"maxIter": 3, "maxDepth": 3, "parallelism": 8}
 INPUTS = [f"cfg_{p}" for p in SET_PARAMS] + list(features.HARDWARE)
 
 
@@ -80,23 +81,52 @@ def ml_03_search(t):
     return out.select("target", "base_rmse", "best_rmse", "gain_pct")
 
 
-def ml_04_stack(t):
+def _stacked(t):
     rows = _training(t)
     oofs = {n: models.out_of_fold(rows, n, INPUTS, **SMALL) for n in ranking.TARGETS}
     score = ranking.composite_score(rows).where("score is not null").select("task_id", "score")
     return models.stack(oofs, score, "score")
 
 
+def ml_04_stack(t):
+    return _stacked(t)
+
+
+def ml_04_stack_metrics(t):
+    return models.fold_metrics(_stacked(t), "score", "stacked")
+
+
 def ml_05_importance(t):
     return models.importance(_training(t), INPUTS, **SMALL)
 
 
+def ml_05_stage_importance(t):
+    """The shares sum to 100, however they fall; which stages have one is checked."""
+    shares = models.stage_importance(models.importance(_training(t), INPUTS, **SMALL))
+    return shares.agg(F.count("*").alias("stages"), (F.abs(F.sum("share_pct") - 100) < 0.05).alias("whole"), F.count_if(F.col("share_pct") < 0).alias("negative"))
+
+
+def _scored(t):
+    return ranking.composite_score(_training(t)).where("score is not null")
+
+
 def ml_06_ranker(t):
-    return models.ranker(ranking.composite_score(_training(t)), "score", INPUTS, **SMALL)
+    return models.ranker(_scored(t), "score", INPUTS)
+
+
+def ml_06_pair_counts(t):
+    pairs = models.bounded_pairs(_scored(t), ["score"], ranking.GROUP)
+    return pairs.groupBy(*ranking.GROUP, "offset").agg(F.count("*").alias("pairs"), F.countDistinct("a.task_id").alias("rows_a"), F.countDistinct("b.task_id").alias("rows_b"))
 
 
 def ml_07_learning_curve(t):
-    return models.learning_curve(_training(t), INPUTS, (50, 400, None), 2, maxIter=3)
+    return models.learning_curve(_training(t), INPUTS, **CURVE)
+
+
+def ml_07_draws(t):
+    """What of the curve does not hang on the trees: its sizes, how often each was drawn, and that all metrics are there."""
+    curve = models.learning_curve(_training(t), INPUTS, **CURVE)
+    return curve.select("train_size", "draws", (F.col("rmse_mean") > 0).alias("has_rmse"))
 
 
 def ml_08_predict(t):
@@ -116,6 +146,8 @@ def check_sql() -> dict[str, str]:
         "st_02_running_outcomes": "SELECT l_orderkey AS task_id, CASE WHEN l_linenumber <= 4 THEN 'tpc_h' ELSE 'tpc_ds' END AS suite, count(*) FILTER (WHERE l_discount < 0.09) AS n_success, count(*) FILTER (WHERE l_discount >= 0.09) AS n_failed FROM lineitem GROUP BY 1, 2",
         "st_04_overdue": f"""WITH g AS (SELECT l_orderkey AS task_id, {tier} AS tier, round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * 100)::DOUBLE / 1000, 3) AS spent_s FROM lineitem GROUP BY 1, 2)
             SELECT *, spent_s > CASE tier WHEN 'low' THEN 10800 WHEN 'medium' THEN 14400 ELSE 28800 END AS overdue FROM g""",
+        "ml_05_stage_importance": "SELECT CAST(4 AS BIGINT) AS stages, true AS whole, CAST(0 AS BIGINT) AS negative",
+        "ml_07_draws": "SELECT CAST(s AS INTEGER) AS train_size, CAST(CASE WHEN s < 0 THEN 1 ELSE 10 END AS BIGINT) AS draws, true AS has_rmse FROM (VALUES (15), (25), (50), (100), (200), (400), (-1)) v(s)",
         "st_05_recent_load": """WITH x AS (SELECT CAST(epoch(time_bucket(INTERVAL '5 minutes', ts)) AS BIGINT) - o AS w, value FROM events CROSS JOIN (VALUES (0), (300)) v(o))
             SELECT w AS window_start_s, round_even(avg(value / 3.7123), 2) AS load, count(*) AS n FROM x GROUP BY 1""",
     }
