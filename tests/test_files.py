@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from tidewater import schemas
 from tidewater.operators import configspace
 from tidewater.sources import files, quality
@@ -63,10 +65,49 @@ def test_quality(spark):
 def test_streams_over_a_file_a_folder_and_nothing(spark, tmp_path):
     from tidewater.streaming import live
 
-    rows = spark.range(100).selectExpr("id % 7 as task_id", "'tpc_h' as suite", "id % 3 = 0 as success")
+    rows = spark.range(100).selectExpr("id % 7 as task_id", "'tpc_h' as suite", "id % 3 = 0 as success", "timestamp_seconds(id % 7) as started_at")
     rows.repartition(4).write.parquet(str(tmp_path / "log.parquet"))
     rows.limit(0).write.parquet(str(tmp_path / "none.parquet"))
     found = live.run_to_end(live.running_outcomes(live.file_stream(spark, str(tmp_path), "log")), ["task_id", "suite"])
     assert sum(r.n_success + r.n_failed for r in found.collect()) == 100
     none = live.run_to_end(live.running_outcomes(live.file_stream(spark, str(tmp_path), "none")), ["task_id", "suite"])
     assert none.count() == 0
+
+
+def _states(query):
+    return [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_state_ends_and_deadlines_raise_alarms(spark, tmp_path):
+    from tidewater.streaming import live
+
+    hour, schema = 3600, "task_id long, suite string, tier string, success boolean, exec_ms double, finished boolean, started_s long, at_s long"
+    batches = [
+        [(1, "low", False, 0, 0), (2, "low", False, 0, 60), (3, "high", False, 0, 0)],
+        [(2, "low", True, 0, hour), (1, "low", False, 0, 2 * hour)],  # 2 finishes in time
+        [(4, "low", False, 4 * hour, 4 * hour), (1, "low", True, 0, 4 * hour)],  # 1 ends after its three hours; the watermark passes them
+        [(5, "low", False, 40 * hour, 40 * hour)],
+        [(8, "low", True, 41 * hour, 41 * hour)],  # rows are held against the watermark of one batch before
+        [(6, "low", False, 0, 60)],  # later than the watermark: dropped
+        [(7, "low", True, 80 * hour, 80 * hour)],
+    ]
+    folder = tmp_path / "log.parquet"
+    for n, batch in enumerate(batches):
+        rows = [(i, "tpc_h", tier, True, 500.0, done, start, at) for i, tier, done, start, at in batch]
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"part{n}"))
+        folder.mkdir(exist_ok=True)
+        next((tmp_path / f"part{n}").glob("*.parquet")).rename(folder / f"{n}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    log = stream.withColumns({"started_at": F.timestamp_seconds(F.col("started_s") + 1_700_000_000), "at": F.timestamp_seconds(F.col("at_s") + 1_700_000_000)})
+
+    def run(out, mode, name):
+        query = out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return [tuple(r) for r in spark.table(name).collect()], _states(query)
+
+    alarms, states = run(live.overdue(log).selectExpr("task_id", "tier", "unix_seconds(deadline_at) - 1700000000", "n_runs"), "append", "alarms")
+    assert sorted(alarms) == [(1, "low", 3 * hour, 3), (3, "high", 8 * hour, 1), (4, "low", 7 * hour, 1), (5, "low", 43 * hour, 1)]
+    assert max(states) > 0 and states[-1] == 0
+    counts, states = run(live.running_outcomes(log), "update", "counts")
+    assert {(r[0], r[1]): r[2] for r in counts if r[0] in (1, 2)} == {(1, "tpc_h"): 3, (2, "tpc_h"): 2} and not [r for r in counts if r[0] == 6]
+    assert max(states) >= 3 and states[-1] <= 1

@@ -30,6 +30,10 @@ def _live_log(t):
     return lines.selectExpr(
         "l_orderkey as task_id", "case when l_linenumber <= 4 then 'tpc_h' else 'tpc_ds' end as suite", "l_discount < 0.09 as success",
         "cast(l_extendedprice as decimal(12,2)) * 100 as exec_ms", f"{pick(TIERS, 'l_orderkey')} as tier",
+        # starts spread over a day, runs a few hours apart, the fourth of a task is its last
+        "timestamp_micros(1700000000000000 + l_orderkey % 1440 * 60000000) as started_at",
+        "timestamp_micros(1700000000000000 + (l_orderkey % 1440 + (l_linenumber - 1) * (40 + l_orderkey % 53)) * 60000000) as at",
+        "l_linenumber = 4 as finished",
     )
 
 
@@ -48,7 +52,8 @@ def st_03_stale_claims(t):
 
 
 def st_04_overdue(t):
-    return live.run_to_end(live.overdue(_live_log(t)), ["task_id", "tier"])
+    out = live.run_to_end(live.overdue(_live_log(t)), ["task_id"], "append")
+    return out.select("task_id", "tier", F.unix_seconds("started_at").alias("started_s"), F.unix_seconds("deadline_at").alias("deadline_s"), "spent_s", "n_runs")
 
 
 def st_05_recent_load(t):
@@ -144,8 +149,10 @@ def check_sql() -> dict[str, str]:
     return {
         "st_01_hardware_windows": f"SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS window_start_s, user_id AS task_id, {stats}, count(*) AS n_samples FROM events GROUP BY 1, 2",
         "st_02_running_outcomes": "SELECT l_orderkey AS task_id, CASE WHEN l_linenumber <= 4 THEN 'tpc_h' ELSE 'tpc_ds' END AS suite, count(*) FILTER (WHERE l_discount < 0.09) AS n_success, count(*) FILTER (WHERE l_discount >= 0.09) AS n_failed FROM lineitem GROUP BY 1, 2",
-        "st_04_overdue": f"""WITH g AS (SELECT l_orderkey AS task_id, {tier} AS tier, round(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * 100)::DOUBLE / 1000, 3) AS spent_s FROM lineitem GROUP BY 1, 2)
-            SELECT *, spent_s > CASE tier WHEN 'low' THEN 10800 WHEN 'medium' THEN 14400 ELSE 28800 END AS overdue FROM g""",
+        # all rows come in one batch; those timers fire that lie before the last event less the lateness
+        "st_04_overdue": f"""WITH r AS (SELECT l_orderkey AS task_id, {tier} AS tier, 1700000000 + (l_orderkey % 1440 + (l_linenumber - 1) * (40 + l_orderkey % 53)) * 60 AS s, CAST(l_extendedprice AS DECIMAL(12,2)) * 100 AS ms, l_linenumber = 4 AS finished FROM lineitem),
+            g AS (SELECT task_id, tier, min(s) AS started_s, min(s) + CASE tier WHEN 'low' THEN 10800 WHEN 'medium' THEN 14400 ELSE 28800 END AS deadline_s, min(s) FILTER (WHERE finished) AS ended, round(sum(ms)::DOUBLE / 1000, 3) AS spent_s, count(*) AS n_runs FROM r GROUP BY 1, 2)
+            SELECT task_id, tier, CAST(started_s AS BIGINT) AS started_s, CAST(deadline_s AS BIGINT) AS deadline_s, spent_s, n_runs FROM g WHERE (ended IS NULL OR ended > deadline_s) AND deadline_s < (SELECT max(s) - 600 FROM r)""",
         "ml_05_stage_importance": "SELECT CAST(4 AS BIGINT) AS stages, true AS whole, CAST(0 AS BIGINT) AS negative",
         "ml_07_draws": "SELECT CAST(s AS INTEGER) AS train_size, CAST(CASE WHEN s < 0 THEN 1 ELSE 10 END AS BIGINT) AS draws, true AS has_rmse FROM (VALUES (15), (25), (50), (100), (200), (400), (-1)) v(s)",
         "st_05_recent_load": """WITH x AS (SELECT CAST(epoch(time_bucket(INTERVAL '5 minutes', ts)) AS BIGINT) - o AS w, value FROM events CROSS JOIN (VALUES (0), (300)) v(o))

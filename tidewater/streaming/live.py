@@ -38,18 +38,55 @@ def hardware_windows(samples: DataFrame, metrics: list[str], width: str = "1 hou
     return out.select(F.unix_seconds("window.start").alias("window_start_s"), "task_id", *[c for c in out.columns if c not in ("window", "task_id")])
 
 
-def running_outcomes(log: DataFrame) -> DataFrame:
-    """Successes and failures so far per task and suite."""
-    return log.groupBy("task_id", "suite").agg(F.count_if("success").alias("n_success"), F.count_if(~F.col("success")).alias("n_failed"))
-
-
-def overdue(log: DataFrame) -> DataFrame:
-    """Tasks whose measured time passes the deadline of their tier."""
-    limit = F.lit(None).cast("double")
-    for tier, hours in DEADLINE_HOURS.items():
-        limit = F.when(F.col("tier") == tier, F.lit(hours * 3600.0)).otherwise(limit)
-    out = log.groupBy("task_id", "tier").agg(F.round(F.sum("exec_ms") / 1000, 3).alias("spent_s"))
-    return out.withColumn("overdue", F.col("spent_s") > limit)
+def running_outcomes(log: DataFrame, width: str = "1 hour", lateness: str = "12 hours") -> DataFrame:
+    """Successes and failures so far per task and suite.
+
+    ``started_at`` is the start of a row's task, the same for all its rows, so a task lies in one window of starts. Once starts are
+    ``lateness`` past a window, which is longer than any task may run, its counts are final and leave the state.
+    """
+    tasks = log.withWatermark("started_at", lateness).groupBy("task_id", "suite", F.window("started_at", width))
+    return tasks.agg(F.count_if("success").alias("n_success"), F.count_if(~F.col("success")).alias("n_failed")).drop("window")
+
+
+ALARM_SCHEMA = "task_id bigint, tier string, started_at timestamp, deadline_at timestamp, spent_s double, n_runs bigint"
+_RUNNING_SCHEMA = "tier string, started_us bigint, deadline_us bigint, spent_ms double, n_runs bigint"
+
+
+def _alarm(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        tier, started, deadline, spent, runs = state.get
+        state.remove()
+        times = {"started_at": [pd.Timestamp(started, unit="us")], "deadline_at": [pd.Timestamp(deadline, unit="us")]}
+        yield pd.DataFrame({"task_id": [key[0]], "tier": [tier], **times, "spent_s": [round(spent / 1000, 3)], "n_runs": [runs]})
+        return
+    tier, started, deadline, spent, runs = state.get if state.exists else (None, None, None, 0.0, 0)
+    ended = None
+    for batch in batches:
+        tier = tier or batch["tier"].iloc[0]
+        first = int(batch["at_us"].min())
+        started = first if started is None else min(started, first)
+        spent, runs = spent + float(batch["exec_ms"].sum()), runs + len(batch)
+        done = batch.loc[batch["finished"], "at_us"]
+        if len(done):
+            ended = int(done.min()) if ended is None else min(ended, int(done.min()))
+    if started is None:
+        return
+    deadline = started + int(DEADLINE_HOURS[tier] * 3_600_000_000)
+    if ended is not None and ended <= deadline:
+        state.remove()
+        return
+    state.update((tier, started, deadline, spent, runs))
+    state.setTimeoutTimestamp(max(deadline // 1000, state.getCurrentWatermarkMs() + 1))
+
+
+def overdue(log: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """An alarm for each task that has not finished when its tier's deadline passes, counted from its first row.
+
+    A timer on event time raises it, whether or not the task reports again. The state of a task ends with its alarm or with the row
+    that finishes it in time; rows that come later than the watermark are dropped.
+    """
+    rows = log.withWatermark("at", lateness).select("task_id", "tier", "at", F.unix_micros("at").alias("at_us"), F.col("exec_ms").cast("double").alias("exec_ms"), "finished")
+    return rows.groupBy("task_id").applyInPandasWithState(_alarm, ALARM_SCHEMA, _RUNNING_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recent_load(samples: DataFrame, metric: str, width: str = "10 seconds", step: str = "2 seconds", lateness: str = "1 minute") -> DataFrame:
