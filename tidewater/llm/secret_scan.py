@@ -1,10 +1,10 @@
 """Secrets in texts and in what is encoded inside them.
 
-Each layer, the text itself first, is scanned and decoded in every way that applies: URL and Unicode escapes over the whole layer,
-base64 runs (single lines, and blocks wrapped over several), and compressed data in these or behind %XX and \\xXX. Layers of unescaped
-text know for every character the part of the original it stands for. All that comes out of a run stands for the run, so of its
-layers only the kinds of findings count: they are worked out once for each payload, without taking up a text twice (data that decode
-to themselves end), and reported wherever the payload stands.
+A worklist holds layers, the text itself first. Each is scanned and decoded in every way that applies: URL and Unicode escapes over
+the whole layer, base64 runs (single lines, and blocks wrapped over several), and compressed data in these or behind %XX and \\xXX.
+Every layer can tell which part of the original a part of it stands for: escapes and base64 character by character, compressed data as
+a whole. A layer that stands for the same part with the same text as an earlier one is not taken up again, so data that decode to
+themselves end. Escapes nested beyond ``LEVELS`` are decoded to the end in one pass with a stack, so each text costs time in proportion.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import html
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,16 +49,27 @@ SLASHED = dict(zip("abtnvfr0'\"\\", b"\a\b\t\n\v\f\r\0'\"\\"))
 MOST_UNFOLDED = 64 << 20
 
 
+#: Levels of escapes inside escapes that are layers of their own; what is nested deeper is one last layer.
+LEVELS = 8
+
+Place = Callable[[int, int], tuple[int, int]]
+
+
 @dataclass
 class Layer:
-    """A text; for each character the part [start, end) of the original it stands for (None: the text is the original)."""
+    """A text, the part of the original that each of its parts stands for (None: the text is the original), and its level of escapes."""
 
     text: str
-    start: np.ndarray | None = None
-    end: np.ndarray | None = None
+    place: Place | None = None
+    level: int = 0
 
     def origin(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.start is None else (int(self.start[a:b].min()), int(self.end[a:b].max()))
+        return self.place(a, b) if self.place else (a, b)
+
+    def inside(self, text: str, place: Place, level: int = 0) -> Layer:
+        """A layer whose parts stand for parts of this one."""
+        outer = self.place
+        return Layer(text, place if outer is None else lambda a, b: outer(*place(a, b)), level)
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -98,9 +109,44 @@ def unescape(layer: Layer) -> Layer | None:
         return None
     rest = np.arange(at, len(layer.text))
     start, end = np.concatenate([*starts, rest]).astype(np.int64), np.concatenate([*ends, rest + 1]).astype(np.int64)
-    if layer.start is not None:
-        start, end = layer.start[start], layer.end[end - 1]
-    return Layer("".join([*pieces, layer.text[at:]]), start, end)
+    return layer.inside("".join([*pieces, layer.text[at:]]), _by_arrays(start, end), layer.level + 1)
+
+
+def _by_arrays(start: np.ndarray, end: np.ndarray) -> Place:
+    return lambda a, b: (int(start[a:b].min()), int(end[a:b].max())) if a < b else (0, 0)
+
+
+#: An escape that ends where the text does, for the stack.
+LAST_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|amp|apos|lt|gt|equals|colon);)\Z")
+LONGEST_ESCAPE = 10
+_CLOSING = frozenset("0123456789abcdefABCDEF};")
+
+
+def unescape_wholly(layer: Layer) -> Layer | None:
+    """The layer with its escapes decoded until none is left: what a decoded character completes is decoded in turn.
+
+    One pass: each character is put on a stack once, and an escape takes at least three off for the one it puts on. Bytes beyond
+    ASCII are taken one by one, which no pattern minds.
+    """
+    chars, starts, ends = [], [], []
+    marks = []  # where on the stack an escape may begin
+    for at, char in enumerate(layer.text):
+        chars.append(char), starts.append(at), ends.append(at + 1)
+        if char in "%\\&":
+            marks.append(len(chars) - 1)
+        while marks and len(chars) - marks[-1] <= LONGEST_ESCAPE and chars[-1] in _CLOSING and (m := LAST_ESCAPE.search("".join(chars[-LONGEST_ESCAPE:]))):
+            size = m.end() - m.start()
+            plain = _unescaped(m[0])[:1]
+            begin, end = starts[-size], ends[-1]
+            del chars[-size:], starts[-size:], ends[-size:]
+            while marks and marks[-1] >= len(chars):
+                marks.pop()
+            chars.append(plain or "\ufffd"), starts.append(begin), ends.append(end)
+            if plain in ("%", "\\", "&"):
+                marks.append(len(chars) - 1)
+    if len(chars) == len(layer.text):
+        return None
+    return layer.inside("".join(chars), _by_arrays(np.array(starts, np.int64), np.array(ends, np.int64)), layer.level + 1)
 
 
 def _decompressor(first: bytes):
@@ -112,30 +158,38 @@ BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError)
 
 
 def _unfolded(data: bytes) -> bytes | None:
-    """Decompressed data, or None if they are no compressed data or unfold beyond the bound."""
-    try:
-        out = _decompressor(data[:1]).decompress(data, MOST_UNFOLDED + 1)
-    except BROKEN:
-        return None
-    return out if len(out) <= MOST_UNFOLDED else None
+    """Decompressed data, all members one after the other, or None if they are no compressed data or unfold beyond the bound."""
+    out, size = [], 0
+    while data.startswith(MAGIC):
+        unit = _decompressor(data[:1])
+        try:
+            out.append(unit.decompress(data, MOST_UNFOLDED + 1 - size))
+        except BROKEN:
+            break  # whole members before it count
+        size += len(out[-1])
+        if size > MOST_UNFOLDED:
+            return None
+        data = unit.unused_data if unit.eof else b""
+    return b"".join(out) if out else None
 
 
-def _readable(data: bytes) -> str:
-    """Any data as text: what is sought is ASCII, so bytes of no encoding do no harm beside it."""
+def _readable(data: bytes) -> tuple[str, Callable[[str], int]]:
+    """Any data as text (what is sought is ASCII, so bytes of no encoding do no harm beside it), and the bytes that a beginning of it takes."""
     if data.startswith((b"\xff\xfe", b"\xfe\xff")):
-        return data.decode("utf-16", "replace")
-    return data.decode("utf-8", "replace")
+        return data.decode("utf-16", "replace"), lambda head: 2 + len(head.encode("utf-16-le", "surrogatepass"))
+    return data.decode("utf-8", "surrogateescape"), lambda head: len(head) if head.isascii() else len(head.encode("utf-8", "surrogateescape"))
 
 
-def _payload(data: bytes) -> str:
-    """The text in decoded data, decompressed as long as they are compressed."""
-    seen = set()
+def _payload(data: bytes) -> tuple[str, Callable[[str], int] | None]:
+    """The text in decoded data, decompressed as long as they are compressed, and its :func:`_readable` measure if they are not."""
+    seen, plain = set(), True
     while data.startswith(MAGIC) and (key := hashlib.sha256(data).digest()) not in seen:
         seen.add(key)
         if not (inner := _unfolded(data)):
             break
-        data = inner
-    return _readable(data)
+        data, plain = inner, False
+    text, measure = _readable(data)
+    return text, measure if plain else None
 
 
 def _byte(shown: str) -> int:
@@ -166,14 +220,28 @@ def _escaped_payload(text: str, at: int, byte: re.Pattern) -> tuple[int, str] |
     if not size:
         return None
     end = ends[len(ends) - len(unit.unused_data) - 1] if unit.eof else at
-    return end, _payload(b"".join(out))
+    return end, _payload(b"".join(out))[0]
+
+
+def _in_base64(m: re.Match, inner: str, measure: Callable[[str], int]) -> Place:
+    """The characters of a base64 run that hold the bytes of a part of its text; white space between lines counts along."""
+    held = [n for n, c in enumerate(m[0]) if not c.isspace()] if m.re is WRAPPED else range(len(m[0]))
 
+    def place(a: int, b: int) -> tuple[int, int]:
+        first, last = measure(inner[:a]) * 4 // 3, -(-measure(inner[:b]) * 4 // 3)
+        last = min(max(last, first + 1), len(held))
+        return m.start() + held[min(first, last - 1)], m.start() + held[last - 1] + 1
 
-def unwrap(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, inner text) of each base64 run, block of base64 lines and escaped run of compressed data.
+    return place
 
-    Data are decompressed (repeatedly) if they are compressed. A line of a block is a run too, for it may stand on its own.
+
+def unwrap(layer: Layer) -> Iterator[Layer]:
+    """A layer for each base64 run, block of base64 lines and escaped run of compressed data.
+
+    Data are decompressed (repeatedly) if they are compressed; their text stands for the whole run. A line of a block is a run too, for
+    it may stand on its own.
     """
+    text = layer.text
     runs = list(BASE64.finditer(text))
     if "\n" in text:
         runs += WRAPPED.finditer(text)
@@ -181,46 +249,36 @@ def unwrap(text: str) -> Iterator[tuple[int, int, str]]:
         body = "".join(m[0].split()).rstrip("=")
         if len(body) % 4 == 1:
             body = body[:-1]  # the last character has too few bits for a byte
-        inner = _payload(base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4)))
+        inner, measure = _payload(base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4)))
         if inner:
-            yield m.start(), m.end(), inner
+            yield layer.inside(inner, _in_base64(m, inner, measure)) if measure else _whole(layer, m.start(), m.end(), inner)
     for mark, magic, byte in (("%", PERCENT_MAGIC, PERCENT_BYTE), ("\\x", SLASH_MAGIC, SLASH_BYTE)):
         if mark not in text:
             continue
         for m in magic.finditer(text):
             if found := _escaped_payload(text, m.start(), byte):
-                yield m.start(), *found
+                yield _whole(layer, m.start(), *found)
 
 
-def _kinds_inside(text: str) -> set[int]:
-    """The kinds of findings in a payload and in all that is encoded inside it."""
-    kinds, seen, work = set(), {text}, [text]
-    while work and len(kinds) < len(KINDS):
-        layer = work.pop()
-        kinds.update(kind for _, kind, _ in scan(layer))
-        plain = unescape(Layer(layer))
-        for inner in [*([plain.text] if plain else []), *(inner for _, _, inner in unwrap(layer))]:
-            if inner not in seen:
-                seen.add(inner)
-                work.append(inner)
-    return kinds
+def _whole(layer: Layer, a: int, b: int, inner: str) -> Layer:
+    part = layer.origin(a, b)
+    return Layer(inner, lambda *_: part)
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base findings, all findings) as sorted (start, kind, end) in code points of ``text``."""
     base = sorted(scan(text))
-    found, inside, layer = set(base), {}, Layer(text)
-    while layer is not None:  # each has fewer characters than the one before
-        if layer.start is not None:
-            for a, kind, b in scan(layer.text):
-                start, end = layer.origin(a, b)
-                found.add((start, kind, end))
-        for a, b, inner in unwrap(layer.text):
-            if inner not in inside:
-                inside[inner] = _kinds_inside(inner)
-            start, end = layer.origin(a, b)
-            found.update((start, kind, end) for kind in inside[inner])
-        layer = unescape(layer)
+    found, seen, work = set(base), set(), [Layer(text)]
+    while work:
+        layer = work.pop()
+        if layer.place:
+            found.update((start, kind, end) for a, kind, b in scan(layer.text) for start, end in [layer.origin(a, b)])
+        plain = (unescape if layer.level < LEVELS else unescape_wholly)(layer) if ESCAPE.search(layer.text) else None
+        for inner in [*([plain] if plain and plain.text else []), *unwrap(layer)]:
+            key = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), inner.origin(0, len(inner.text)))
+            if key not in seen:
+                seen.add(key)
+                work.append(inner)
     return base, sorted(found)
 
 
