@@ -30,3 +30,11 @@ def test_short_lines_recur_too_in_the_pipeline(frame):
     docs = frame((1, "Les.\nown words of one\n\nAll rights reserved."), (2, "Les.\nown words of two\n\nAll  rights reserved."), (3, "Page 3\n\n}"), (4, "Page 4\nmore"), (5, "Les."))
     got = {r.doc_id: r.text for r in lines.drop_repeated(docs).collect()}
     assert got == {1: "Les.\nown words of one\n\nAll rights reserved.", 2: "own words of two\n", 3: "Page 3\n\n}", 4: "more"}
+
+
+def test_clashing_columns(frame):
+    docs = frame((1, LONG), (2, f"{LONG}\nown"), extra="dropped_lines")
+    kept = lines.drop_repeated(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id: (r.text, r.dropped_lines) for r in kept.collect()} == {r.doc_id: ({1: LONG, 2: "own"}[r.doc_id], r.dropped_lines) for r in docs.collect()}
+    assert {r.doc_id: list(r.dropped_lines) for r in lines.dedup_lines(docs).collect()} == {1: [], 2: [0]}

@@ -41,3 +41,10 @@ def test_nulls_empties_and_repeated_rows(frame):
     assert got == [(0, 2, 2), (1, 3, 6), (1, 3, 6), (2, 0, 6), (3, 0, 2)]
     assert sum(len(r.text.split()) for r in mixing.mixed_documents(docs).collect()) == sum(r.taken for r in mixing.mix(docs).collect())
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_columns_named_as_the_plan_names_its_own(frame):
+    docs = frame((1, "a b c"), (2, "d e"), extra="before").withColumn("source_size", F.lit(7)).withColumn("size", F.lit(1)).withColumn("position", F.lit(0.5))
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    assert {(r.source_size, r.size, r.position) for r in got.collect()} == {(7, 1, 0.5)}

@@ -89,22 +89,28 @@ def _joined(docs: DataFrame, least: int) -> DataFrame:
     return keyed.join(gone, ["__id", "__hash"], "left")
 
 
+def _deduped(docs: DataFrame, least: int) -> DataFrame:
+    """``docs`` without recurring lines, and their numbers as ``__dropped``."""
+    out = _joined(docs, least).withColumn("__dropped", F.coalesce("__gone", F.array().cast("array<int>")))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__gone")))
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*docs.columns, "__dropped")
+
+
 def dedup_lines(docs: DataFrame, least: int = LEAST_TOKENS) -> DataFrame:
     """``docs`` with its columns and without recurring lines, plus dropped_lines (array of line numbers, empty if none).
 
     A missing text stays missing, an empty one empty; repeated rows are one document and all keep the same lines; lines of fewer than
-    ``least`` tokens stay. ``n_chars``, if there, follows the text.
+    ``least`` tokens stay. ``n_chars``, if there, follows the text. A column of ``docs`` named dropped_lines gives way to the new one.
     """
-    out = _joined(docs, least).withColumn("dropped_lines", F.coalesce("__gone", F.array().cast("array<int>")))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__gone")))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns, "dropped_lines")
+    kept = [c for c in docs.columns if c != "dropped_lines"]
+    return _deduped(docs, least).select(*kept, F.col("__dropped").alias("dropped_lines"))
 
 
 def drop_repeated(docs: DataFrame) -> DataFrame:
-    """As :func:`dedup_lines` over all lines that have a token, without the documents that lost lines and have no word left: all they held stands in an earlier one."""
-    out = dedup_lines(docs, least=1)
-    emptied = (F.size("dropped_lines") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
-    return out.where(~emptied).drop("dropped_lines")
+    """As :func:`dedup_lines` over all lines that have a token, with the columns of ``docs`` alone and without the documents that lost lines and have no word left: all they held stands in an earlier one."""
+    out = _deduped(docs, 1)
+    emptied = (F.size("__dropped") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    return out.where(~emptied).drop("__dropped")

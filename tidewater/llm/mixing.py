@@ -111,10 +111,10 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, slopes: tuple = S
     plain = [f.name for f in docs.schema if not isinstance(f.dataType, T.MapType)]
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__hash": F.xxhash64(*plain)})
     rows = settle(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words_in(F.col("text")).alias("size"), "__id", "__hash"), "mix-sizes")
-    found = plan(rows, weights, slopes, most).select("__id", "__hash", "before", "source_size", F.col("size").alias("__words"), "__goal", "__slope")
+    found = plan(rows, weights, slopes, most).select("__id", "__hash", F.col("before").alias("__before"), F.col("source_size").alias("__source_size"), F.col("size").alias("__words"), "__goal", "__slope")
     # repeated rows: one text meets the plan's row of each
     keyed = keyed.dropDuplicates(["__id", "__hash"])
-    at = F.col("before") + F.col("source_size") * F.col("__epoch")
+    at = F.col("__before") + F.col("__source_size") * F.col("__epoch")
     part = F.least(F.col("__words"), F.col("__goal") - at)
     text = F.when(F.col("__part") < F.col("__words"), _head(F.col("text"), F.col("__part"))).otherwise(F.col("text"))
     out = keyed.join(found, ["__id", "__hash"]).withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
