@@ -32,6 +32,7 @@ def test_documents(spark, tmp_path):
     (deep / "other.json").write_text("{}")
     rows = files.read_documents(spark, str(tmp_path), str(deep)).collect()
     assert [(r.task_id, r.tpc_h.total_ms, r.pg_config) for r in rows] == [(1, 5.0, {"jit": "on"})]
+    assert [(r.path.rsplit("/")[-1], r.text) for r in files.rejected_documents(spark, str(tmp_path)).collect()] == [("task_3.json", "{broken")]
 
 
 def test_space_and_candidates(spark, tmp_path):
@@ -55,6 +56,21 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).count() == 4
 
 
+def test_statistics_reach_the_optimizer(spark, tmp_path):
+    """The sizes that joins are planned by are those of the rows left, once the catalogue knows the columns."""
+    spark.range(50_000).selectExpr("id", "id % 100 as k", "if(id % 10 = 0, null, id) as v").write.parquet(str(tmp_path / "facts"))
+    tables = files.declare(spark, {"facts": str(tmp_path / "facts")}, "stats_test")
+    try:
+        got = {r.column_name: tuple(r)[2:] for r in files.statistics(spark, tables, {"facts": ["id", "k", "v"]}).collect()}
+        assert {c: (r[0], r[1], r[3], r[4]) for c, r in got.items()} == {"id": (50_000, 0, 0, 49_999), "k": (50_000, 0, 0, 99), "v": (50_000, 5_000, 1, 49_999)}
+        assert abs(got["k"][2] - 100) <= 10
+        planned = spark.table(tables[0]).where("k = 7")._jdf.queryExecution().optimizedPlan().stats()
+        assert 300 <= int(planned.rowCount().get()) <= 700
+    finally:
+        files.forget(spark, tables)
+    assert (tmp_path / "facts").exists() and "stats_test" not in [r[0] for r in spark.sql("show databases").collect()]
+
+
 def test_quality(spark):
     df = spark.createDataFrame([(1, "x"), (1, None), (2, "y")], "k long, v string")
     assert [tuple(r) for r in quality.duplicate_keys(df, ["k"]).collect()] == [(1, 2)]

@@ -10,7 +10,7 @@ FOLDER = "/root/testdata/sf0.001"
 # one query of each plan shape; tests/check_oracle.py runs them all
 SAMPLE = ["h_q01", "h_q02", "h_q13", "h_q16", "h_q18", "h_q21", "h_q22", "ds_q02", "ds_q05", "ds_q14", "ds_q23", "ds_q34", "ds_q36", "ds_q38", "ds_q44", "ds_q47", "ds_q51",
           "ds_q67", "ds_q72", "ds_q78", "ds_q95", "ds_q97", "qm_suite_summary", "hw_05_disk_rate", "tq_04_backlog", "fe_02_suite_totals", "rk_02_composite_score", "co_04_tuning_report",
-          "cf_07_constraints", "st_02_running_outcomes"]
+          "cf_07_constraints", "st_02_running_outcomes", "st_03_stale_claims", "src_01_delimited_load", "src_02_suite_load", "src_04_statistics", "src_09_features", "src_09_features_as_csv", "src_12_metric_runs"]
 
 
 @pytest.fixture(scope="module")
@@ -46,6 +46,11 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "l_comment" not in plan and "l_returnflag" not in plan.split("ReadSchema")[1]
 
 
+def test_only_wanted_tiers_are_scanned(spark):
+    scans = _plan(registry.queries()["src_09_features"](spark, FOLDER)).split("PartitionFilters: [")
+    assert any("tier" in s.split("]")[0] and "low" in s.split("]")[0] for s in scans[1:])
+
+
 def test_rank_filter_is_pushed_below_the_shuffle(spark):
     from tidewater.plans import retail_windows
 

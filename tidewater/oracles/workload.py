@@ -183,7 +183,7 @@ def sqls() -> dict[str, str]:
     s["rk_10_relevance"] = check(f"SELECT task_id, least(9, floor({_pct('tpcds_geo_mean_ms')} * 9))::INT AS relevance FROM w_tasks")
     s["rk_11_group_ids"] = check("SELECT task_id, (dense_rank() OVER (ORDER BY tier || '/' || combination) - 1)::INT AS group_id FROM w_tasks")
     s["rk_12_fastest_agreement"] = check(f"WITH {real} {agreement('sr', 'score', 'DESC', 'pred_geo_tpch', 'ASC')}")
-    cols = ["tpch_geo_mean_ms", "tpcds_geo_mean_ms", "tpch_cache_hit_ratio"]
+    cols = ["tpch_geo_mean_ms", "tpcds_geo_mean_ms", "tpch_cache_hit_ratio", "tpcds_queries_with_spill"]
     s["rk_13_target_correlations"] = check(" UNION ALL ".join(f"SELECT '{a}' AS left_target, '{b}' AS right_target, spearman_rho, n FROM ({spearman('w_tasks', a, b)})" for i, a in enumerate(cols) for b in cols[i + 1 :]))
     s["rk_14_best_worst"] = check("SELECT tier, min(tpch_geo_mean_ms) AS best_ms, max(tpch_geo_mean_ms) AS worst_ms, round(max(tpch_geo_mean_ms) / min(tpch_geo_mean_ms), 2) AS ratio FROM w_tasks GROUP BY 1")
     kept = "(SELECT * FROM w_tasks WHERE tpch_geo_mean_ms <= (SELECT quantile_cont(tpch_geo_mean_ms, 0.99) FROM w_tasks))"

@@ -149,6 +149,11 @@ def check_sql() -> dict[str, str]:
     return {
         "st_01_hardware_windows": f"SELECT CAST(epoch(time_bucket(INTERVAL '1 hour', ts)) AS BIGINT) AS window_start_s, user_id AS task_id, {stats}, count(*) AS n_samples FROM events GROUP BY 1, 2",
         "st_02_running_outcomes": "SELECT l_orderkey AS task_id, CASE WHEN l_linenumber <= 4 THEN 'tpc_h' ELSE 'tpc_ds' END AS suite, count(*) FILTER (WHERE l_discount < 0.09) AS n_success, count(*) FILTER (WHERE l_discount >= 0.09) AS n_failed FROM lineitem GROUP BY 1, 2",
+        # the last change of a task decides; all come in one batch, after which those timers fire that lie before the watermark
+        "st_03_stale_claims": f"""WITH c AS (SELECT user_id AS id, {pick(TIERS, 'user_id')} AS tier, event_id, epoch_us(ts) AS us, event_type FROM events),
+            l AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY us DESC, event_id DESC) AS back, max(us) OVER () AS latest FROM c),
+            x AS (SELECT id, tier, us, us + CASE tier WHEN 'low' THEN 3.5 WHEN 'medium' THEN 4.5 ELSE 8.5 END * 3600000000 AS ends, latest FROM l WHERE back = 1 AND event_type = 'signup')
+            SELECT id, tier, us // 1000000 AS claimed_s, CAST(floor(ends / 1000000) AS BIGINT) AS expired_s FROM x WHERE floor(ends / 1000) < latest // 1000 - 600000""",
         # all rows come in one batch; those timers fire that lie before the last event less the lateness
         "st_04_overdue": f"""WITH r AS (SELECT l_orderkey AS task_id, {tier} AS tier, 1700000000 + (l_orderkey % 1440 + (l_linenumber - 1) * (40 + l_orderkey % 53)) * 60 AS s, CAST(l_extendedprice AS DECIMAL(12,2)) * 100 AS ms, l_linenumber = 4 AS finished FROM lineitem),
             g AS (SELECT task_id, tier, min(s) AS started_s, min(s) + CASE tier WHEN 'low' THEN 10800 WHEN 'medium' THEN 14400 ELSE 28800 END AS deadline_s, min(s) FILTER (WHERE finished) AS ended, round(sum(ms)::DOUBLE / 1000, 3) AS spent_s, count(*) AS n_runs FROM r GROUP BY 1, 2)

@@ -320,7 +320,7 @@ def rk_12_fastest_agreement(t):
 
 
 def rk_13_target_correlations(t):
-    return ranking.target_correlations(t.tasks, ["tpch_geo_mean_ms", "tpcds_geo_mean_ms", "tpch_cache_hit_ratio"])
+    return ranking.target_correlations(t.tasks, ["tpch_geo_mean_ms", "tpcds_geo_mean_ms", "tpch_cache_hit_ratio", "tpcds_queries_with_spill"])
 
 
 def rk_14_best_worst(t):

@@ -10,9 +10,10 @@ from tidewater.functions.semantics import plain_numbers
 from tidewater.oracles import retail_sets as retail_sets_sql
 from tidewater.oracles import retail_star as retail_star_sql
 from tidewater.oracles import retail_windows as retail_windows_sql
+from tidewater.oracles import stores as stores_sql
 from tidewater.oracles import tpch as tpch_sql
 from tidewater.oracles import workload as workload_sql
-from tidewater.plans import live, retail_sets, retail_star, retail_windows, tpch, workload
+from tidewater.plans import live, retail_sets, retail_star, retail_windows, stores, tpch, workload
 from tidewater.sources import tpcds_views, tpch_views, workload_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +46,7 @@ def queries() -> dict[str, Query]:
     retail = {**retail_star.QUERIES, **retail_sets.QUERIES, **retail_windows.QUERIES}
     for name in sorted(retail):
         out[name] = _bind(name, retail[name], tpcds_views.tables)
-    for name, plan in {**workload.QUERIES, **live.QUERIES}.items():
+    for name, plan in {**workload.QUERIES, **live.QUERIES, **stores.QUERIES}.items():
         out[name] = _bind(name, plan, workload_views.tables)
     return out
 
@@ -53,7 +54,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(tpch_sql.sqls())
-    for module in (retail_star_sql, retail_sets_sql, retail_windows_sql, workload_sql):
+    for module in (retail_star_sql, retail_sets_sql, retail_windows_sql, workload_sql, stores_sql):
         out.update(module.sqls())
     out.update(live.check_sql())
     return out

@@ -38,23 +38,53 @@ def load_suite(spark: SparkSession, folder: str, schemas: dict, suffix: str, enc
     return out
 
 
-def analyze(spark: SparkSession, table: str) -> None:
-    """Column statistics for the cost-based optimizer."""
-    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+def declare(spark: SparkSession, paths: dict[str, str], database: str) -> list[str]:
+    """Parquet files as tables of a catalogue database, with statistics of all their columns for the cost-based optimizer."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    names = []
+    for name, path in paths.items():
+        table = f"`{database}`.`{name}`"
+        spark.sql(f"CREATE TABLE {table} USING parquet OPTIONS (path '{path}')")
+        spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+        names.append(table)
+    return names
+
+
+def forget(spark: SparkSession, tables: list[str]) -> None:
+    """Take declared tables and their databases out of the catalogue; their files stay."""
+    for database in {t.split(".")[0] for t in tables}:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def statistics(spark: SparkSession, tables: list[str], columns: dict[str, list[str]]) -> DataFrame:
+    """(table_name, column_name, rows, nulls, distinct, low, high) of integer columns, as the catalogue holds them."""
+    out = []
+    for table in tables:
+        name = table.split(".")[1].strip("`")
+        held = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+        rows = int(held["Statistics"].split(",")[-1].split()[0])
+        for column in columns[name]:
+            info = {r.info_name: r.info_value for r in spark.sql(f"DESCRIBE EXTENDED {table} `{column}`").collect()}
+            out.append((name, column, rows, *[int(info[k]) for k in ("num_nulls", "distinct_count", "min", "max")]))
+    return spark.createDataFrame(out, "table_name string, column_name string, rows long, nulls long, distinct long, low long, high long")
+
+
+def _documents(spark: SparkSession, folders: tuple[str, ...]) -> DataFrame:
+    """Every document under the folders once, with its path; what is no document has its text in ``_rejected``."""
+    reader = spark.read.schema(f"{DOCUMENT_SCHEMA}, _rejected string").option("recursiveFileLookup", "true").option("pathGlobFilter", "task_*.json")
+    reader = reader.option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_rejected")
+    raw = reader.json(sorted({os.path.realpath(f) if "://" not in f else f for f in folders})).withColumn("path", F.col("_metadata.file_path"))
+    return raw.dropDuplicates(["path"])
 
 
 def read_documents(spark: SparkSession, *folders: str) -> DataFrame:
-    """Task documents under the folders: unreadable files skipped, running tasks dropped, a path once."""
-    raw = (
-        spark.read.schema(DOCUMENT_SCHEMA)
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "task_*.json")
-        .option("multiLine", "true")
-        .option("mode", "DROPMALFORMED")
-        .json(sorted({os.path.realpath(f) if "://" not in f else f for f in folders}))
-        .withColumn("path", F.col("_metadata.file_path"))
-    )
-    return raw.dropDuplicates(["path"]).where("status is null or status <> 'running'").drop("path")
+    """Task documents under the folders: running tasks dropped, a path once. Unreadable files are in :func:`rejected_documents`."""
+    return _documents(spark, folders).where("_rejected is null and (status is null or status <> 'running')").drop("path", "_rejected")
+
+
+def rejected_documents(spark: SparkSession, *folders: str) -> DataFrame:
+    """(path, task_id, text) of the files that hold no whole task document; the task_id as far as it could be read."""
+    return _documents(spark, folders).where("_rejected is not null").select("path", "task_id", F.col("_rejected").alias("text"))
 
 
 def read_space(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,8 +122,9 @@ def write_features(df: DataFrame, path: str, form: str = "parquet") -> None:
     writer.option("header", "true").csv(path) if form == "csv" else writer.partitionBy("tier").parquet(path)
 
 
-def read_features(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+def read_features(spark: SparkSession, path: str, schema=None, form: str = "parquet") -> DataFrame:
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.option("header", "true").csv(path) if form == "csv" else reader.parquet(path)
 
 
 def append_metrics(df: DataFrame, path: str, run_id: str) -> None:
