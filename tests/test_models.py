@@ -104,3 +104,20 @@ def test_learning_curve_and_importance_see_the_signal(spark):
     found = {r.feature: r for r in models.importance(rows, ["a", "b", "c"], maxIter=4).collect()}
     assert found["a"].rho_loss > 0.5 and abs(found["b"].rho_loss) < 0.2
     assert sum(r.share_pct for r in models.stage_importance(models.importance(rows, ["a", "b"], maxIter=2)).collect()) == pytest.approx(100, abs=0.05)
+
+
+def test_search_climbs_its_rungs(spark):
+    rows = _planted(spark, 120)
+    found = models.search(rows, ["a", "b"], trials=6, rungs=((1 / 200, 1, 3), (1 / 100, 2, 1)), parallelism=4)
+    lines = found.collect()
+    assert [(r.rung, r.trial) for r in lines if r.rung == 0] == [(0, i) for i in range(7)] and len(lines) == 11
+    for rung, kept in ((0, 3), (1, 1)):
+        judged = sorted((r.rmse, r.trial) for r in lines if r.rung == rung and r.trial)
+        assert sorted(r.trial for r in lines if r.rung == rung and r.trial and r.goes_on) == sorted(i for _, i in judged[:kept])
+    assert all(r.rounds == max(1, round(int(r.setting["maxIter"]) / (200, 100)[r.rung])) and r.folds == r.rung + 1 for r in lines)
+    gain = models.search_gain(found).first()
+    last = {r.trial: r.rmse for r in lines if r.rung == 1}
+    assert gain.base_rmse == last[0] and gain.best_rmse == min(last.values()) and gain.gain_pct >= 0
+    again = models.search(rows, ["a", "b"], trials=6, rungs=((1 / 200, 1, 3),), parallelism=2).collect()
+    assert [(r.trial, r.setting) for r in again] == [(r.trial, r.setting) for r in lines if r.rung == 0]
+    assert models.search(rows.limit(0), ["a"], trials=2).count() == 0

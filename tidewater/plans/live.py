@@ -12,6 +12,8 @@ from tidewater.sources.views import pick
 from tidewater.streaming import live
 
 SMALL = {"maxIter": 5, "maxDepth": 4}
+# as models.RUNGS, with a two-hundredth of the rounds
+LADDER = tuple((share / 200, folds, kept) for share, folds, kept in models.RUNGS)
 CURVE = {"maxIter": 3, "maxDepth": 3, "parallelism": 8}
 INPUTS = [f"cfg_{p}" for p in SET_PARAMS] + list(features.HARDWARE)
 
@@ -81,9 +83,26 @@ def ml_02_ablation(t):
     return models.ablation(_training(t), {"S1": s1 + hw, "S1+S2": s1 + s2 + hw, "S1+S2+S3": s1 + s2 + s3 + hw}, **SMALL)
 
 
+def _searched(t):
+    return models.search(_training(t), INPUTS, rungs=LADDER, parallelism=8)
+
+
 def ml_03_search(t):
-    out = models.search(_training(t), INPUTS, trials=2, maxIter=3)
-    return out.select("target", "base_rmse", "best_rmse", "gain_pct")
+    """All 80 drawn settings and the published one, with what each rung found."""
+    return _searched(t)
+
+
+def ml_03_gain(t):
+    return models.search_gain(_searched(t))
+
+
+def ml_03_rungs(t):
+    """What of the search does not hang on the trees: how many settings each rung judged on how many folds, and that the best went on."""
+    found = _searched(t)
+    drawn = F.col("trial") > 0
+    worst_on = F.max(F.when(drawn & F.col("goes_on"), F.col("rmse")))
+    best_off = F.min(F.when(~F.col("goes_on"), F.col("rmse")))
+    return found.groupBy("rung").agg(F.count("*").alias("trials"), F.max("folds").alias("folds"), F.count_if(drawn & F.col("goes_on")).alias("go_on"), F.count_if(F.col("rmse") > 0).alias("judged"), (worst_on <= best_off).alias("best_go_on"))
 
 
 def _stacked(t):
@@ -158,6 +177,7 @@ def check_sql() -> dict[str, str]:
         "st_04_overdue": f"""WITH r AS (SELECT l_orderkey AS task_id, {tier} AS tier, 1700000000 + (l_orderkey % 1440 + (l_linenumber - 1) * (40 + l_orderkey % 53)) * 60 AS s, CAST(l_extendedprice AS DECIMAL(12,2)) * 100 AS ms, l_linenumber = 4 AS finished FROM lineitem),
             g AS (SELECT task_id, tier, min(s) AS started_s, min(s) + CASE tier WHEN 'low' THEN 10800 WHEN 'medium' THEN 14400 ELSE 28800 END AS deadline_s, min(s) FILTER (WHERE finished) AS ended, round(sum(ms)::DOUBLE / 1000, 3) AS spent_s, count(*) AS n_runs FROM r GROUP BY 1, 2)
             SELECT task_id, tier, CAST(started_s AS BIGINT) AS started_s, CAST(deadline_s AS BIGINT) AS deadline_s, spent_s, n_runs FROM g WHERE (ended IS NULL OR ended > deadline_s) AND deadline_s < (SELECT max(s) - 600 FROM r)""",
+        "ml_03_rungs": "SELECT CAST(r AS INTEGER) AS rung, CAST(n AS BIGINT) AS trials, CAST(f AS INTEGER) AS folds, CAST(k AS BIGINT) AS go_on, CAST(n AS BIGINT) AS judged, true AS best_go_on FROM (VALUES (0, 81, 1, 20), (1, 21, 2, 5), (2, 6, 5, 1)) v(r, n, f, k)",
         "ml_05_stage_importance": "SELECT CAST(4 AS BIGINT) AS stages, true AS whole, CAST(0 AS BIGINT) AS negative",
         "ml_07_draws": "SELECT CAST(s AS INTEGER) AS train_size, CAST(CASE WHEN s < 0 THEN 1 ELSE 10 END AS BIGINT) AS draws, true AS has_rmse FROM (VALUES (15), (25), (50), (100), (200), (400), (-1)) v(s)",
         "st_05_recent_load": """WITH x AS (SELECT CAST(epoch(time_bucket(INTERVAL '5 minutes', ts)) AS BIGINT) - o AS w, value FROM events CROSS JOIN (VALUES (0), (300)) v(o))
