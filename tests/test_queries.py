@@ -64,3 +64,9 @@ def test_reference_literals_by_default(spark):
     t.year_shift = 0
     assert t.day("1994-01-01") == "DATE '1994-01-01'"
     assert tpch.q6(t).columns == ["revenue"]
+
+
+def test_offers_are_filtered_before_they_are_made(spark):
+    for name in ("h_q02", "h_q09", "h_q11", "h_q16", "h_q20"):
+        plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert any("Aggregate [l_partkey" in x and "LeftSemi" in y + z for x, y, z in zip(plan, plan[1:], plan[2:])), name

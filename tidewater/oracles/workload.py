@@ -103,16 +103,47 @@ def sqls() -> dict[str, str]:
     s["fe_04_censored_flags"] = check(f"WITH {long} SELECT task_id, suite, sum(timed_out)::BIGINT AS imputed, count(*) AS queries FROM q GROUP BY 1, 2", True)
     s["fe_11_timeout_frequency"] = check(f"WITH {long} SELECT suite, id, sum(timed_out)::BIGINT AS timeouts, count(*) AS tasks FROM q GROUP BY 1, 2", True)
     has = {i: f"contains(combination, 's{i}')" for i in (1, 2, 3)}
-    word = lambda ws, n: f"[{', '.join(ws)}][1 + task_id % {n}]"
-    enc = {
-        "jit": f"CASE WHEN {has[1]} THEN {word(('1', '0', '1', '0'), 4)} END::DOUBLE",
-        "shared_buffers": f"CASE WHEN {has[1]} THEN {word(('1024', '512', '0.5', '64'), 4)} END::DOUBLE",
-        "random_page_cost": f"CASE WHEN {has[1]} THEN {word(('1.25', '2.5', '4.0', 'NULL'), 4)} END::DOUBLE",
-        "seq_page_cost": f"CASE WHEN {has[1]} THEN 1 END::DOUBLE",
-        "cpu_tuple_cost": f"CASE WHEN {has[2]} THEN {word(('0.001', '0.005', '0.01'), 3)} END::DOUBLE",
-        "enable_hashjoin": f"CASE WHEN {has[2]} THEN {word(('1', '0'), 2)} END::DOUBLE",
-        "enable_memoize": f"CASE WHEN {has[3]} THEN {word(('1', '0', '1'), 3)} END::DOUBLE",
+    on_off = ("1", "0")
+    # stage, values as numbers, place of task 0
+    coded = {
+        "jit": (1, ("1", "0", "1", "0"), 0),
+        "seq_page_cost": (1, ("1.0",), 0),
+        "random_page_cost": (1, ("1.25", "2.5", "4.0", "NULL"), 0),
+        "default_statistics_target": (1, ("50", "100", "500"), 3),
+        "max_parallel_workers": (1, ("1", "2", "4"), 4),
+        "max_parallel_workers_per_gather": (1, ("0", "1", "2"), 5),
+        "max_worker_processes": (1, ("8",), 6),
+        "shared_buffers": (1, ("1024", "512", "0.5", "64"), 0),
+        "effective_cache_size": (1, ("1024", "768", "1536"), 8),
+        "work_mem": (1, ("4", "16", "64", "2"), 9),
+        "enable_hashagg": (1, on_off, 10),
+        "enable_bitmapscan": (1, ("0", "1"), 11),
+        "enable_nestloop": (1, ("1", "0", "0"), 12),
+        "enable_parallel_hash": (1, on_off, 13),
+        "enable_sort": (1, on_off, 14),
+        "synchronous_commit": (1, ("0",), 15),
+        "cpu_tuple_cost": (2, ("0.001", "0.005", "0.01"), 0),
+        "cpu_index_tuple_cost": (2, ("0.001", "0.005"), 17),
+        "cpu_operator_cost": (2, ("0.0005", "0.0025", "0.001"), 18),
+        "parallel_setup_cost": (2, ("100", "500", "1000"), 19),
+        "parallel_tuple_cost": (2, ("0.01", "0.1"), 20),
+        "min_parallel_table_scan_size": (2, ("1", "8", "16"), 21),
+        "min_parallel_index_scan_size": (2, ("0.125", "0.5", "1"), 22),
+        "join_collapse_limit": (2, ("4", "8", "12"), 23),
+        "from_collapse_limit": (2, ("4", "8", "12", "NULL"), 24),
+        "hash_mem_multiplier": (2, ("1.0", "2.0", "4.0"), 25),
+        "enable_mergejoin": (2, on_off, 26),
+        "enable_hashjoin": (2, on_off, 0),
+        "enable_memoize": (3, ("1", "0", "1"), 0),
+        "enable_gathermerge": (3, on_off, 29),
+        "enable_incremental_sort": (3, ("1", "0", "0"), 30),
+        "enable_material": (3, on_off, 31),
+        "enable_indexscan": (3, on_off, 32),
+        "enable_indexonlyscan": (3, ("1", "0", "1"), 33),
+        "enable_parallel_append": (3, on_off, 34),
+        "parallel_leader_participation": (3, on_off, 35),
     }
+    enc = {p: f"CASE WHEN {has[stage]} THEN [{', '.join(f'{v}::DOUBLE' for v in values)}][1 + (task_id + {start}) % {len(values)}] END" for p, (stage, values, start) in coded.items()}
     cfg = ", ".join(f"{enc.get(p, 'NULL::DOUBLE')} AS cfg_{p}" for p in PARAMS)
     s["fe_05_config_encoding"] = check(f"SELECT task_id, {cfg} FROM w_tasks")
     hw = "CASE tier WHEN 'low' THEN 2 WHEN 'medium' THEN 4 WHEN 'high' THEN 6 END::INT AS vcpus, CASE tier WHEN 'low' THEN 2048 WHEN 'medium' THEN 4096 WHEN 'high' THEN 5120 END::INT AS memory_mb, CASE tier WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 4 END::INT AS sf"
@@ -130,7 +161,7 @@ def sqls() -> dict[str, str]:
     encoded = "e AS (SELECT task_id, " + ", ".join(f"{v} AS cfg_{p}" for p, v in enc.items()) + " FROM w_tasks)"
     s["fe_10_missing_share"] = check(f"WITH {encoded} SELECT * FROM (" + " UNION ALL ".join(f"SELECT 'cfg_{p}' AS \"column\", round_even((count(*) - count(cfg_{p})) / count(*) * 100, 1) AS missing_pct FROM e" for p in enc) + ") WHERE missing_pct > 0 ORDER BY 2 DESC, 1 LIMIT 10")
     s["fe_11_column_audit"] = check(f"WITH {encoded} " + " UNION ALL ".join(f"SELECT 'cfg_{p}' AS \"column\", count(cfg_{p}) AS seen, count(cfg_{p}) = 0 AS always_null, count(DISTINCT cfg_{p}) = 1 AS zero_variance FROM e" for p in enc))
-    s["fe_12_impute_median"] = check(f"WITH {encoded} SELECT task_id, " + ", ".join(f"coalesce(cfg_{p}, (SELECT median(cfg_{p}) FROM e)) AS cfg_{p}, (cfg_{p} IS NULL)::INT AS cfg_{p}__was_missing" for p in ("shared_buffers", "random_page_cost", "cpu_tuple_cost")) + " FROM e")
+    s["fe_12_impute_median"] = check(f"WITH {encoded} SELECT task_id, " + ", ".join(f"coalesce(cfg_{p}, m_{p}, -1) AS cfg_{p}, (cfg_{p} IS NULL)::INT AS cfg_{p}__was_missing" for p in enc) + " FROM e CROSS JOIN (SELECT " + ", ".join(f"median(cfg_{p}) AS m_{p}" for p in enc) + " FROM e)")
     s["fe_13_config_maps"] = check(f"WITH {encoded} " + " UNION ALL ".join(f"SELECT task_id, '{p}' AS param, cfg_{p} AS value FROM e WHERE cfg_{p} IS NOT NULL" for p in enc))
 
     # ranking

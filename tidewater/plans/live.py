@@ -92,10 +92,6 @@ def ml_03_search(t):
     return _searched(t)
 
 
-def ml_03_gain(t):
-    return models.search_gain(_searched(t))
-
-
 def ml_03_rungs(t):
     """What of the search does not hang on the trees: how many settings each rung judged on how many folds, and that the best went on."""
     found = _searched(t)

@@ -42,7 +42,9 @@ def _in_region(t, region):
 def q2(t):
     europe = link(t.supplier, _in_region(t, "EUROPE"), "s_nationkey = n_nationkey")
     wanted = t.part.where("p_size = 15 and p_type like '%BRASS'").select("p_partkey", "p_mfgr")
-    offers = link(link(t.partsupp, wanted, "ps_partkey = p_partkey"), europe, "ps_suppkey = s_suppkey")
+    # semi joins reach below whatever the offers are made from; the columns come after
+    offers = link(t.partsupp, wanted.select("p_partkey"), "ps_partkey = p_partkey", "left_semi")
+    offers = link(link(offers, wanted, "ps_partkey = p_partkey"), europe, "ps_suppkey = s_suppkey")
     cheapest = offers.groupBy(F.col("p_partkey").alias("best_part")).agg(F.min("ps_supplycost").alias("best_cost"))
     return top(
         link(offers, cheapest, "p_partkey = best_part and ps_supplycost = best_cost").select(
@@ -138,7 +140,8 @@ def q8(t):
 def q9(t):
     parts = t.part.where("p_name like '%green%'").select("p_partkey")
     lines = link(t.lineitem, parts, "l_partkey = p_partkey")
-    costed = link(lines, t.partsupp, "ps_partkey = l_partkey and ps_suppkey = l_suppkey")
+    offers = link(t.partsupp, parts, "ps_partkey = p_partkey", "left_semi")
+    costed = link(lines, offers, "ps_partkey = l_partkey and ps_suppkey = l_suppkey")
     sellers = link(t.supplier, t.nation, "s_nationkey = n_nationkey").select("s_suppkey", F.col("n_name").alias("nation"))
     sales = link(link(costed, sellers, "l_suppkey = s_suppkey"), t.orders, "l_orderkey = o_orderkey")
     return ordered(
@@ -169,7 +172,7 @@ def q10(t):
 def q11(t):
     german = link(t.supplier, t.nation.where("n_name = 'GERMANY'"), "s_nationkey = n_nationkey").select("s_suppkey")
     value = (
-        link(t.partsupp, german, "ps_suppkey = s_suppkey")
+        link(t.partsupp, german, "ps_suppkey = s_suppkey", "left_semi")
         .groupBy("ps_partkey")
         .agg(F.expr("sum(ps_supplycost * ps_availqty)").alias("value"))
     )
@@ -235,7 +238,8 @@ def q16(t):
         isin("p_size", (49, 14, 23, 45, 19, 3, 36, 9))
     )
     complaints = t.supplier.where("s_comment like '%Customer%Complaints%'").select("s_suppkey")
-    offers = not_in(link(t.partsupp, parts, "ps_partkey = p_partkey"), "ps_suppkey", complaints, "s_suppkey")
+    offers = link(t.partsupp, parts.select("p_partkey"), "ps_partkey = p_partkey", "left_semi")
+    offers = not_in(link(offers, parts, "ps_partkey = p_partkey"), "ps_suppkey", complaints, "s_suppkey")
     return ordered(
         offers.groupBy("p_brand", "p_type", "p_size").agg(F.countDistinct("ps_suppkey").alias("supplier_cnt")),
         "-supplier_cnt",

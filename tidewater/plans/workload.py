@@ -12,6 +12,7 @@ from tidewater.operators.ranks import settle
 from tidewater.plans.retail import group_total
 from tidewater.sources import quality, tpcds_views
 from tidewater.sources.files import project_json
+from tidewater.sources.views import pick
 
 RAPL_MAX = 10_000_000
 NOW = "2024-01-31 00:00:00"
@@ -157,18 +158,61 @@ def tq_06_status_report(t):
     return taskstate.status_report(taskstate.current_state(t.changes), totals)
 
 
-CONFIG = (
-    "map_filter(map("
-    "'jit', case when combination like '%s1%' then split_part('on,off,1,0', ',', cast(1 + task_id % 4 as int)) end, "
-    "'shared_buffers', case when combination like '%s1%' then split_part('1GB,512MB,512kB,64', ',', cast(1 + task_id % 4 as int)) end, "
-    "'random_page_cost', case when combination like '%s1%' then split_part('1.25,2.5,4.0,abc', ',', cast(1 + task_id % 4 as int)) end, "
-    "'seq_page_cost', case when combination like '%s1%' then '1.0' end, "
-    "'cpu_tuple_cost', case when combination like '%s2%' then split_part('0.001,0.005,0.01', ',', cast(1 + task_id % 3 as int)) end, "
-    "'enable_hashjoin', case when combination like '%s2%' then split_part('on,off', ',', cast(1 + task_id % 2 as int)) end, "
-    "'enable_memoize', case when combination like '%s3%' then split_part('ON,off,true', ',', cast(1 + task_id % 3 as int)) end"
-    "), (k, v) -> v is not null)"
-)
-SET_PARAMS = ("jit", "shared_buffers", "random_page_cost", "seq_page_cost", "cpu_tuple_cost", "enable_hashjoin", "enable_memoize")
+# Values that the tasks' configurations draw on, for each of the sampled parameters.
+CHOICES = {
+    "jit": "on,off,1,0",
+    "seq_page_cost": "1.0",
+    "random_page_cost": "1.25,2.5,4.0,abc",
+    "default_statistics_target": "50,100,500",
+    "max_parallel_workers": "1,2,4",
+    "max_parallel_workers_per_gather": "0,1,2",
+    "max_worker_processes": "8",
+    "shared_buffers": "1GB,512MB,512kB,64",
+    "effective_cache_size": "1GB,768MB,1536MB",
+    "work_mem": "4MB,16MB,64MB,2048kB",
+    "enable_hashagg": "on,off",
+    "enable_bitmapscan": "off,on",
+    "enable_nestloop": "on,off,yes",
+    "enable_parallel_hash": "on,off",
+    "enable_sort": "true,false",
+    "synchronous_commit": "off",
+    "cpu_tuple_cost": "0.001,0.005,0.01",
+    "cpu_index_tuple_cost": "0.001,0.005",
+    "cpu_operator_cost": "0.0005,0.0025,1e-3",
+    "parallel_setup_cost": "100,500,1000",
+    "parallel_tuple_cost": "0.01,0.1",
+    "min_parallel_table_scan_size": "1MB,8MB,16MB",
+    "min_parallel_index_scan_size": "128kB,512kB,1MB",
+    "join_collapse_limit": "4,8,12",
+    "from_collapse_limit": "4,8,12,none",
+    "hash_mem_multiplier": "1.0,2.0,4.0",
+    "enable_mergejoin": "on,off",
+    "enable_hashjoin": "on,off",
+    "enable_memoize": "ON,off,true",
+    "enable_gathermerge": "on,off",
+    "enable_incremental_sort": "on,off,0",
+    "enable_material": "1,0",
+    "enable_indexscan": "on,off",
+    "enable_indexonlyscan": "on,off,on",
+    "enable_parallel_append": "on,off",
+    "parallel_leader_participation": "on,off",
+}
+# how far into a parameter's values task 0 is; those not listed follow their place among the parameters
+STARTS = {p: 0 for p in ("jit", "shared_buffers", "random_page_cost", "seq_page_cost", "cpu_tuple_cost", "enable_hashjoin", "enable_memoize")}
+
+
+def config(params=features.PARAMS) -> str:
+    """A task's configuration as a map: values of the parameters whose stage its combination takes."""
+    entries = []
+    for i, p in enumerate(features.PARAMS):
+        if p in params:
+            stage = 1 if p in features.STAGE1 else 2 if p in features.STAGE2 else 3
+            entries.append(f"'{p}', case when combination like '%s{stage}%' then {pick(CHOICES[p], f'task_id + {STARTS.get(p, i)}')} end")
+    return f"map_filter(map({', '.join(entries)}), (k, v) -> v is not null)"
+
+
+CONFIG = config()
+SET_PARAMS = features.PARAMS
 
 
 def documents(t) -> DataFrame:
@@ -234,13 +278,12 @@ def fe_11_timeout_frequency(t):
 
 
 def fe_12_impute_median(t):
-    return features.impute_median(_encoded(t), ["cfg_shared_buffers", "cfg_random_page_cost", "cfg_cpu_tuple_cost"]).select(
-        "task_id", *[f"cfg_{p}{s}" for p in ("shared_buffers", "random_page_cost", "cpu_tuple_cost") for s in ("", "__was_missing")]
-    )
+    return features.impute_median(settle(_encoded(t)), CFG)
 
 
 def fe_13_config_maps(t):
-    out = _encoded(t).select("task_id", features.config_of(CFG).alias("config"))
+    # the wide rows are written first: as one plan, each entry of the new map would work out the old one again
+    out = settle(_encoded(t)).select("task_id", features.config_of(CFG).alias("config"))
     return out.select("task_id", F.explode("config").alias("param", "value"))
 
 
@@ -445,7 +488,7 @@ def cf_10_validity_report(t):
 
 
 def cf_11_out_of_range(t):
-    return configspace.out_of_range(t.tasks.select("task_id", "tier", F.expr(CONFIG.replace(",abc", ",9.5")).alias("config")))
+    return configspace.out_of_range(t.tasks.select("task_id", "tier", F.expr(config(STARTS).replace(",abc", ",9.5")).alias("config")))
 
 
 def cf_12_rule_based(t):
