@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +36,17 @@ TEMPLATES = (
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    # the opening words that both texts share: the third clause, which stands above, wins where it is there
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("EPL-2.0", "This program is made available under the terms of the Eclipse Public License 2.0."),
@@ -50,12 +61,19 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
 )
 
+# Identifiers of the one-line tag that name a licence otherwise than above.
+TAG_NAMES = {f"{name}{end}": name for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for end in ("", "-only", "-or-later")}
+_TAGS = {name: name for name, _ in TEMPLATES if name != "Proprietary"} | TAG_NAMES
+NOTICES = len(TEMPLATES)
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {tag}") for tag, name in _TAGS.items())
+
 # What a passage must mention to be compared, and names of licence files.
 MENTIONS = re.compile(r"licen[cs]e|copyright|copying|redistribut|rights reserved|public domain|permission|spdx|free software|\bcc0?[ -]", re.IGNORECASE)
 LICENSE_FILE = "(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 
-#: Least cosine of a notice; tokens of a passage, which overlap by half.
+#: Least cosine of a notice; of a one-line tag, whose identifier must be right; tokens of a passage, which overlap by half.
 LEAST_COSINE = 0.6
+LEAST_TAG = 0.95
 PASSAGE = 40
 
 _TOKEN = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
@@ -97,41 +115,56 @@ class Matcher:
             for t, n in Counter(tokens(notice)).items():
                 self.table[row, self.column[t]] = n * self.idf[t]
         self.table /= np.linalg.norm(self.table, axis=1, keepdims=True)
+        self.openings: dict[tuple[str, str], set[int]] = {}
+        for _, notice in TEMPLATES[:NOTICES]:
+            words = tokens(notice)
+            self.openings.setdefault((words[0], words[1]), set()).add(len(words))
 
     def best(self, words: list[str]) -> tuple[float, int]:
-        """The greatest cosine of a passage and the template it is with, the first on ties."""
+        """The greatest cosine of a passage and the template it is with, the first on ties; tags count from ``LEAST_TAG`` on."""
         counts = Counter(words)
         at = [(self.column[t], n * self.idf[t]) for t, n in counts.items() if t in self.column]
         if not at:
             return 0.0, 0
         norm = math.sqrt(sum(v * v for _, v in at) + sum((n * self.rare) ** 2 for t, n in counts.items() if t not in self.column))
-        scores = self.table[:, [c for c, _ in at]] @ np.array([v for _, v in at]) / norm
+        scores = np.round(self.table[:, [c for c, _ in at]] @ np.array([v for _, v in at]) / norm, 9)
+        scores[NOTICES:][scores[NOTICES:] < LEAST_TAG] = 0.0
         row = int(np.argmax(scores))
         return min(1.0, float(scores[row])), row
 
+    def passages(self, text: str) -> Iterator[list[str]]:
+        """What is compared, by what mentions licensing: lines and sentences, passages of ``PASSAGE`` tokens across line breaks, and where a template's first two tokens stand, as many tokens as it has."""
+        for line in text.split("\n"):
+            if MENTIONS.search(line):
+                words = tokens(line)
+                if len(words) <= PASSAGE:
+                    yield words
+                if len(words) > PASSAGE // 2:
+                    for part in re.split(r"(?<=[.!?])\s+", line):
+                        if MENTIONS.search(part) and len(words := tokens(part)) <= 2 * PASSAGE:
+                            yield words
+        found = list(_TOKEN.finditer(text.lower()))
+        words, starts = [m.group() for m in found], [m.start() for m in found]
+        half = PASSAGE // 2
+        blocks = {max(0, bisect_right(starts, m.start()) - 1) // half for m in MENTIONS.finditer(text)}
+        for block in sorted(blocks | {b - 1 for b in blocks if b}):
+            yield words[block * half : block * half + PASSAGE]
+        for i, pair in enumerate(zip(words, words[1:])):
+            for n in self.openings.get(pair, ()):
+                yield words[i : i + n]
+
     def notice(self, text: str) -> tuple[str | None, float, bool]:
-        """(licence, cosine, whether the text is nothing but the notice) of the best passage; (None, 0.0, False) without one."""
-        best, whole = (0.0, 0), False
+        """(licence, cosine, whether the text is nothing but the notice) of the best passage, the first template on ties; (None, 0.0, False) without one."""
         if not MENTIONS.search(text):
             return None, 0.0, False
-        lines = [x for x in text.split("\n") if x.strip()]
-        for line in lines:
-            if not MENTIONS.search(line):
-                continue
-            words = tokens(line)
-            for at in range(0, max(1, len(words) - PASSAGE // 2), PASSAGE // 2):
-                found = self.best(words[at : at + PASSAGE])
-                if found[0] > best[0]:
-                    best = found
-                    whole = len(lines) == 1 and len(words) <= PASSAGE
-            if len(words) > PASSAGE // 2:
-                # a notice inside a longer line: sentences by themselves
-                for part in re.split(r"(?<=[.!?])\s+", line):
-                    if MENTIONS.search(part) and (found := self.best(tokens(part)))[0] > best[0]:
-                        best, whole = found, False
+        best, size = (0.0, 0), 0
+        for words in self.passages(text):
+            found = self.best(words)
+            if (-found[0], found[1], -len(words)) < (-best[0], best[1], -size):
+                best, size = found, len(words)
         if best[0] < LEAST_COSINE:
             return None, 0.0, False
-        return TEMPLATES[best[1]][0], best[0], whole
+        return TEMPLATES[best[1]][0], best[0], len(tokens(text)) <= size
 
 
 def notices(files: DataFrame, matcher: Matcher) -> DataFrame:
@@ -164,6 +197,9 @@ def licenses(files: DataFrame) -> DataFrame:
     up = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))).alias("ancestor"))
     nearest = up.join(granted, "ancestor").groupBy("dir").agg(F.max_by(F.struct("dir_license", "dir_cosine", "ancestor"), F.length("ancestor")).alias("near"))
     own = F.col("own_license").isNotNull()
-    out = found.join(nearest, "dir", "left")
+    # one row at most: the licence of the topmost directory, for all that have no nearer one
+    top = granted.where("ancestor = ''").agg(F.first(F.struct("dir_license", "dir_cosine", "ancestor")).alias("top"))
+    out = found.join(nearest, "dir", "left").crossJoin(F.broadcast(top))
+    out = out.withColumn("near", F.coalesce("near", F.when(F.col("dir").isNotNull(), F.col("top"))))
     basis = F.when(own, "notice").when(F.col("near").isNotNull(), "directory").otherwise("none")
     return out.select("doc_id", "path", F.coalesce("own_license", "near.dir_license").alias("license"), F.when(own, F.col("cosine")).otherwise(F.coalesce("near.dir_cosine", F.lit(0.0))).alias("cosine"), basis.alias("basis"), F.when(~own, F.col("near.ancestor")).alias("from_directory"))
