@@ -8,15 +8,14 @@ from tidewater.llm import topk
 
 
 def slow(rows, k, queries):
-    clean = {}
+    clean = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]
-            clean[i] = min(clean.get(i, q), q)
+            clean.append((i, [int(np.floor(256 * np.float64(np.float32(x)))) for x in v]))
     out = []
     for q in queries:
-        if q in clean:
-            scored = sorted((-sum(a * b for a, b in zip(clean[q], v)), i) for i, v in clean.items() if i != q)[:k]
+        if asked := [v for i, v in clean if i == q]:
+            scored = sorted((-sum(a * b for a, b in zip(min(asked), v)), i) for i, v in clean if i != q)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out)
 
@@ -48,3 +47,12 @@ def test_nulls_and_few_vectors(spark):
     assert run(spark, rows, 5, 2) == slow(rows, 5, [0, 2, 10, 12])
     assert run(spark, [], 5, 2) == []
     assert run(spark, [(0, [1.0])], 5, 2) == []
+
+
+def test_rows_of_a_repeated_id_are_candidates_each(spark):
+    rows = [(1, [3.0, 1.0])] * 7 + [(1, [9.0, 0.0]), (2, [1.0, 1.0]), (2, [2.0, 5.0]), (2, [2.0, 5.0]), (4, [1.0, 0.0]), (3, [8.0, 8.0])]
+    for k in (2, 5, 20):
+        want = slow(rows, k, [2, 4])
+        if k == 20:  # of the seven alike all are here
+            assert sum(r[2] == 1 for r in want) == 16
+        assert run(spark, rows, k, 2) == want

@@ -127,14 +127,19 @@ def _block_best(k: int, width: int):
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's k best vectors but its own, ties to the lesser vec_id.
 
-    Both tables have vec_id (long) and vector (array of long, see :func:`quantised`); rows without either take no part. A vec_id that
-    comes repeatedly stands for its least vector. Vectors of unequal length score over the shorter one; an empty one scores 0.
+    Both tables have vec_id (long) and vector (array of long, see :func:`quantised`); rows without either take no part. Every row of
+    ``vectors`` is a candidate, those of a repeated vec_id too, but none for the query of its own vec_id; a vec_id that comes repeatedly
+    among the queries asks once, with its least vector. Vectors of unequal length score over the shorter one; an empty one scores 0.
     """
-    clean = [settle(t.where("vec_id is not null and vector is not null").groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("vector").alias("vector")), label) for t, label in ((vectors, "topk-vectors"), (queries, "topk-queries"))]
+    given = [t.where("vec_id is not null and vector is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "vector") for t in (vectors, queries)]
+    # of rows that are alike no more than k can be among the best
+    copies = given[0].groupBy("vec_id", "vector").agg(F.least(F.count("*"), F.lit(k)).alias("__n"))
+    copies = copies.select("vec_id", "vector", F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("copy"))
+    clean = [settle(copies, "topk-vectors"), settle(given[1].groupBy("vec_id").agg(F.min("vector").alias("vector")), "topk-queries")]
     (n_vectors, width), (n_queries, width_q) = [t.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first() for t in clean]
     blocks_v, blocks_q = max(1, -(-n_vectors // BLOCK_VECTORS)), max(1, -(-n_queries // BLOCK_QUERIES))
     # each block of the one meets each of the other: a vector travels once for every 4096 queries, a query once for every block
-    dealt_v = clean[0].withColumns({"bv": F.pmod(F.xxhash64("vec_id"), F.lit(blocks_v)), "bq": F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1)))})
+    dealt_v = clean[0].withColumns({"bv": F.pmod(F.xxhash64("vec_id", "vector", "copy"), F.lit(blocks_v)), "bq": F.explode(F.sequence(F.lit(0), F.lit(blocks_q - 1)))})
     dealt_q = clean[1].withColumns({"bq": F.pmod(F.xxhash64("vec_id"), F.lit(blocks_q)), "bv": F.explode(F.sequence(F.lit(0), F.lit(blocks_v - 1)))})
     pairs = dealt_q.groupBy(F.col("bq").cast("long"), F.col("bv").cast("long")).cogroup(dealt_v.groupBy(F.col("bq").cast("long"), F.col("bv").cast("long")))
     best = pairs.applyInPandas(_block_best(k, max(width, width_q)), "query_id long, vec_id long, score long")
