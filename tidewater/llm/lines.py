@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import NO_ID, id_key, settle
 
-#: In :func:`dedup_lines` lines of fewer tokens always stay, as its check SQL says. :func:`drop_repeated` takes all that have a token.
-LEAST_TOKENS = 5
+#: Lines of fewer tokens always stay: all that have a token are compared.
+LEAST_TOKENS = 1
 
 #: Levels of leading tokens below the token count.
 DEPTH = 2
@@ -31,14 +31,14 @@ _VARIABLE = re.compile(rb"[0-9@]|://")
 def template(line: bytes, depth: int = DEPTH) -> tuple[int, bytes, bytes] | None:
     """(token count, leading tokens, rest) of a line, varying tokens replaced; None for a line without tokens.
 
-    A line in which more than half of the tokens vary is data and not a pattern: it is its own template, unmasked.
+    A line in which all tokens vary is data and not a pattern: it is its own template, unmasked.
     """
     tokens = line.split()
     if not tokens:
         return None
     if _VARIABLE.search(line):
         masked = [ANY if _VARIABLE.search(t) else t for t in tokens]
-        if 2 * masked.count(ANY) <= len(tokens):
+        if masked.count(ANY) < len(tokens):
             tokens = masked
     return len(tokens), b" ".join(tokens[:depth]), b" ".join(tokens[depth:])
 

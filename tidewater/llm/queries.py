@@ -117,8 +117,8 @@ FROM sloped
 OP10_SQL = """
 WITH split AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
      cut AS (SELECT doc_id, n, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS tokens FROM split),
-     masked AS (SELECT doc_id, n, tokens, list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS m FROM cut WHERE len(tokens) >= 5),
-     shaped AS (SELECT doc_id, n, CASE WHEN 2 * len(list_filter(m, lambda t: t = '<*>')) <= len(m) THEN m ELSE tokens END AS shape FROM masked),
+     masked AS (SELECT doc_id, n, tokens, list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END) AS m FROM cut WHERE len(tokens) >= 1),
+     shaped AS (SELECT doc_id, n, CASE WHEN len(list_filter(m, lambda t: t = '<*>')) < len(m) THEN m ELSE tokens END AS shape FROM masked),
      gone AS (SELECT doc_id, n FROM (SELECT *, min(doc_id) OVER (PARTITION BY shape) AS first FROM shaped) WHERE doc_id > first),
      kept AS (SELECT s.doc_id, list(s.line ORDER BY s.n) FILTER (WHERE g.n IS NULL) AS stay, list(s.n ORDER BY s.n) FILTER (WHERE g.n IS NOT NULL) AS lost FROM split s LEFT JOIN gone g USING (doc_id, n) GROUP BY s.doc_id)
 SELECT d.doc_id, CAST(coalesce(len(lost), 0) AS BIGINT) AS n_dropped, coalesce(array_to_string(lost, ','), '') AS dropped_lines, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(array_to_string(stay, chr(10)), '') END AS text
