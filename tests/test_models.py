@@ -121,3 +121,22 @@ def test_search_climbs_its_rungs(spark):
     again = models.search(rows, ["a", "b"], trials=6, rungs=((1 / 200, 1, 3),), parallelism=2).collect()
     assert [(r.trial, r.setting) for r in again] == [(r.trial, r.setting) for r in lines if r.rung == 0]
     assert models.search(rows.limit(0), ["a"], trials=2).count() == 0
+
+
+def test_listed_values_are_encoded_once(spark):
+    from tidewater.functions import values as V
+    from tidewater.plans import workload
+    from tidewater.sources import workload_views
+
+    t = workload_views.tables(spark, "/root/testdata/sf0.001")
+    fast = workload._encoded(t)
+    by_row = t.tasks.select("task_id", F.expr(workload.CONFIG).alias("c")).select("task_id", *[V.encode(p, F.try_element_at("c", F.lit(p))).alias(f"cfg_{p}") for p in workload.SET_PARAMS])
+    assert sorted(map(str, fast.collect())) == sorted(map(str, by_row.collect()))
+    # a task's text is neither cut nor parsed
+    plan = fast._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert not any(word in plan for word in ("regexp", "rlike", "split", "try_cast"))
+    odd = spark.createDataFrame([(x,) for x in ("on", " TRUE ", "off", "yes", "none", "1e3", " 2 ", "inf", "-Infinity", "NaN", "nano", "0x1p3", "", "e", None)], "x string")
+    plain = F.lower(F.trim("x")).try_cast("double")
+    want = F.when(F.col("x").isNull(), F.lit(None).cast("double")).when(plain.isNotNull(), plain).when(F.lower(F.trim("x")).isin("on", "true"), 1.0).otherwise(0.0)
+    for r in odd.select(V.switch("x").alias("a"), want.alias("b"), V.number("x").alias("c"), F.col("x").try_cast("double").alias("d")).collect():
+        assert str(r.a) == str(r.b) and str(r.c) == str(r.d)
