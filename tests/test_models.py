@@ -140,3 +140,18 @@ def test_listed_values_are_encoded_once(spark):
     want = F.when(F.col("x").isNull(), F.lit(None).cast("double")).when(plain.isNotNull(), plain).when(F.lower(F.trim("x")).isin("on", "true"), 1.0).otherwise(0.0)
     for r in odd.select(V.switch("x").alias("a"), want.alias("b"), V.number("x").alias("c"), F.col("x").try_cast("double").alias("d")).collect():
         assert str(r.a) == str(r.b) and str(r.c) == str(r.d)
+
+
+def test_fits_read_settled_inputs(spark):
+    rows = _planted(spark).coalesce(1)
+    assert models.spread(rows).rdd.getNumPartitions() > 1
+    oofs = models.out_of_folds(models.spread(rows), {n: ("geo_mean_tpch", c) for n, c in (("ab", ["a", "b"]), ("a", ["a"]))}, maxIter=2)
+    for found in oofs.values():
+        assert found.count() == found.select("task_id").distinct().count() == 240
+        # what reads the predictions doesn't run the models again
+        assert "UDF" not in found._jdf.queryExecution().optimizedPlan().toString()
+    columns = ["a", "b", "c"]
+    ready = models.prepare(rows, columns).withColumn("_y", F.log("tpch_geo_mean_ms"))
+    by_pipeline = models.specialist(columns, maxIter=2).fit(ready).transform(ready).select("task_id", "_p").orderBy("task_id").collect()
+    settled = models.fit_specialist(ready, columns, maxIter=2).transform(ready).select("task_id", "_p").orderBy("task_id").collect()
+    assert len(settled) == 240 and np.corrcoef([r._p for r in settled], [r._p for r in by_pipeline])[0, 1] > 0.99
