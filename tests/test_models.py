@@ -155,3 +155,30 @@ def test_fits_read_settled_inputs(spark):
     by_pipeline = models.specialist(columns, maxIter=2).fit(ready).transform(ready).select("task_id", "_p").orderBy("task_id").collect()
     settled = models.fit_specialist(ready, columns, maxIter=2).transform(ready).select("task_id", "_p").orderBy("task_id").collect()
     assert len(settled) == 240 and np.corrcoef([r._p for r in settled], [r._p for r in by_pipeline])[0, 1] > 0.99
+
+
+def test_recorded_queries_give_the_same_as_all(spark):
+    from tidewater.operators import features
+
+    summary = {"exec_ms_per_query": {"q1": 5.25, "q17": 3.0, "q99": None, "x": 1.0}, "failure_reason_per_query": {"q1": "ok", "q2": "ok", "q99": "timeout"}}
+    listed = {"queries": [{"id": 3, "exec_ms": 7.0, "failure_reason": "timeout"}, {"id": 3, "exec_ms": 8.0, "failure_reason": "ok"}, {"id": 95, "exec_ms": 1.0, "failure_reason": "ok"}, {"id": None}]}
+    docs = [(1, "done", {"summary": summary}, {"summary": summary}), (2, "abandoned", listed, listed), (3, None, None, {}), (4, "running", listed, None), (2, "abandoned", None, listed)]
+    rows = [{"task_id": i, "status": s, "tpc_h": h, "tpc_ds": d} for i, s, h, d in docs]
+    df = spark.createDataFrame(rows, features.DOCUMENT_SCHEMA)
+    every = features.query_rows(df).collect()
+    assert len(every) == 4 * 118
+    totals = {(r.suite, r.id): r for r in features.query_totals(df).collect()}
+    assert len(totals) == 118
+    for (suite, i), r in totals.items():
+        mine = [e for e in every if (e.suite, e.id) == (suite, i)]
+        assert (r.tasks, r.total_ms, r.least_ms, r.timeouts) == (4, sum(e.ms for e in mine), min(e.ms for e in mine), sum(e.timed_out for e in mine))
+    by_hand = {("tpc_h", 1): (5.25, 0), ("tpc_h", 2): (900000.0, 0), ("tpc_ds", 99): (900000.0, 1), ("tpc_h", 4): (900000.0, 1)}
+    assert {k: next((e.ms, e.timed_out) for e in every if e.task_id == 1 and (e.suite, e.id) == k) for k in by_hand} == by_hand
+    for r in features.imputed_counts(df).collect():
+        mine = [e for e in every if (e.task_id, e.suite) == (r.task_id, r.suite)]
+        assert (r.imputed, r.queries) == (sum(e.timed_out for e in mine), len(mine))
+    # listed queries: the last entry counts, any good one clears the flag
+    assert [(e.ms, e.timed_out) for e in every if (e.task_id, e.suite, e.id) == (2, "tpc_h", 3)][0] == (8.0, 0)
+    assert features.query_totals(df.limit(0)).count() == 0
+    # what is counted is what documents mention, not a row for every query of every task
+    assert "transform([1," not in features.query_totals(df)._jdf.queryExecution().optimizedPlan().toString()
