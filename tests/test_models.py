@@ -182,3 +182,36 @@ def test_recorded_queries_give_the_same_as_all(spark):
     assert features.query_totals(df.limit(0)).count() == 0
     # what is counted is what documents mention, not a row for every query of every task
     assert "transform([1," not in features.query_totals(df)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_inputs_are_merged_without_loss(spark):
+    rng = random.Random(9)
+    rows = [(i, float(i % 3), None if i % 2 else float(i % 7 > 3), float(np.exp(i % 3 + (i % 7 > 3) + 0.3 * rng.gauss(0, 1)))) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "task_id long, a double, b double, tpch_geo_mean_ms double")
+    # no draws: merged rows must grow the very trees of the rows they stand for
+    settings = {"maxIter": 3, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInstancesPerNode": 1}
+    ready = models.prepare(df, ["a", "b"]).withColumn("_y", F.log("tpch_geo_mean_ms"))
+    plain = {r.task_id: r._p for r in models.specialist(["a", "b"], **settings).fit(ready).transform(ready).collect()}
+    merged = {r.task_id: r._p for r in models.fit_specialist(ready, ["a", "b"], **settings).transform(ready).collect()}
+    assert len(merged) == 12_000 and all(abs(merged[i] - plain[i]) < 1e-9 for i in plain)
+    cells = models.merge(df, ["a", "b"], {"t": (F.log("tpch_geo_mean_ms"), F.col("tpch_geo_mean_ms"))})
+    assert cells.count() <= 9 * models.FOLDS * models.PIECES and cells.rdd.getNumPartitions() == 1
+    sums = cells.agg(F.sum("_n_t"), F.sum(F.col("_n_t") * F.col("_y_t")), F.sum(F.col("_within_t") + F.col("_n_t") * F.col("_actual_t") ** 2)).first()
+    y = np.array([r[3] for r in rows])
+    assert sums[0] == 12_000 and np.allclose(sums[1:], [np.log(y).sum(), (y * y).sum()])
+    # medians are those of the rows outside the fold
+    fold = {r.task_id: r.f for r in df.select("task_id", models.fold().alias("f")).collect()}
+    for k, middle in models.medians(cells, ["a", "b"], "_n_t", [0, 3]).items():
+        rest = [r for r in rows if fold[r[0]] != k]
+        assert tuple(middle.first()) == (median(r[1] for r in rest), median(r[2] for r in rest if r[2] is not None))
+
+
+def test_counted_correlation_equals_that_of_rows(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.gauss(0, 1) // 0.2, rng.gauss(0, 1)) for g in range(3) for _ in range(150)]
+    df = spark.createDataFrame(rows, "g int, p double, y double")
+    want = {r.g: r.spearman_rho for r in ranking.rmse_spearman(df, "y", "p", ("g",)).collect()}
+    ranked = ranking.percent_rank(df, "y", "_r", ("g",)).withColumn("_r", F.col("_r") - F.lit(151 / 300))
+    counted = ranked.groupBy("g", "p").agg(F.count("*").alias("n"), F.sum("_r").alias("s"))
+    total = ranked.where("g = 0").agg(F.sum(F.col("_r") * F.col("_r")).alias("_squares"))
+    assert {r.g: r.spearman_rho for r in ranking.counted_correlation(counted, "p", "g", "n", "s", total).collect()} == want
