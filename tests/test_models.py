@@ -215,3 +215,12 @@ def test_counted_correlation_equals_that_of_rows(spark):
     counted = ranked.groupBy("g", "p").agg(F.count("*").alias("n"), F.sum("_r").alias("s"))
     total = ranked.where("g = 0").agg(F.sum(F.col("_r") * F.col("_r")).alias("_squares"))
     assert {r.g: r.spearman_rho for r in ranking.counted_correlation(counted, "p", "g", "n", "s", total).collect()} == want
+
+
+def test_pairs_meet_without_a_broadcast(spark):
+    rows = _planted(spark).withColumn("score", -F.log("tpch_geo_mean_ms"))
+    # settled rows of few values are small in files: their size must not make the driver hold them
+    plan = models.bounded_pairs(rows, ["score"], ("tier",))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    actual = rows.select("task_id", "score")
+    assert "Broadcast" not in models.stack({"p": actual.withColumnRenamed("score", "predicted")}, actual, "score")._jdf.queryExecution().executedPlan().toString()
