@@ -127,3 +127,38 @@ def test_state_ends_and_deadlines_raise_alarms(spark, tmp_path):
     counts, states = run(live.running_outcomes(log), "update", "counts")
     assert {(r[0], r[1]): r[2] for r in counts if r[0] in (1, 2)} == {(1, "tpc_h"): 3, (2, "tpc_h"): 2} and not [r for r in counts if r[0] == 6]
     assert max(states) >= 3 and states[-1] <= 1
+
+
+def test_tasks_of_a_busy_group_get_their_alarms():
+    import pandas as pd
+
+    from tidewater.streaming import live
+
+    class State:
+        exists, hasTimedOut, value, watermark, timer = False, False, None, 0, None
+        get = property(lambda self: self.value)
+        getCurrentWatermarkMs = lambda self: self.watermark
+
+        def update(self, value):
+            self.value, self.exists = value, True
+
+        def remove(self):
+            self.value, self.exists = None, False
+
+        def setTimeoutTimestamp(self, at):
+            self.timer = at
+
+    state, hour, never = State(), 3_600_000_000, live._NEVER
+
+    def call(rows, watermark_h=0):
+        state.watermark, state.hasTimedOut = watermark_h * hour // 1000, rows is None
+        frames = [] if rows is None else [pd.DataFrame(rows, columns=["task", "named", "tier", "at_us", "ended_us", "exec_ms"])]
+        return [(None if pd.isna(r.task_id) else int(r.task_id), r.tier, r.spent_s, int(r.n_runs)) for f in live._alarm((0,), iter(frames), state) for r in f.itertuples()]
+
+    first = [(2**60 + 1, True, "low", 0, never, 500.0), (2, True, "high", 0, never, 1.0), (3, True, "low", 0, hour, 1.0), (0, False, "medium", 0, never, 2.0), (0, True, "high", 60, never, 1.0)]
+    assert call(first) == [] and state.timer == 3 * hour // 1000
+    assert call([(2**60 + 1, True, "low", hour, never, 250.0)]) == []
+    # another task of the group reports: the alarm comes all the same, that of a task which reports waits a batch
+    assert call([(2, True, "high", hour, never, 1.0)], 4) == [(2**60 + 1, "low", 0.75, 2)]
+    assert call([(2, True, "high", hour, never, 1.0)], 9) == [(None, "medium", 0.002, 1), (0, "high", 0.001, 1)] and state.timer == 9 * hour // 1000 + 1
+    assert call(None, 10) == [(2, "high", 0.003, 3)] and not state.exists

@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,44 +50,61 @@ def running_outcomes(log: DataFrame, width: str = "1 hour", lateness: str = "12
 
 
 ALARM_SCHEMA = "task_id bigint, tier string, started_at timestamp, deadline_at timestamp, spent_s double, n_runs bigint"
-_RUNNING_SCHEMA = "tier string, started_us bigint, deadline_us bigint, spent_ms double, n_runs bigint"
+# Open tasks are kept in this many states by a hash of the task: a call for each task would cost more than the work.
+TASK_GROUPS = 1 << 10
+_RUNNING_SCHEMA = "running binary"
+_NEVER = 2**63 - 1
+_OPEN = np.dtype([("task", "i8"), ("named", "?"), ("tier", "i8"), ("started", "i8"), ("deadline", "i8"), ("spent", "f8"), ("runs", "i8")])
 
 
 def _alarm(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Alarms and open tasks of one group; all its tasks are worked on together."""
+    tiers, watermark = list(DEADLINE_HOURS), state.getCurrentWatermarkMs()
+    running = np.frombuffer(bytes(state.get[0]), _OPEN) if state.exists else np.zeros(0, _OPEN)
     if state.hasTimedOut:
-        tier, started, deadline, spent, runs = state.get
-        state.remove()
-        times = {"started_at": [pd.Timestamp(started, unit="us")], "deadline_at": [pd.Timestamp(deadline, unit="us")]}
-        yield pd.DataFrame({"task_id": [key[0]], "tier": [tier], **times, "spent_s": [round(spent / 1000, 3)], "n_runs": [runs]})
-        return
-    tier, started, deadline, spent, runs = state.get if state.exists else (None, None, None, 0.0, 0)
-    ended = None
-    for batch in batches:
-        tier = tier or batch["tier"].iloc[0]
-        first = int(batch["at_us"].min())
-        started = first if started is None else min(started, first)
-        spent, runs = spent + float(batch["exec_ms"].sum()), runs + len(batch)
-        done = batch.loc[batch["finished"], "at_us"]
-        if len(done):
-            ended = int(done.min()) if ended is None else min(ended, int(done.min()))
-    if started is None:
-        return
-    deadline = started + int(DEADLINE_HOURS[tier] * 3_600_000_000)
-    if ended is not None and ended <= deadline:
+        silent = np.ones(len(running), bool)
+    else:
+        seen = pd.concat([batch[["task", "named", "tier", "at_us", "ended_us", "exec_ms"]] for batch in batches], ignore_index=True)
+        seen["tier"] = [tiers.index(t) for t in seen["tier"]]
+        known = pd.DataFrame({n: running[n] for n in ("task", "named", "tier")} | {"at_us": running["started"], "ended_us": _NEVER, "exec_ms": running["spent"], "runs": running["runs"], "fresh": 0})
+        every = pd.concat([known, seen.assign(runs=1, fresh=1)], ignore_index=True)
+        tasks = every.groupby(["task", "named"], sort=False).agg(tier=("tier", "first"), started=("at_us", "min"), ended=("ended_us", "min"), spent=("exec_ms", "sum"), runs=("runs", "sum"), fresh=("fresh", "sum")).reset_index()
+        hours = np.array([DEADLINE_HOURS[t] * 3_600_000_000 for t in tiers], np.int64)[tasks["tier"].to_numpy(np.int64)]
+        started = tasks["started"].to_numpy(np.int64)
+        tasks["deadline"] = np.where(started == _NEVER, _NEVER, started + np.where(started == _NEVER, 0, hours))
+        still = (tasks["ended"] == _NEVER) | (tasks["ended"] > tasks["deadline"])
+        running = np.zeros(int(still.sum()), _OPEN)
+        for name in _OPEN.names:
+            running[name] = tasks.loc[still, name].to_numpy()
+        silent = tasks.loc[still, "fresh"].to_numpy() == 0
+    # a group that always has rows would never time out: alarms of tasks without rows in this batch don't wait for that
+    due = silent & (running["deadline"] // 1000 < watermark)
+    late, running = running[due], running[~due]
+    if len(late):
+        ids = pd.array(late["task"], dtype="Int64")
+        ids[~late["named"]] = pd.NA
+        times = {n: pd.to_datetime(late[of], unit="us") for n, of in (("started_at", "started"), ("deadline_at", "deadline"))}
+        yield pd.DataFrame({"task_id": ids, "tier": [tiers[i] for i in late["tier"]], **times, "spent_s": [round(float(x) / 1000, 3) for x in late["spent"]], "n_runs": late["runs"]})
+    if len(running):
+        state.update((running.tobytes(),))
+        state.setTimeoutTimestamp(max(int(running["deadline"].min()) // 1000, watermark + 1))
+    elif state.exists:
         state.remove()
-        return
-    state.update((tier, started, deadline, spent, runs))
-    state.setTimeoutTimestamp(max(deadline // 1000, state.getCurrentWatermarkMs() + 1))
 
 
 def overdue(log: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """An alarm for each task that has not finished when its tier's deadline passes, counted from its first row.
 
     A timer on event time raises it, whether or not the task reports again. The state of a task ends with its alarm or with the row
-    that finishes it in time; rows that come later than the watermark are dropped.
+    that finishes it in time; rows that come later than the watermark are dropped. Tasks share states by a hash, in which each stands
+    for itself; the timer of a state is that of its first deadline.
     """
-    rows = log.withWatermark("at", lateness).select("task_id", "tier", "at", F.unix_micros("at").alias("at_us"), F.col("exec_ms").cast("double").alias("exec_ms"), "finished")
-    return rows.groupBy("task_id").applyInPandasWithState(_alarm, ALARM_SCHEMA, _RUNNING_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    at = F.coalesce(F.unix_micros("at"), F.lit(_NEVER))
+    rows = log.withWatermark("at", lateness).select(
+        F.pmod(F.xxhash64("task_id"), F.lit(TASK_GROUPS)).alias("group"), F.coalesce("task_id", F.lit(0).cast("long")).alias("task"), F.col("task_id").isNotNull().alias("named"),
+        "tier", "at", at.alias("at_us"), F.when(F.col("finished"), at).otherwise(F.lit(_NEVER)).alias("ended_us"), F.coalesce(F.col("exec_ms").cast("double"), F.lit(0.0)).alias("exec_ms"),
+    )
+    return rows.groupBy("group").applyInPandasWithState(_alarm, ALARM_SCHEMA, _RUNNING_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recent_load(samples: DataFrame, metric: str, width: str = "10 seconds", step: str = "2 seconds", lateness: str = "1 minute") -> DataFrame:
