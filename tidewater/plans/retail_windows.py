@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.semantics import agg, isin, link, ratio, top
+from tidewater.operators.ranks import settle
 from tidewater.plans.retail import CATALOG, STORE, WEB, Channel, hit, on_days, pivot_sums, span
 from tidewater.plans.retail_sets import _stack
 from tidewater.plans.retail_star import WEEK
@@ -382,7 +383,8 @@ def q49(t, floor=10000, month=12):
             )
         )
         parts.append(items.withColumn("channel", F.lit(ch.name)))
-    rows = _stack(parts)
+    # settled: read three times below, where sales and returns would be joined and summed three times
+    rows = settle(_stack(parts))
     # each measure is cut by itself, below its shuffle; the few rows left get the other rank by counting what lies before them
     names, kept = ("return", "currency"), []
     for name in names:
