@@ -224,3 +224,23 @@ def test_pairs_meet_without_a_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     actual = rows.select("task_id", "score")
     assert "Broadcast" not in models.stack({"p": actual.withColumnRenamed("score", "predicted")}, actual, "score")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weightings_share_the_ranks_of_the_real_score(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["low", "high"]), "s1", float(rng.randrange(60)), float(rng.randrange(20)), None if i % 31 == 0 else float(rng.randrange(200)), float(rng.randrange(30))) for i in range(400)]
+    df = spark.createDataFrame(rows, "task_id long, tier string, combination string, pred_geo_tpch double, pred_cache_tpch double, tpch_geo_mean_ms double, tpch_cache_hit_ratio double")
+    got = {r.w_geo: r.spearman_rho for r in ranking.weight_search(df).collect()}
+    known = df.where("tpch_geo_mean_ms is not null").withColumn("_g", ranking._better("pred_geo_tpch", "minimize"))
+    both = ranking.percent_ranks(ranking.composite_score(known, "real"), {"_a": "_g", "_b": "pred_cache_tpch"}, ranking.GROUP)
+    for w in (0.4, 0.65, 0.95):
+        tried = both.withColumn("_p", F.lit(w) * F.col("_a") + F.lit(round(1 - w, 2)) * F.col("_b"))
+        assert got[w] == ranking.rmse_spearman(tried, "real", "_p").first().spearman_rho
+    assert len(got) == 12 and [r.spearman_rho for r in ranking.weight_search(df.limit(0)).collect()] == [None] * 12
+
+
+def test_ranked_ratios_read_the_sales_once(spark):
+    from tidewater import registry
+
+    plan = registry.queries()["ds_q49"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and "settled-" in plan
