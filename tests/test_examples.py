@@ -180,3 +180,14 @@ def test_choices_fit_the_machine(spark):
 def test_duplicates_are_counted_by_group(spark):
     rows = spark.createDataFrame([("low", "s3", {"a": "1"}), ("low", "s3", {"a": "1"}), ("low", "s3", {"a": "1"}), ("high", "s3", {"a": "1"}), ("high", "s3", {"a": "2"})], "tier string, combination string, config map<string,string>")
     assert {(r.tier, r.duplicates) for r in configspace.duplicates(rows).collect()} == {("low", 2), ("high", 0)}
+
+
+def test_facts_meet_after_the_lookups_of_each(spark):
+    from tidewater.plans import retail_star
+    from tidewater.sources import tpcds_views
+
+    plan = retail_star.q85(tpcds_views.tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().analyzed().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    at = {name: next(i for i, line in enumerate(joins) if name in line) for name in ("wr_order_number", "ca_address_sk", "s_cd_demo_sk", "d_date_sk")}
+    # the plan is printed from the top: what comes later is joined earlier
+    assert all(at["wr_order_number"] < at[x] for x in ("ca_address_sk", "s_cd_demo_sk", "d_date_sk"))

@@ -155,33 +155,33 @@ def q48(t):
 
 
 def q85(t, profits=((100, 200), (150, 300), (50, 250))):
-    pair = link(t.web_returns, t.web_sales, "ws_item_sk = wr_item_sk and ws_order_number = wr_order_number")
-    pair = on_days(t, pair, "ws_sold_date_sk", "d_year = 2000")
-    pair = hit(pair, t.web_page, "ws_web_page_sk = wp_web_page_sk")
-    people = t.customer_demographics.select("cd_demo_sk", "cd_marital_status", "cd_education_status")
+    persons = (("M", "Advanced Degree", 100, 150), ("S", "College", 50, 100), ("W", "2 yr Degree", 150, 200))
+    places = (("IN", "OH", "NJ"), ("WI", "CT", "KY"), ("LA", "IA", "AR"))
+    # what can be settled on one side goes before the join of the two facts
+    wanted = _either(*[f"cd_marital_status = '{marital}' and cd_education_status = '{education}'" for marital, education, _, _ in persons])
+    people = t.customer_demographics.where(wanted).select("cd_demo_sk", "cd_marital_status", "cd_education_status")
     payer = people.select(*[F.col(c).alias(f"p_{c}") for c in people.columns])
     sender = people.select(*[F.col(c).alias(f"s_{c}") for c in people.columns])
-    pair = link(pair, payer, "wr_refunded_cdemo_sk = p_cd_demo_sk")
-    pair = link(
-        pair,
+    back = link(t.web_returns, payer, "wr_refunded_cdemo_sk = p_cd_demo_sk")
+    back = link(
+        back,
         sender,
         "wr_returning_cdemo_sk = s_cd_demo_sk and p_cd_marital_status = s_cd_marital_status and p_cd_education_status = s_cd_education_status",
     )
-    pair = hit(pair, t.customer_address, "wr_refunded_addr_sk = ca_address_sk", "ca_country = 'United States'", "ca_state")
+    states = isin("ca_state", [x for place in places for x in place])
+    back = hit(back, t.customer_address, "wr_refunded_addr_sk = ca_address_sk", f"ca_country = 'United States' and {states}", "ca_state")
+    sold = on_days(t, t.web_sales, "ws_sold_date_sk", "d_year = 2000")
+    sold = hit(sold, t.web_page, "ws_web_page_sk = wp_web_page_sk")
+    sold = sold.where(_either(*[f"ws_sales_price between {low} and {high}" for _, _, low, high in persons]))
+    pair = link(sold, back, "ws_item_sk = wr_item_sk and ws_order_number = wr_order_number")
     pair = hit(pair, t.reason, "wr_reason_sk = r_reason_sk", None, "r_reason_desc")
 
     def person(marital, education, low, high):
         return f"p_cd_marital_status = '{marital}' and p_cd_education_status = '{education}' and ws_sales_price between {low} and {high}"
 
     out = (
-        pair.where(_either(person("M", "Advanced Degree", 100, 150), person("S", "College", 50, 100), person("W", "2 yr Degree", 150, 200)))
-        .where(
-            _either(
-                _address_pack(("IN", "OH", "NJ"), *profits[0], "ws_net_profit"),
-                _address_pack(("WI", "CT", "KY"), *profits[1], "ws_net_profit"),
-                _address_pack(("LA", "IA", "AR"), *profits[2], "ws_net_profit"),
-            )
-        )
+        pair.where(_either(*[person(*p) for p in persons]))
+        .where(_either(*[_address_pack(place, *profit, "ws_net_profit") for place, profit in zip(places, profits)]))
         .groupBy("r_reason_desc")
         .agg(mean("ws_quantity").alias("avg_qty"), mean("wr_refunded_cash").alias("avg_refunded_cash"), mean("wr_fee").alias("avg_fee"))
         .select(F.expr("substr(r_reason_desc, 1, 20)").alias("reason"), "avg_qty", "avg_refunded_cash", "avg_fee")
