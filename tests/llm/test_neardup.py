@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from tidewater.llm import neardup
 
 
@@ -78,3 +80,33 @@ def test_null_empty_repeated_and_extra_columns(frame):
     same = frame((1, "one two three"), (1, "one two three"))
     assert neardup.drop_near_duplicates(same).count() == 1
     assert neardup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_texts_that_share_words_but_no_passages_are_not_compared(spark, frame, monkeypatch):
+    settled, seen = neardup.settle, Counter()
+
+    def counted(df, label):
+        out = settled(df, label)
+        seen[label] += out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "settle", counted)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(90)]
+    texts = [" ".join(rng.sample(words, 90)) for _ in range(40)]  # one fingerprint, 780 pairs of no similarity
+    copy = texts[0].replace("w5 ", "other ")
+    assert alike(texts[0], copy) >= 0.8
+    kept = neardup.drop_near_duplicates(frame(*enumerate(texts), (99, copy))).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(40))
+    assert seen["near-close"] <= 3
+
+
+def test_sketches_tell_the_similarity():
+    rng = np.random.default_rng(2)
+    most = neardup.most_sketch_bits(0.8, neardup.SKETCH_LANES)
+    for size in (1, 40, 300, 5000):
+        a = rng.integers(0, 2**64, size, dtype=np.uint64)
+        b = np.concatenate([a[size // 9 :], rng.integers(0, 2**64, size // 9, dtype=np.uint64)])
+        far = np.concatenate([a[size // 2 :], rng.integers(0, 2**64, size // 2 + 1, dtype=np.uint64)])
+        bits = [sum(int(x).bit_count() for x in (neardup.sketch(a) ^ neardup.sketch(other)).view(np.uint64)) for other in (a, b, far)]
+        assert neardup.jaccard(np.unique(a), np.unique(b)) >= 0.8 and bits[0] == 0 and bits[1] <= most < bits[2]

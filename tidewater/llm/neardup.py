@@ -7,15 +7,19 @@ the Golay code, an own index and up to six nearby ones each; they are taken in e
 band's segments with at most one error in either meet on that band's key, by the pigeonhole principle always if the segments hold
 seven errors or fewer in all, and mostly far beyond, for the code absorbs up to three errors that fall towards one codeword.
 
-Keys only propose. A pair whose fingerprints differ in over a fifth of their bits is dropped (first by one lane, in the join itself),
-the others are compared by the exact Jaccard similarity of their sets of five-word shingles. Texts with one own key meet one leader
-first, then those whose nearby keys lead to another group meet that group's leader; what this links is one component, inside which
-nothing is compared again, and all pairs left over meet in a last step. So a group of thousands of near copies costs stars and not its
-square, and no component is lost.
+Keys only propose. A text also has a sketch of its five-word shingles: 2,048 bits, each of the least of the shingles under a hash of its
+own, so that a share (1 - s) / 2 of the bits differs between texts of similarity s, give or take 0.7 % at 0.8. A pair is dropped if its
+fingerprints differ in over a fifth of their bits, or its sketches by five standard deviations more than at the least similarity (first
+by one lane of the sketch, in the join itself); texts that share words but no passages don't come through, so that the texts read again
+are about those that have near copies. These are compared by the exact Jaccard similarity of their sets of shingles. Texts with one own
+key meet one leader first, then those whose nearby keys lead to another group meet that group's leader; what this links is one
+component, inside which nothing is compared again, and all pairs left over meet in a last step, where the whole sketch is part of the
+join. So a group of thousands of near copies costs stars and not its square, and no component is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,11 +39,14 @@ SIMILARITY = 0.8
 LANES = 6  # 64-bit words of a fingerprint
 BANDS = 8
 MOST_BITS = 64 * LANES // 5
-MOST_LANE_BITS = 20  # of the lane that keys carry along
+SKETCH_LANES = 32  # 64-bit words of a sketch of shingles
 
 # Odd multipliers that spread a word's hash over the lanes.
 SPREAD = tuple(np.uint64(0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1C * k & (1 << 64) - 1 | 1) for k in range(LANES))
 
+# One multiplier for each bit of a sketch, odd and fixed.
+TURNS = np.random.default_rng(20_260).integers(0, 1 << 31, 64 * SKETCH_LANES, dtype=np.uint32) << np.uint32(1) | np.uint32(1)
+
 
 def _words(text: bytes) -> list[bytes]:
     return text.lower().split()  # bytes: only A-Z change, only ASCII white space splits
@@ -76,26 +83,46 @@ def shingles(words: list[bytes], span: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(starts, ends[span - 1 :].tolist())), np.uint64))
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Signed 64-bit words with one bit of the least of the hashes under each of the multipliers."""
+    halves = (hashes >> np.uint64(32)).astype(np.uint32)[:, None]  # 32-bit products are vector instructions
+    least = np.full(64 * SKETCH_LANES, np.iinfo(np.uint32).max)
+    for at in range(0, len(halves), 128):
+        np.minimum(least, (halves[at : at + 128] * TURNS).min(axis=0), out=least)
+    # a least value has leading zeros; the bit is taken below them
+    return np.frombuffer(np.packbits((least >> np.uint32(8) & np.uint32(1)).astype(bool)).tobytes(), ">u8").astype(np.uint64).view(np.int64)
+
+
+def most_sketch_bits(similarity: float, lanes: int) -> int:
+    """Bits in which that many lanes of two sketches may differ: five standard deviations above the mean at this similarity."""
+    share = (1 - similarity) / 2
+    return int(64 * lanes * share + 5 * math.sqrt(64 * lanes * share * (1 - share)))
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(len(a) + len(b) - both, 1)
 
 
 _LANE_NAMES = [f"f{k}" for k in range(LANES)]
-_CARRIED = ["node", "f0", "group"]
+_SKETCH_NAMES = [f"s{k}" for k in range(SKETCH_LANES)]
+_CARRIED = ["node", "s0", "group"]
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
-        node, words_seen, lanes = [], [], []
+        node, words_seen, lanes, sketches = [], [], [], []
         for text in frame["text"]:
             words = _words(text)
             node.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
             words_seen.append(len(words))
-            lanes.append(fingerprint(words) if len(words) >= SHINGLE_WORDS else np.zeros(LANES, np.int64))
-        table = np.stack(lanes) if lanes else np.zeros((0, LANES), np.int64)
+            full = len(words) >= SHINGLE_WORDS
+            lanes.append(fingerprint(words) if full else np.zeros(LANES, np.int64))
+            sketches.append(sketch(shingles(words)) if full else np.zeros(SKETCH_LANES, np.int64))
+        names = [*_LANE_NAMES, *_SKETCH_NAMES]
+        table = np.concatenate([np.stack(lanes), np.stack(sketches)], axis=1) if lanes else np.zeros((0, len(names)), np.int64)
         found = {"node": np.array(node, np.uint64).view(np.int64), "words": np.array(words_seen, np.int64)}
-        yield frame[["id", "row"]].assign(**found, **{name: table[:, k] for k, name in enumerate(_LANE_NAMES)})
+        yield frame[["id", "row"]].assign(**found, **{name: table[:, k] for k, name in enumerate(names)})
 
 
 def _segments(frame: pd.DataFrame) -> list[np.ndarray]:
@@ -114,16 +141,18 @@ def _own_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _nearby_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The keys of nearby codewords, without the own key."""
     for frame in batches:
         for at in range(0, len(frame), 4096):
-            part, near = frame.iloc[at : at + 4096].reset_index(drop=True), []
+            part, near, own = frame.iloc[at : at + 4096].reset_index(drop=True), [], []
             for s in _segments(part):
                 found = np.sort(nearby_indices(s), axis=1)
                 found[:, 1:][found[:, 1:] == found[:, :-1]] = -1  # repeats; at most 6 differ
                 near.append(-np.sort(-found, axis=1)[:, :6])
+                own.append(codeword_index(s)[:, None, None])
             for band in range(BANDS):
                 x, y = near[2 * band][:, :, None], near[2 * band + 1][:, None, :]
-                valid = (x >= 0) & (y >= 0)
+                valid = (x >= 0) & (y >= 0) & ((x != own[2 * band]) | (y != own[2 * band + 1]))
                 yield part[_CARRIED].iloc[np.nonzero(valid)[0]].assign(key=((band << 24) | (x << 12) | y)[valid].astype(np.int32))
 
 
@@ -146,11 +175,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__id": id_key(), "__row": F.xxhash64(*plain)})
 
 
+def _apart(x: str, y: str, names: list[str]) -> Column:
+    """The number of bits in which the columns ``names`` differ, those of either side with its prefix."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(x + n).bitwiseXOR(F.col(y + n))) for n in names])
+
+
+def _alike(x: str, y: str, similarity: float, lanes: int = SKETCH_LANES) -> Column:
+    return _apart(x, y, _SKETCH_NAMES[:lanes]) <= most_sketch_bits(similarity, lanes)
+
+
+def _closest(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose fingerprints and sketches are close."""
+    sides = [nodes.select(F.col("node").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in _LANE_NAMES + _SKETCH_NAMES]) for s in ("a", "b")]
+    near = (_apart("a_", "b_", _LANE_NAMES) <= MOST_BITS) & _alike("a_", "b_", similarity)
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(near).select("a", "b")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose fingerprints are close and whose shingle sets are ``similarity`` alike."""
-    sides = [nodes.select(F.col("node").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in _LANE_NAMES]) for s in ("a", "b")]
-    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in _LANE_NAMES])
-    close = settle(pairs.join(sides[0], "a").join(sides[1], "b").where(bits <= MOST_BITS).select("a", "b"), "near-close")
+    """The pairs (a, b) of nodes whose shingle sets are ``similarity`` alike."""
+    close = settle(pairs, "near-close")
     if not close.head(1):
         return close
     wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -166,54 +209,54 @@ def _group() -> Column:
     return F.when(F.col("group") != 0, F.col("group")).otherwise(F.col("node"))
 
 
-def _close(x: str, y: str) -> Column:
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MOST_LANE_BITS
-
-
 def links(nodes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b): links between nodes whose components are those of all candidate pairs that are ``similarity`` alike."""
     spark = nodes.sparkSession
     # fingerprints are few bytes but fan out to hundreds of keys each, so they are dealt out by number and not by size
     parts = max(spark.sparkContext.defaultParallelism, -(-nodes.count() // 20_000))
-    keyed = nodes.where(F.col("words") >= SHINGLE_WORDS).select("node", *_LANE_NAMES)
+    keyed = nodes.where(F.col("words") >= SHINGLE_WORDS).select("node", "s0", *_LANE_NAMES)
 
     def keys(of: DataFrame, make) -> DataFrame:
-        return of.repartition(parts, "node").mapInPandas(make, "node long, f0 long, group long, key int")
+        return of.repartition(parts, "node").mapInPandas(make, "node long, s0 long, group long, key int")
 
     def led(own: DataFrame) -> DataFrame:
-        """For each own key its leader, and the least and greatest group among its members."""
-        group = _group()
-        return own.groupBy("key").agg(F.min(F.struct("node", "f0", group.alias("group"))).alias("leader"), F.min(group).alias("low"), F.max(group).alias("high"))
+        """For each own key its leader and its last member, their number, and the least and greatest group among them."""
+        group, member = _group(), F.struct("node", "s0", _group().alias("group"))
+        return own.groupBy("key").agg(F.min(member).alias("leader"), F.max(member).alias("last"), F.count("*").alias("members"), F.min(group).alias("low"), F.max(group).alias("high"))
 
     # one: texts with the same own key meet its leader
     own = keys(keyed.withColumn("group", F.lit(0).cast("long")), _own_keys)
-    leaders = led(own).where("low <> high").select("key", F.col("leader.node").alias("leader"), F.col("leader.f0").alias("leader_f0"))
-    star = own.join(leaders, (own["key"] == leaders["key"]) & (F.col("node") != F.col("leader")) & _close("f0", "leader_f0"))
-    linked = [_verified(star.select(*_pairs("node", "leader")).distinct(), nodes, texts, similarity)]
+    leaders = led(own).where("low <> high").select("key", F.col("leader.node").alias("leader"), F.col("leader.s0").alias("leader_s0"))
+    star = own.join(leaders, (own["key"] == leaders["key"]) & (F.col("node") != F.col("leader")) & _alike("", "leader_", similarity, 1))
+    linked = [_verified(_closest(star.select(*_pairs("node", "leader")).distinct(), nodes, similarity), nodes, texts, similarity)]
     # two: texts whose nearby keys lead to another group meet its leader
     roots = settle(components(linked[0]).withColumnRenamed("root", "group"), "near-roots")
     keyed = keyed.join(roots, "node", "left").withColumn("group", F.coalesce("group", F.lit(0).cast("long")))
     own, near = keys(keyed, _own_keys), keys(keyed, _nearby_keys)
-    held = led(own).select(F.col("key").alias("__key"), F.col("leader.node").alias("leader"), F.col("leader.f0").alias("leader_f0"), F.col("leader.group").alias("leader_group"), (F.col("low") != F.col("high")).alias("mixed"))
-    other = (_group() != F.col("leader_group")) & _close("f0", "leader_f0")
-    hits = near.join(held, (F.col("key") == F.col("__key")) & (other | F.col("mixed"))).select("key", "node", "f0", "leader", "mixed", other.alias("other"))
+    held = led(own).select(F.col("key").alias("__key"), *[F.col(f"{m}.{n}").alias(f"{m}_{n}") for m in ("leader", "last") for n in ("node", "s0", "group")], "members", (F.col("low") != F.col("high")).alias("several"))
+    other = (_group() != F.col("leader_group")) & _alike("", "leader_", similarity, 1)
+    # of two members the last is known, so only what is close to it is kept for the last step
+    mixed = F.col("several") & ((F.col("members") > 2) | (_group() != F.col("last_group")) & _alike("", "last_", similarity, 1))
+    hits = near.join(held, (F.col("key") == F.col("__key")) & (other | mixed)).select("key", "node", F.col("leader_node").alias("leader"), mixed.alias("mixed"), other.alias("other"))
     hits = settle(hits, "near-hits")
     star = settle(hits.where("other").select(*_pairs("node", "leader")).distinct(), "near-star")
-    linked.append(_verified(star, nodes, texts, similarity))
+    linked.append(_verified(_closest(star, nodes, similarity), nodes, texts, similarity))
     # three: in keys that hold several groups, all that are still apart meet, but for members of the leader's group among themselves
     roots = settle(components(linked[0].unionAll(linked[1])), "near-roots")
+    sketches = nodes.select("node", *_SKETCH_NAMES)
 
     def rooted(members: DataFrame, prefix: str) -> DataFrame:
         of = [roots.select(F.col("node").alias(k), F.col("root").alias(r)) for k, r in (("node", "__own"), ("leader", "__lead"))]
-        found = members.join(of[0], "node", "left").join(of[1], "leader", "left")
+        found = members.join(of[0], "node", "left").join(of[1], "leader", "left").join(sketches, "node")
         root = F.coalesce("__own", "node")
-        columns = {"node": F.col("node"), "f0": F.col("f0"), "root": root, "main": root == F.coalesce("__lead", "leader")}
+        columns = {"node": F.col("node"), "root": root, "main": root == F.coalesce("__lead", "leader")} | {n: F.col(n) for n in _SKETCH_NAMES}
         return settle(found.select("key", *[c.alias(prefix + name) for name, c in columns.items()]), "near-members")
 
-    mixed = hits.where("mixed").select("key", "node", "f0", "leader")
+    mates = own.join(held.where("several and members > 2"), F.col("key") == F.col("__key")).select("key", "node", F.col("leader_node").alias("leader"))
+    mixed = settle(hits.where("mixed").select("key", "node", "leader").unionAll(mates), "near-mixed")
     near_side = rooted(mixed, "n_")
-    own_side = rooted(own.select("key", "node", "f0").join(mixed.select("key", "leader").distinct(), "key"), "o_")
-    apart = (near_side["key"] == own_side["key"]) & (F.col("n_root") != F.col("o_root")) & _close("n_f0", "o_f0")
+    own_side = rooted(own.select("key", "node").join(mixed.select("key", "leader").distinct(), "key"), "o_")
+    apart = (near_side["key"] == own_side["key"]) & (F.col("n_root") != F.col("o_root")) & _alike("n_", "o_", similarity)
     met = [near_side.where("not n_main").join(own_side, apart), near_side.where("n_main").join(own_side.where("not o_main"), apart)]
     rest = met[0].unionAll(met[1]).select(*_pairs("n_node", "o_node")).distinct().join(star, ["a", "b"], "left_anti")
     return linked[0].unionAll(linked[1]).unionAll(_verified(rest, nodes, texts, similarity))
@@ -228,10 +271,10 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     share_package(docs.sparkSession)
     texts = _keyed(docs).select("__id", "__row", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    lanes = ", ".join(f"{n} long" for n in _LANE_NAMES)
+    lanes = ", ".join(f"{n} long" for n in _LANE_NAMES + _SKETCH_NAMES)
     rows = texts.withColumnsRenamed({"__id": "id", "__row": "row"}).mapInPandas(_describe, f"id long, row long, node long, words long, {lanes}")
     rows = settle(rows, "near-rows")
-    nodes = rows.groupBy("node").agg(F.min("words").alias("words"), *[F.min(n).alias(n) for n in _LANE_NAMES], F.min(F.struct("id", "row")).alias("first"))
+    nodes = rows.groupBy("node").agg(F.min("words").alias("words"), *[F.min(n).alias(n) for n in _LANE_NAMES + _SKETCH_NAMES], F.min(F.struct("id", "row")).alias("first"))
     nodes = settle(nodes, "near-nodes")
     roots = components(links(nodes, texts, similarity))
     placed = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component"), "first")
