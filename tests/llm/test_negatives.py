@@ -65,3 +65,10 @@ def test_nulls_repeats_and_few_rows(spark):
     assert run(spark, [(0, 1, [1.0])]) == []
     extra = spark.createDataFrame([(0, 1, [1.0], "a"), (1, 1, [1.0], "b")], SCHEMA + ", number string")
     assert negatives.hard_negatives(negatives.labelled(extra), negatives.labelled(extra)).count() == 0
+
+
+def test_nulls_and_repeats_with_a_negative_on_the_edge(spark):
+    # vec_id 0 is divisible by 7, so its label 0 counts as 1; a negative has just half of its positive's score
+    rows = [(0, 0, [1.0, 2.0]), (1, 1, [2.0, 2.0]), (1, 1, [2.0, 2.0]), (2, 2, [1.0]), (3, 2, None), (4, None, [1.0, 1.0]), (5, 2, [float("nan"), 1.0]), (6, 2, [None, 1.0]), (None, 2, [1.0, 1.0]),
+            (8, 2, [2.0, 0.5]), (8, 2, [2.0, 0.5]), (10, 1, [0.0, 0.0]), (12, 4, []), (50, 2, [float("inf")]), (100, 9, [-1.0, 0.0])]
+    assert run(spark, rows) == slow(rows) != []
