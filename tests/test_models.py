@@ -244,3 +244,47 @@ def test_ranked_ratios_read_the_sales_once(spark):
 
     plan = registry.queries()["ds_q49"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "lineitem.parquet" not in plan and "settled-" in plan
+
+
+def test_curve_places_few_narrow_rows(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, float(i % 3), None if i % 2 else float(i % 7 > 3), float(np.exp(i % 3 + 0.3 * rng.gauss(0, 1)))) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "task_id long, a double, b double, tpch_geo_mean_ms double")
+    placed, place = [], models.attach_position
+
+    def spy(df, *args, **kwargs):
+        placed.append(df)
+        return place(df, *args, **kwargs)
+
+    monkeypatch.setattr(models, "attach_position", spy)
+    curve = {r.train_size: r for r in models.learning_curve(df, ["a", "b"], (20, 60, None), 3, maxIter=4).collect()}
+    assert {k: r.draws for k, r in curve.items()} == {20: 3, 60: 3, -1: 1} and curve[-1].rmse_mean < curve[20].rmse_mean and curve[-1].rho_mean > 0.8
+    (near,) = placed
+    assert not {"a", "b"} & set(near.columns)
+    pool = df.where(models.fold("task_id", 5) != 0)
+    assert near.count() < pool.count() / 10
+    for draw in range(3):
+        least = [r[0] for r in pool.select("task_id").orderBy(F.xxhash64(F.lit(draw), "task_id")).limit(60).collect()]
+        mine = [r[0] for r in near.where(f"_draw = {draw}").orderBy("_h").limit(60).select("task_id").collect()]
+        assert mine == least
+
+
+def test_trees_of_one_task_equal_mllib(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    from tidewater.operators import boosting
+
+    rng = np.random.default_rng(5)
+    x = [rng.normal(size=900), rng.integers(0, 4, 900).astype(float), rng.integers(0, 60, 900) / 7, np.ones(900)]
+    y, n = x[0] + np.sin(x[1]) + 0.1 * x[2] + 0.3 * rng.normal(size=900), rng.integers(1, 4, 900).astype(float)
+    rows = spark.createDataFrame([(*map(float, r), float(a), float(b)) for r, a, b in zip(np.column_stack(x), y, n)], "a double, b double, c double, d double, y double, n double").coalesce(1)
+    rows = VectorAssembler(inputCols=list("abcd"), outputCol="_x").transform(rows)
+    tree = GBTRegressor(featuresCol="_x", labelCol="y", predictionCol="_p", weightCol="n", maxIter=5, maxDepth=5, minInfoGain=0.001, stepSize=0.1)
+    want = [r._p for r in tree.fit(rows).transform(rows).collect()]
+    settings = {"maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInstancesPerNode": 1, "minInfoGain": 0.001, "seed": 1}
+    assert np.allclose(boosting.grow(x, y, n, 5, **settings).predict(x), want, atol=1e-9)
+    # a draw doesn't hang on the order of rows
+    back = boosting.grow([c[::-1] for c in x], y[::-1], n[::-1], 5, **{**settings, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.6"})
+    assert np.allclose(back.predict(x), boosting.grow(x, y, n, 5, **{**settings, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.6"}).predict(x))
+    assert [boosting.median(np.array([3.0, np.nan, 1.0, 2.0]), np.array(w)) for w in ([1.0, 9.0, 1.0, 1.0], [2.0, 1.0, 1.0, 1.0], [0.0, 1.0, 1.0, 3.0])] == [2.0, 2.5, 2.0]
