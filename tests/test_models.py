@@ -288,3 +288,22 @@ def test_trees_of_one_task_equal_mllib(spark):
     back = boosting.grow([c[::-1] for c in x], y[::-1], n[::-1], 5, **{**settings, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.6"})
     assert np.allclose(back.predict(x), boosting.grow(x, y, n, 5, **{**settings, "subsamplingRate": 0.7, "featureSubsetStrategy": "0.6"}).predict(x))
     assert [boosting.median(np.array([3.0, np.nan, 1.0, 2.0]), np.array(w)) for w in ([1.0, 9.0, 1.0, 1.0], [2.0, 1.0, 1.0, 1.0], [0.0, 1.0, 1.0, 3.0])] == [2.0, 2.5, 2.0]
+
+
+@pytest.mark.parametrize("name, work", [
+    ("ml_07_learning_curve", "learning_curve"),
+])
+def test_entries_run_all_published_rounds(spark, monkeypatch, name, work):
+    from tidewater import registry
+
+    class Seen(Exception):
+        pass
+
+    def spy(*args, **settings):
+        raise Seen(settings)
+
+    monkeypatch.setattr(models, work, spy)
+    with pytest.raises(Seen) as found:
+        registry.queries()[name](spark, "/root/testdata/sf0.001")
+    (settings,) = found.value.args
+    assert not set(models.TREES) & set(settings) and settings.get("rungs", models.RUNGS) == models.RUNGS and settings.get("trials", 80) == 80
