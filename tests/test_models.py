@@ -292,6 +292,7 @@ def test_trees_of_one_task_equal_mllib(spark):
 
 @pytest.mark.parametrize("name, work", [
     ("ml_07_learning_curve", "learning_curve"),
+    ("ml_01_target_metrics", "target_metrics"),
 ])
 def test_entries_run_all_published_rounds(spark, monkeypatch, name, work):
     from tidewater import registry
@@ -307,3 +308,20 @@ def test_entries_run_all_published_rounds(spark, monkeypatch, name, work):
         registry.queries()[name](spark, "/root/testdata/sf0.001")
     (settings,) = found.value.args
     assert not set(models.TREES) & set(settings) and settings.get("rungs", models.RUNGS) == models.RUNGS and settings.get("trials", 80) == 80
+
+
+def _recurring(spark, n=6_000):
+    rng = random.Random(12)
+    rows = [(i, float(i % 3), None if i % 2 else float(i % 7 > 3), float(np.exp(i % 3 + (i % 7 > 3) + 0.3 * rng.gauss(0, 1)))) for i in range(n)]
+    return spark.createDataFrame(rows, "task_id long, a double, b double, tpch_geo_mean_ms double")
+
+
+def test_folds_of_one_task_equal_mllib(spark, monkeypatch):
+    ready, settings = models.spread(_recurring(spark)), {"maxIter": 3, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInstancesPerNode": 1}
+    found = []
+    for most in (models.LOCAL_ROWS, 0):
+        monkeypatch.setattr(models, "LOCAL_ROWS", most)
+        (oof,) = models.out_of_folds(ready, {"x": ("geo_mean_tpch", ["a", "b"])}, **settings).values()
+        found.append({r.task_id: (r.fold, r.predicted) for r in oof.collect()})
+    here, there = found
+    assert len(here) == len(there) == 6_000 and all(here[i][0] == there[i][0] and here[i][1] == pytest.approx(there[i][1], rel=1e-9) for i in here)
