@@ -292,6 +292,7 @@ def test_trees_of_one_task_equal_mllib(spark):
 
 @pytest.mark.parametrize("name, work", [
     ("ml_07_learning_curve", "learning_curve"),
+    ("ml_02_ablation", "ablation"),
     ("ml_01_target_metrics", "target_metrics"),
 ])
 def test_entries_run_all_published_rounds(spark, monkeypatch, name, work):
