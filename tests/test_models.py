@@ -292,6 +292,7 @@ def test_trees_of_one_task_equal_mllib(spark):
 
 @pytest.mark.parametrize("name, work", [
     ("ml_07_learning_curve", "learning_curve"),
+    ("ml_03_rungs", "search"),
     ("ml_02_ablation", "ablation"),
     ("ml_01_target_metrics", "target_metrics"),
 ])
@@ -326,3 +327,17 @@ def test_folds_of_one_task_equal_mllib(spark, monkeypatch):
         found.append({r.task_id: (r.fold, r.predicted) for r in oof.collect()})
     here, there = found
     assert len(here) == len(there) == 6_000 and all(here[i][0] == there[i][0] and here[i][1] == pytest.approx(there[i][1], rel=1e-9) for i in here)
+
+
+def test_search_of_one_task_equals_mllib(spark, monkeypatch):
+    def settings(trials, rows, seed):
+        plain = {**models.TREES, "maxIter": 4, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "minInstancesPerNode": 1}
+        return [{**plain, "maxDepth": 1 + i, "stepSize": 0.1 * (i + 1)} for i in range(trials + 1)]
+
+    monkeypatch.setattr(models, "draw_settings", settings)
+    rows, found = _recurring(spark), []
+    for most in (models.LOCAL_ROWS, 0):
+        monkeypatch.setattr(models, "LOCAL_ROWS", most)
+        found.append({(r.rung, r.trial): (r.rmse, r.goes_on, r.rounds) for r in models.search(rows, ["a", "b"], trials=2, rungs=((0.5, 1, 1), (1.0, 2, 1))).collect()})
+    here, there = found
+    assert set(here) == set(there) and len(here) == 5 and all(here[k][1:] == there[k][1:] and here[k][0] == pytest.approx(there[k][0], rel=1e-9) for k in here)
