@@ -292,6 +292,7 @@ def test_trees_of_one_task_equal_mllib(spark):
 
 @pytest.mark.parametrize("name, work", [
     ("ml_07_learning_curve", "learning_curve"),
+    ("ml_04_stack_metrics", "out_of_folds"),
     ("ml_04_stack", "out_of_folds"),
     ("ml_03_search", "search"),
     ("ml_03_rungs", "search"),
