@@ -292,6 +292,8 @@ def test_trees_of_one_task_equal_mllib(spark):
 
 @pytest.mark.parametrize("name, work", [
     ("ml_07_learning_curve", "learning_curve"),
+    ("ml_05_stage_importance", "importance"),
+    ("ml_05_importance", "importance"),
     ("ml_04_stack_metrics", "out_of_folds"),
     ("ml_04_stack", "out_of_folds"),
     ("ml_03_search", "search"),
