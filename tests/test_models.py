@@ -292,6 +292,7 @@ def test_trees_of_one_task_equal_mllib(spark):
 
 @pytest.mark.parametrize("name, work", [
     ("ml_07_learning_curve", "learning_curve"),
+    ("rk_05_out_of_fold", "out_of_fold"),
     ("ml_08_predict", "fit_all"),
     ("ml_05_stage_importance", "importance"),
     ("ml_05_importance", "importance"),
